@@ -68,12 +68,13 @@ class _Search:
         guess = self.lam + max(-reach, min(reach, step))
         if not self.lo <= guess <= self.hi:
             guess = (self.lo + self.hi) / 2
-        self.done = abs(guess - self.lam) <= tol * max(1.0, abs(guess))
+        # Close to the minimum the error after a step is of the order of the step squared.
+        self.done = abs(guess - self.lam) <= math.sqrt(tol) * max(self.scale, abs(guess))
         self.lam = guess
 
 
 def fit_box_cox(
-    features: DataFrame, columns: list[str] = FEATURES, tol: float = 1e-9, max_rounds: int = 60
+    features: DataFrame, columns: list[str] = FEATURES, tol: float = 1e-10, max_rounds: int = 60
 ) -> dict[str, float | None]:
     """Maximum-likelihood Box-Cox parameter of ``x + 1`` for each column.
 
@@ -106,29 +107,27 @@ def fit_box_cox(
 
     def lookup(values: dict[str, float]) -> Column:
         parts = [F.lit(v) for item in values.items() for v in item]
-        return F.create_map(*parts)[F.col("feature")]
-
+        return F.try_element_at(F.create_map(*parts), F.col("feature"))
+
+    u = F.col("u")
+    p0, p1, p2 = _phi(F.col("lam") * u)
+    z = [(u * p0).alias("z"), (u * u * p1).alias("z1"), (u * u * u * p2).alias("z2")]
+    moments = [
+        F.var_pop("z").alias("var"),
+        F.covar_pop("z", "z1").alias("cov1"),
+        F.var_pop("z1").alias("var1"),
+        F.covar_pop("z", "z2").alias("cov2"),
+    ]
+    centred = logs.filter(F.col("feature").isin(list(found))).select(
+        "feature", (F.log("x") - lookup(mean_log)).alias("u")
+    )
     for _ in range(max_rounds):
         active = {f: s.lam for f, s in found.items() if not s.done}
         if not active:
             break
-        centred = logs.filter(F.col("feature").isin(list(active))).select(
-            "feature",
-            (F.log("x") - lookup({f: mean_log[f] for f in active})).alias("u"),
-            lookup(active).alias("lam"),
-        )
-        u = F.col("u")
-        p0, p1, p2 = _phi(F.col("lam") * u)
-        z = centred.select(
-            "feature", (u * p0).alias("z"), (u * u * p1).alias("z1"), (u * u * u * p2).alias("z2")
-        )
-        moments = z.groupBy("feature").agg(
-            F.var_pop("z").alias("var"),
-            F.covar_pop("z", "z1").alias("cov1"),
-            F.var_pop("z1").alias("var1"),
-            F.covar_pop("z", "z2").alias("cov2"),
-        )
-        for r in moments.collect():
+        lam = lookup(active)
+        current = centred.select("feature", "u", lam.alias("lam")).filter("lam is not null")
+        for r in current.select("feature", *z).groupBy("feature").agg(*moments).collect():
             found[r.feature].update(r["var"], r["cov1"], r["var1"], r["cov2"], tol)
     else:
         open_ = sorted(f for f, s in found.items() if not s.done)

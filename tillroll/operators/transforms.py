@@ -152,25 +152,31 @@ def apply_box_cox(
 def box_cox_log_likelihood(
     features: DataFrame, grid: list[float], columns: list[str] = FEATURES, shift: float = SHIFT
 ) -> DataFrame:
-    """Profile log-likelihood per feature and grid value: feature, lambda, loglik."""
-    points = to_long(features, columns).filter(F.col("value").isNotNull()).select(
-        "feature",
-        (F.col("value") + shift).alias("x"),
-        F.explode(F.array(*[F.lit(float(g)) for g in grid])).alias("lambda"),
+    """Profile log-likelihood per feature and grid value: feature, lambda, loglik.
+
+    Written with x over its geometric mean, where (lambda - 1) sum(ln x) - n/2 log var(y) is
+    -sum(ln x) - n/2 log var(z); the plain form loses all digits for large x and negative
+    lambda. There is one geometric mean per feature column.
+    """
+    logs = to_long(features, columns).filter(F.col("value").isNotNull()).select(
+        "feature", F.log(F.col("value") + shift).alias("log_x")
     )
+    means = logs.groupBy("feature").agg(F.avg("log_x").alias("mean_log"))
     lam = F.col("lambda")
     return (
-        points.withColumn("y", box_cox(F.col("x"), lam))
+        logs.join(F.broadcast(means), "feature")
+        .withColumn("lambda", F.explode(F.array(*[F.lit(float(g)) for g in grid])))
+        .withColumn("z", box_cox(F.exp(F.col("log_x") - F.col("mean_log")), lam))
         .groupBy("feature", "lambda")
         .agg(
-            F.sum(F.log("x")).alias("sum_log"),
             F.count(F.lit(1)).alias("n"),
-            F.var_pop("y").alias("var"),
+            F.sum("log_x").alias("sum_log"),
+            F.var_pop("z").alias("var"),
         )
         .select(
             "feature",
             "lambda",
-            ((lam - 1) * F.col("sum_log") - F.col("n") / 2 * F.log("var")).alias("loglik"),
+            (-F.col("sum_log") - F.col("n") / 2 * F.log("var")).alias("loglik"),
         )
     )
 

@@ -6,7 +6,6 @@ rounding keeps exact halves, which are common in averages of pence, on the same
 
 from __future__ import annotations
 
-from pyspark.ml.functions import vector_to_array  # noqa: F401  (re-exported for tests)
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -78,6 +77,16 @@ def customer_table(spark, sf):
     return stage(features.customer_features(lines(spark, sf)), "features")
 
 
+@once
+def totals_table(spark, sf):
+    return stage(sales.customer_totals(lines(spark, sf)), "totals")
+
+
+@once
+def rfm_table(spark, sf):
+    return stage(rfm_ops.rfm(lines(spark, sf)), "rfm")
+
+
 @once
 def lambdas(spark, sf):
     return transforms.fit_box_cox(customer_table(spark, sf))
@@ -229,12 +238,12 @@ def spend_per_customer(spark, sf):
 
 
 def spend_summary(spark, sf):
-    summary = sales.spend_summary(lines(spark, sf))
+    summary = sales.spend_summary(totals_table(spark, sf))
     return rounded(summary, ["mean_spend", "median_spend", "mean_invoices"])
 
 
 def _long_spend(spark, sf):
-    return quantiles.to_long(sales.spend_per_customer(lines(spark, sf)), ["spend"])
+    return quantiles.to_long(totals_table(spark, sf), ["spend"])
 
 
 STATS = ["mean", "std", "min", "p25", "p50", "p75", "max"]
@@ -259,17 +268,17 @@ def rfm(spark, sf):
 
 
 def rfm_summary(spark, sf):
-    summary = rfm_ops.rfm_summary(rfm_ops.rfm(lines(spark, sf)))
+    summary = rfm_ops.rfm_summary(rfm_table(spark, sf))
     return rounded(summary, ["mean_recency", "mean_frequency", "mean_monetary"])
 
 
 def spend_below_p99(spark, sf):
-    spend = sales.spend_per_customer(lines(spark, sf))
+    spend = totals_table(spark, sf).select("CustomerID", "spend")
     return rounded(quantiles.below_quantile(spend, "spend"), ["spend"], 2)
 
 
 def monetary_below_p99(spark, sf):
-    scores = rfm_ops.rfm(lines(spark, sf))
+    scores = rfm_table(spark, sf)
     kept = quantiles.below_quantile(scores, "Monetary").select("CustomerID", "Monetary")
     return rounded(kept, ["Monetary"], 2)
 
@@ -304,17 +313,17 @@ def feature_boxstats(spark, sf):
 
 
 def _long_invoices(spark, sf):
-    return quantiles.to_long(sales.invoices_per_customer(lines(spark, sf)), ["invoices"])
+    return quantiles.to_long(totals_table(spark, sf), ["invoices"])
 
 
 def _long_trimmed_spend(spark, sf):
-    spend = sales.spend_per_customer(lines(spark, sf))
-    return quantiles.to_long(quantiles.below_quantile(spend, "spend"), ["spend"])
+    trimmed = quantiles.below_quantile(totals_table(spark, sf), "spend")
+    return quantiles.to_long(trimmed, ["spend"])
 
 
 def _long_rfm(spark, sf):
     """Recency, Frequency and Monetary below its 99th percentile."""
-    scores = rfm_ops.rfm(lines(spark, sf))
+    scores = rfm_table(spark, sf)
     trimmed = quantiles.below_quantile(scores, "Monetary")
     return quantiles.to_long(scores, ["Recency", "Frequency"]).unionByName(
         quantiles.to_long(trimmed, ["Monetary"])

@@ -61,10 +61,6 @@ def hour_of_day(ts: Column) -> Column:
     return F.hour(ts)
 
 
-def month_end(ts: Column) -> Column:
-    return F.last_day(F.to_date(ts))
-
-
 def elapsed_days(later: Column, earlier: Column) -> Column:
     """Whole elapsed days between two timestamps, not calendar days."""
     return F.extract(F.lit("DAY"), later - earlier).cast("bigint")
@@ -99,8 +95,13 @@ def label_of(key: Column, labels: dict[str, str]) -> Column:
 
 
 def persona_of(cluster: Column, names: list[str] | None, fallback: str = "Nhóm") -> Column:
-    """Persona by cluster position; clusters beyond the list are called ``<fallback> <number>``."""
-    default = F.concat(F.lit(f"{fallback} "), cluster.cast("string"))
+    """Persona by cluster position.
+
+    Clusters beyond the list are called ``<fallback> <number>``, and without a list all
+    clusters are called ``Nhóm <number>``.
+    """
+    prefix = fallback if names else "Nhóm"
+    default = F.concat(F.lit(f"{prefix} "), cluster.cast("string"))
     if not names:
         return default
     by_position = F.create_map(*[F.lit(v) for item in enumerate(names) for v in item])

@@ -6,11 +6,11 @@ from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 from pyspark.ml.clustering import KMeans, KMeansModel
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tillroll.operators.reduction import with_vector
-from tillroll.operators.silhouette import mean_silhouettes
+from tillroll.operators.silhouette import mean_silhouettes, squared_silhouette
 from tillroll.schema import FEATURES
 
 # Defaults of the clustering.
@@ -47,26 +47,32 @@ class KMeansFit:
         )
 
 
-def _number_clusters(
-    model: KMeansModel, vectors: DataFrame, original: DataFrame | None, order_by: str
-) -> list[int]:
-    """Position of each raw cluster by descending mean of ``order_by``, ties by centroid."""
-    centers = [tuple(float(x) for x in c) for c in model.clusterCenters()]
-    labelled = model.transform(vectors)
-    if original is not None:
-        values = original.select("CustomerID", F.col(order_by).alias("_order"))
-        labelled = labelled.select("CustomerID", "prediction").join(values, "CustomerID")
-    else:
-        labelled = labelled.select("prediction", F.col(order_by).alias("_order"))
-    means = {
-        r["prediction"]: r["mean"]
-        for r in labelled.groupBy("prediction").agg(F.avg("_order").alias("mean")).collect()
-    }
-    ranked = sorted(range(len(centers)), key=lambda c: (-means.get(c, float("-inf")), centers[c]))
-    number = [0] * len(centers)
-    for position, cluster in enumerate(ranked):
-        number[cluster] = position
-    return number
+def _number_clusters(models: dict[int, KMeansModel], vectors: DataFrame) -> dict[int, list[int]]:
+    """Position of each raw cluster by descending mean of ``order``, ties by centroid.
+
+    One aggregation over the cached vectors serves all models and returns sum(k) rows.
+    """
+    labelled = vectors
+    for k, model in models.items():
+        labelled = model.copy({model.predictionCol: f"_raw_{k}"}).transform(labelled)
+    pairs = F.array(
+        *[F.struct(F.lit(k).alias("k"), F.col(f"_raw_{k}").alias("raw")) for k in models]
+    )
+    rows = (
+        labelled.select("order", F.inline(pairs))
+        .groupBy("k", "raw")
+        .agg(F.avg("order").alias("mean"))
+        .collect()
+    )
+    means = {(r["k"], r["raw"]): r["mean"] for r in rows}
+    numbers = {}
+    for k, model in models.items():
+        centers = [tuple(float(x) for x in c) for c in model.clusterCenters()]
+        ranked = sorted(
+            range(len(centers)), key=lambda c: (-means.get((k, c), float("-inf")), centers[c])
+        )
+        numbers[k] = [ranked.index(c) for c in range(len(centers))]
+    return numbers
 
 
 def fit_kmeans(
@@ -87,7 +93,12 @@ def fit_kmeans(
     cross-validator's. Clusters are renumbered by descending mean of ``order_by`` in
     ``original`` (in ``scaled`` without it), as raw numbers mean nothing.
     """
-    vectors = with_vector(scaled, columns).select("CustomerID", "vector", *columns).persist()
+    if original is None:
+        ordered = scaled.withColumn("order", F.col(order_by))
+    else:
+        order = original.select("CustomerID", F.col(order_by).alias("order"))
+        ordered = scaled.join(order, "CustomerID")
+    vectors = with_vector(ordered, columns).select("vector", "order").persist()
     try:
 
         def one(job):
@@ -95,21 +106,22 @@ def fit_kmeans(
             kmeans = KMeans(
                 k=k, seed=seed + start, maxIter=max_iter, tol=tol, featuresCol="vector"
             )
-            return k, start, kmeans.fit(vectors)
+            model = kmeans.fit(vectors)
+            return model.summary.trainingCost, start, model
 
         vectors.count()
         jobs = [(k, start) for k in k_values for start in range(n_init)]
         with ThreadPoolExecutor(parallelism) as pool:
             fitted = list(pool.map(one, jobs))
-        fits = {}
-        for k in k_values:
-            cost, _, model = min(
-                ((m.summary.trainingCost, start, m) for kk, start, m in fitted if kk == k),
-                key=lambda item: item[:2],
-            )
-            number = _number_clusters(model, vectors, original, order_by)
-            fits[k] = KMeansFit(k, model, cost, columns, number)
-        return fits
+        best = {
+            k: min((f for f, job in zip(fitted, jobs) if job[0] == k), key=lambda f: f[:2])
+            for k in k_values
+        }
+        numbers = _number_clusters({k: model for k, (_, _, model) in best.items()}, vectors)
+        return {
+            k: KMeansFit(k, model, cost, list(columns), numbers[k])
+            for k, (cost, _, model) in best.items()
+        }
     finally:
         vectors.unpersist()
 
@@ -151,17 +163,35 @@ def elbow(spark, fits: dict[int, KMeansFit]) -> DataFrame:
     return spark.createDataFrame(rows, "k int, inertia double")
 
 
-def k_selection(scaled: DataFrame, fits: dict[int, KMeansFit]) -> DataFrame:
+def k_selection(
+    scaled: DataFrame, fits: dict[int, KMeansFit], metric: str = "euclidean"
+) -> DataFrame:
     """k, inertia, silhouette and whether k has the best silhouette (the smaller k on a tie).
 
-    All k share one silhouette job, since the distances do not depend on k.
+    With ``metric="euclidean"`` all k share one silhouette job, since the distances do not
+    depend on k; its work grows with the square of the rows. ``metric="squaredEuclidean"``
+    is Spark's own measure: other values, but work linear in the rows.
     """
-    labelled = assign_chained(scaled, fits)
+    spark = scaled.sparkSession
     columns = next(iter(fits.values())).columns
-    scores = mean_silhouettes(labelled, columns, {k: f"Cluster_{k}" for k in fits}, "CustomerID")
-    table = elbow(scaled.sparkSession, fits).join(F.broadcast(scores), "k")
-    best = best_k(table).select("k").scalar()
-    return table.withColumn("is_best", F.col("k") == best)
+    if metric == "euclidean":
+        labelled = assign_chained(scaled, fits)
+        names = {k: f"Cluster_{k}" for k in fits}
+        scores = mean_silhouettes(labelled, columns, names, "CustomerID")
+    elif metric == "squaredEuclidean":
+        rows = [
+            (k, squared_silhouette(with_vector(fit.assign(scaled), columns), "vector", "Cluster"))
+            for k, fit in fits.items()
+        ]
+        scores = spark.createDataFrame(rows, "k int, silhouette double")
+    else:
+        raise ValueError(f"unknown metric {metric!r}")
+    first = Window.orderBy(F.desc("silhouette"), F.asc("k"))
+    return (
+        elbow(spark, fits)
+        .join(F.broadcast(scores), "k")
+        .withColumn("is_best", F.row_number().over(first) == 1)
+    )
 
 
 def best_k(selection: DataFrame) -> DataFrame:

@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tillroll.functions.columns import month_end
-from tillroll.operators.quantiles import exact_quantiles
+from tillroll.operators.quantiles import exact_quantiles, to_long
 
 
 def _total(column: str):
@@ -24,44 +23,55 @@ def daily_revenue(clean: DataFrame) -> DataFrame:
 
 
 def monthly_revenue(clean: DataFrame) -> DataFrame:
-    """Revenue per month end between the first and the last month; months without lines are 0."""
+    """Revenue per month end between the first and the last month; months without lines are 0.
+
+    The gap after each observed month is filled from the monthly table itself, which has one
+    row per calendar month, so the lines are read once.
+    """
     observed = (
         clean.filter(F.col("InvoiceDate").isNotNull())
-        .groupBy(month_end(F.col("InvoiceDate")).alias("month"))
-        .agg(F.sum("TotalPrice").alias("revenue"))
+        .groupBy(F.trunc("InvoiceDate", "month").alias("start"))
+        .agg(_total("TotalPrice").alias("revenue"))
     )
-    calendar = observed.agg(
-        F.explode(
-            F.sequence(
-                F.trunc(F.min("month"), "month"),
-                F.trunc(F.max("month"), "month"),
-                F.expr("interval 1 month"),
-            )
-        ).alias("start")
-    ).select(F.last_day("start").alias("month"))
-    return calendar.join(observed, "month", "left").select(
-        "month", F.coalesce("revenue", F.lit(0.0)).alias("revenue")
+    following = F.lead("start").over(Window.orderBy("start"))
+    one_month = F.expr("interval 1 month")
+    last_empty = F.coalesce(F.add_months(following, -1), F.col("start"))
+    return (
+        observed.withColumn("gap", F.sequence(F.col("start"), last_empty, one_month))
+        .select("start", "revenue", F.explode("gap").alias("shown"))
+        .select(
+            F.last_day("shown").alias("month"),
+            F.when(F.col("shown") == F.col("start"), F.col("revenue"))
+            .otherwise(0.0)
+            .alias("revenue"),
+        )
     )
 
 
-def day_hour_matrix(df: DataFrame) -> DataFrame:
-    """Lines per day of week (rows) and hour (columns); unseen combinations are 0."""
-    return (
+def day_hour_activity(df: DataFrame) -> DataFrame:
+    """Lines per day of week and hour, for every observed day and every observed hour.
+
+    Unseen combinations of the two are 0. The table has at most 7 x 24 rows.
+    """
+    counts = (
         df.filter(F.col("DayOfWeek").isNotNull() & F.col("HourOfDay").isNotNull())
         .groupBy("DayOfWeek")
-        .pivot("HourOfDay")
+        .pivot("HourOfDay", list(range(24)))
         .agg(F.count(F.lit(1)))
         .na.fill(0)
+        .unpivot("DayOfWeek", [str(h) for h in range(24)], "HourOfDay", "lines")
+    )
+    in_hour = F.sum("lines").over(Window.partitionBy("HourOfDay"))
+    return (
+        counts.withColumn("in_hour", in_hour)
+        .filter(F.col("in_hour") > 0)
+        .select("DayOfWeek", F.col("HourOfDay").cast("int").alias("HourOfDay"), "lines")
     )
 
 
-def day_hour_activity(df: DataFrame) -> DataFrame:
-    """The matrix in long form: one row per observed day and observed hour."""
-    matrix = day_hour_matrix(df)
-    hours = [c for c in matrix.columns if c != "DayOfWeek"]
-    return matrix.unpivot("DayOfWeek", hours, "HourOfDay", "lines").withColumn(
-        "HourOfDay", F.col("HourOfDay").cast("int")
-    )
+def day_hour_matrix(activity: DataFrame) -> DataFrame:
+    """The activity table as a matrix: one row per day, one column per observed hour."""
+    return activity.groupBy("DayOfWeek").pivot("HourOfDay").agg(F.sum("lines"))
 
 
 def top_products(clean: DataFrame, by: str, n: int = 10) -> DataFrame:
@@ -75,21 +85,25 @@ def top_products(clean: DataFrame, by: str, n: int = 10) -> DataFrame:
     )
 
 
-def invoices_per_customer(clean: DataFrame) -> DataFrame:
-    """Distinct invoices per customer.
+def customer_totals(clean: DataFrame) -> DataFrame:
+    """CustomerID, distinct invoices and spend.
 
     Lines collapse to (customer, invoice) first, so a customer with a large share of all
-    lines is spread over many tasks before the final count.
+    lines is spread over many tasks before the final sums.
     """
     return (
         clean.filter(F.col("CustomerID").isNotNull())
-        .select("CustomerID", "InvoiceNo")
-        .distinct()
+        .groupBy("CustomerID", "InvoiceNo")
+        .agg(F.sum("TotalPrice").alias("total"))
         .groupBy("CustomerID")
-        .agg(F.count("InvoiceNo").alias("invoices"))
+        .agg(F.count("InvoiceNo").alias("invoices"), _total("total").alias("spend"))
     )
 
 
+def invoices_per_customer(clean: DataFrame) -> DataFrame:
+    return customer_totals(clean).select("CustomerID", "invoices")
+
+
 def spend_per_customer(clean: DataFrame) -> DataFrame:
     return (
         clean.filter(F.col("CustomerID").isNotNull())
@@ -98,15 +112,15 @@ def spend_per_customer(clean: DataFrame) -> DataFrame:
     )
 
 
-def spend_summary(clean: DataFrame) -> DataFrame:
-    """Mean and median spend and mean number of invoices per customer, in one row."""
-    spend = spend_per_customer(clean)
-    median = exact_quantiles(
-        spend.select(F.lit("spend").alias("feature"), F.col("spend").alias("value")), [0.5]
-    )
-    invoices = invoices_per_customer(clean)
-    return spend.agg(
+def spend_summary(totals: DataFrame) -> DataFrame:
+    """Mean and median spend and mean number of invoices per customer, in one row.
+
+    ``totals`` is the table of ``customer_totals``; it is read more than once and should be
+    stored.
+    """
+    median = exact_quantiles(to_long(totals, ["spend"]), [0.5])
+    return totals.agg(
         F.avg("spend").alias("mean_spend"),
         F.any_value(median.select("quantile").scalar()).alias("median_spend"),
-        F.any_value(invoices.agg(F.avg("invoices")).scalar()).alias("mean_invoices"),
+        F.avg("invoices").alias("mean_invoices"),
     )

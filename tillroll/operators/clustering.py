@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
@@ -21,6 +22,9 @@ TOL = 1e-4
 K_SCAN = range(2, 11)
 K_VALUES = (3, 4)
 
+# Rows of one cached partition, at least.
+PARTITION_ROWS = 50_000
+
 # Centroid tables are attached to every row, so their size is checked.
 MAX_CENTROID_CELLS = 1_000_000
 
@@ -98,7 +102,11 @@ def fit_kmeans(
     else:
         order = original.select("CustomerID", F.col(order_by).alias("order"))
         ordered = scaled.join(order, "CustomerID")
-    vectors = with_vector(ordered, columns).select("vector", "order").persist()
+    # Each iteration is a short job over the cached vectors: many small partitions would
+    # cost more than they share. The count reads only file footers of a stored table.
+    rows = scaled.count()
+    vectors = with_vector(ordered, columns).select("vector", "order")
+    vectors = vectors.coalesce(max(1, math.ceil(rows / PARTITION_ROWS))).persist()
     try:
 
         def one(job):
@@ -109,7 +117,6 @@ def fit_kmeans(
             model = kmeans.fit(vectors)
             return model.summary.trainingCost, start, model
 
-        vectors.count()
         jobs = [(k, start) for k in k_values for start in range(n_init)]
         with ThreadPoolExecutor(parallelism) as pool:
             fitted = list(pool.map(one, jobs))

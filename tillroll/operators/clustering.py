@@ -93,6 +93,9 @@ def fit_kmeans(
 ) -> dict[int, KMeansFit]:
     """Best of ``n_init`` starts for each k, by inertia.
 
+    A fit ends when the squared moves of all centers sum to at most ``tol`` times the mean
+    variance of the columns.
+
     The vectors are cached once for all fits, which run from a few driver threads like a
     cross-validator's. Clusters are renumbered by descending mean of ``order_by`` in
     ``original`` (in ``scaled`` without it), as raw numbers mean nothing.
@@ -102,17 +105,21 @@ def fit_kmeans(
     else:
         order = original.select("CustomerID", F.col(order_by).alias("order"))
         ordered = scaled.join(order, "CustomerID")
+    first = scaled.agg(F.count(F.lit(1)), *[F.var_pop(c) for c in columns]).first()
+    rows, variance = first[0], sum(first[1:]) / len(columns)
     # Each iteration is a short job over the cached vectors: many small partitions would
-    # cost more than they share. The count reads only file footers of a stored table.
-    rows = scaled.count()
+    # cost more than they share.
     vectors = with_vector(ordered, columns).select("vector", "order")
     vectors = vectors.coalesce(max(1, math.ceil(rows / PARTITION_ROWS))).persist()
     try:
 
         def one(job):
             k, start = job
+            # Spark stops when no center moves further than its tolerance, so this bounds
+            # the sum of the squared moves by tol times the variance.
+            move = math.sqrt(tol * variance / k)
             kmeans = KMeans(
-                k=k, seed=seed + start, maxIter=max_iter, tol=tol, featuresCol="vector"
+                k=k, seed=seed + start, maxIter=max_iter, tol=move, featuresCol="vector"
             )
             model = kmeans.fit(vectors)
             return model.summary.trainingCost, start, model

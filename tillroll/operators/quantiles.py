@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 # The sketch returns a value whose rank is off by at most rows / SKETCH_ACCURACY.
 SKETCH_ACCURACY = 10_000
 BRACKET = 4.0 / SKETCH_ACCURACY
+FEW_ROWS = 20_000
 
 
 def to_long(df: DataFrame, columns: list[str], key: str | None = None) -> DataFrame:
@@ -31,14 +32,19 @@ def exact_quantiles(values: DataFrame, probabilities: list[float]) -> DataFrame:
         for p in (max(0.0, q - BRACKET), min(1.0, q + BRACKET))
     ]
     sketch = values.groupBy("feature").agg(
-        F.percentile_approx("value", bounds, SKETCH_ACCURACY).alias("cut")
+        F.percentile_approx("value", bounds, SKETCH_ACCURACY).alias("cut"),
+        F.count("value").alias("n"),
+        F.min("value").alias("min"),
+        F.max("value").alias("max"),
     )
+    # Between few rows one rank is wider than a bracket; they are all sorted.
+    few = F.col("n") <= FEW_ROWS
     wanted = F.array(
         *[
             F.struct(
                 F.lit(float(q)).alias("probability"),
-                F.col("cut")[2 * i].alias("low"),
-                F.col("cut")[2 * i + 1].alias("high"),
+                F.when(few, F.col("min")).otherwise(F.col("cut")[2 * i]).alias("low"),
+                F.when(few, F.col("max")).otherwise(F.col("cut")[2 * i + 1]).alias("high"),
             )
             for i, q in enumerate(probabilities)
         ]
@@ -64,33 +70,36 @@ def exact_quantiles(values: DataFrame, probabilities: list[float]) -> DataFrame:
         )
     )
     group = Window.partitionBy("feature", "probability")
+    inside_copies = F.when(F.col("value").isNotNull(), F.col("copies")).otherwise(0)
     ranked = counted.select(
         "feature",
         "probability",
         "value",
         F.sum("copies").over(group).alias("rows"),
-        (
-            F.sum("below").over(group)
-            + F.sum(F.when(F.col("value").isNotNull(), F.col("copies")).otherwise(0)).over(
-                group.orderBy(F.asc_nulls_first("value"))
-            )
-        ).alias("upto"),
+        F.sum("below").over(group).alias("below"),
+        F.sum(inside_copies).over(group.orderBy(F.asc_nulls_first("value"))).alias("inside"),
     ).withColumn("rank", F.col("probability") * (F.col("rows") - 1))
 
     # The order statistic at 0-based rank r is the first value with more than r rows up to it.
     def statistic(rank):
-        return F.min(F.when(F.col("upto") > rank, F.col("value")))
+        return F.min(F.when(F.col("below") + F.col("inside") > rank, F.col("value")))
 
     lower, upper = F.floor("rank"), F.ceil("rank")
-    picked = ranked.filter(F.col("value").isNotNull()).groupBy("feature", "probability").agg(
-        F.first("rank").alias("rank"), statistic(lower).alias("lo"), statistic(upper).alias("hi")
+    picked = (
+        ranked.filter(F.col("value").isNotNull())
+        .groupBy("feature", "probability")
+        .agg(
+            F.any_value("rank").alias("rank"),
+            F.any_value("below").alias("below"),
+            statistic(lower).alias("lo"),
+            statistic(upper).alias("hi"),
+        )
     )
+    bracketed = (F.col("below") <= F.floor("rank")) & F.col("hi").isNotNull()
+    value = F.col("lo") + (F.col("hi") - F.col("lo")) * (F.col("rank") - F.floor("rank"))
+    missed = F.raise_error(F.lit("a quantile fell outside its bracket")).cast("double")
     return picked.select(
-        "feature",
-        "probability",
-        (F.col("lo") + (F.col("hi") - F.col("lo")) * (F.col("rank") - F.floor("rank"))).alias(
-            "quantile"
-        ),
+        "feature", "probability", F.when(bracketed, value).otherwise(missed).alias("quantile")
     )
 
 

@@ -177,6 +177,23 @@ MOVED = "\nmoved AS (SELECT CustomerID, " + ", ".join(
     f"{box_cox(f, lam)} AS {f}" for f, lam in FIXED_LAMBDAS.items()
 ) + " FROM features)"
 
+LONG_MOVED = LONG_FEATURES.replace("UNPIVOT features", "UNPIVOT moved")
+
+FENCES = """
+quartiles AS (
+  SELECT feature, quantile_cont(value, 0.25) AS q1, quantile_cont(value, 0.5) AS median,
+         quantile_cont(value, 0.75) AS q3
+  FROM long GROUP BY feature
+), fences AS (
+  SELECT *, q1 - 1.5 * (q3 - q1) AS low, q3 + 1.5 * (q3 - q1) AS high FROM quartiles
+)"""
+
+BOX_STATS = f"""SELECT f.feature, {r('q1')} AS q1, {r('median')} AS median, {r('q3')} AS q3,
+        {r('least(min(value) FILTER (value >= low), q1)')} AS whisker_low,
+        {r('greatest(max(value) FILTER (value <= high), q3)')} AS whisker_high,
+        count(*) FILTER (value < low OR value > high) AS outliers
+        FROM fences f JOIN long ON long.feature = f.feature GROUP BY f.feature, q1, median, q3"""
+
 # The maximum-likelihood parameter by zooming into a grid of 41 points. The first grid spans
 # every parameter for which the powers stay finite.
 LOGS = """
@@ -335,6 +352,9 @@ FROM (SELECT DISTINCT isodow(ts) - 1 AS day FROM events) d
 CROSS JOIN (SELECT DISTINCT hour(ts) AS hour FROM events) h
 LEFT JOIN events ON isodow(ts) - 1 = d.day AND hour(ts) = h.hour
 GROUP BY d.day, h.hour""",
+    "day_hour_matrix": "SELECT CAST(isodow(ts) - 1 AS INTEGER) AS DayOfWeek, "
+    + ", ".join(f'count(*) FILTER (hour(ts) = {h}) AS "{h}"' for h in range(24))
+    + " FROM events GROUP BY 1",
     "top_products_quantity": query(
         RAW,
         LINES,
@@ -399,24 +419,9 @@ GROUP BY d.day, h.hour""",
         f"SELECT feature, {r('avg(value)')} AS mean, {case_map('feature', FEATURE_LABELS)} AS label FROM long GROUP BY feature",
     ),
     "feature_describe": query(RAW, LINES, FEATURE_TABLE, LONG_FEATURES, describe()),
-    "feature_boxstats": query(
-        RAW,
-        LINES,
-        FEATURE_TABLE,
-        LONG_FEATURES,
-        """
-quartiles AS (
-  SELECT feature, quantile_cont(value, 0.25) AS q1, quantile_cont(value, 0.5) AS median,
-         quantile_cont(value, 0.75) AS q3
-  FROM long GROUP BY feature
-), fences AS (
-  SELECT *, q1 - 1.5 * (q3 - q1) AS low, q3 + 1.5 * (q3 - q1) AS high FROM quartiles
-)""",
-        f"""SELECT f.feature, {r('q1')} AS q1, {r('median')} AS median, {r('q3')} AS q3,
-        {r('least(min(value) FILTER (value >= low), q1)')} AS whisker_low,
-        {r('greatest(max(value) FILTER (value <= high), q3)')} AS whisker_high,
-        count(*) FILTER (value < low OR value > high) AS outliers
-        FROM fences f JOIN long ON long.feature = f.feature GROUP BY f.feature, q1, median, q3""",
+    "feature_boxstats": query(RAW, LINES, FEATURE_TABLE, LONG_FEATURES, FENCES, BOX_STATS),
+    "transformed_boxstats": query(
+        RAW, LINES, FEATURE_TABLE, MOVED, LONG_MOVED, FENCES, BOX_STATS
     ),
     "boxcox_apply_fixed": query(
         RAW,
@@ -532,7 +537,7 @@ _HISTOGRAMS = {
     "transformed_histogram": (
         FEATURE_TABLE,
         MOVED,
-        LONG_FEATURES.replace("UNPIVOT features", "UNPIVOT moved"),
+        LONG_MOVED,
     ),
 }
 _DENSITIES = {

@@ -220,6 +220,10 @@ def day_hour_activity(spark, sf):
     return sales.day_hour_activity(events)
 
 
+def day_hour_matrix(spark, sf):
+    return sales.day_hour_matrix(stage(day_hour_activity(spark, sf), "activity"))
+
+
 def top_products_quantity(spark, sf):
     return sales.top_products(lines(spark, sf, ("Description",)), "Quantity")
 
@@ -312,6 +316,12 @@ def feature_boxstats(spark, sf):
     return rounded(distributions.box_stats(long), box)
 
 
+def transformed_boxstats(spark, sf):
+    moved = transforms.apply_box_cox(customer_table(spark, sf), FIXED_LAMBDAS)
+    box = ["q1", "median", "q3", "whisker_low", "whisker_high"]
+    return rounded(distributions.box_stats(quantiles.to_long(moved, FEATURES)), box)
+
+
 def _long_invoices(spark, sf):
     return quantiles.to_long(totals_table(spark, sf), ["invoices"])
 
@@ -514,6 +524,7 @@ QUERIES = {
     "daily_revenue": daily_revenue,
     "monthly_revenue": monthly_revenue,
     "day_hour_activity": day_hour_activity,
+    "day_hour_matrix": day_hour_matrix,
     "top_products_quantity": top_products_quantity,
     "top_products_revenue": top_products_revenue,
     "invoices_per_customer": invoices_per_customer,
@@ -536,6 +547,7 @@ QUERIES = {
     "feature_histogram": feature_histogram,
     "transformed_histogram": transformed_histogram,
     "feature_boxstats": feature_boxstats,
+    "transformed_boxstats": transformed_boxstats,
     "boxcox_apply_fixed": boxcox_apply_fixed,
     "boxcox_loglik_grid": boxcox_loglik_grid,
     "boxcox_lambda": boxcox_lambda,

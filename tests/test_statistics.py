@@ -119,11 +119,6 @@ def test_box_stats(long, data):
         assert r.outliers == int(((x < low) | (x > high)).sum())
 
 
-def test_missing_transformation_is_an_error():
-    with pytest.raises(ValueError):
-        distributions.transformed_or_fail(None)
-
-
 def slope(x, lam):
     """Derivative of the profile log-likelihood, from the definition."""
     y = (x**lam - 1) / lam

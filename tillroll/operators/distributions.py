@@ -129,10 +129,3 @@ def box_stats(values: DataFrame) -> DataFrame:
         F.greatest("last_inside", "q3").alias("whisker_high"),
         "outliers",
     )
-
-
-def transformed_or_fail(table: DataFrame | None) -> DataFrame:
-    """The transformed features, or an error when the transformation has not been run."""
-    if table is None:
-        raise ValueError("no transformed features: run the Box-Cox transformation first")
-    return table

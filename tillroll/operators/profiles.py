@@ -10,7 +10,7 @@ from tillroll.schema import FEATURE_LABELS, FEATURES
 
 
 def attach_labels(df: DataFrame, labels: DataFrame, key: str = "CustomerID") -> DataFrame:
-    """Cluster labels joined to any table by customer; both sides are unique on the key."""
+    """Cluster labels joined to any table by customer, one output row per label."""
     return df.join(labels, key)
 
 

@@ -12,9 +12,12 @@ FEW_ROWS = 20_000
 
 
 def to_long(df: DataFrame, columns: list[str], key: str | None = None) -> DataFrame:
-    """(key,) feature, value rows from numeric columns."""
-    wide = df.select(*([key] if key else []), *[F.col(c).cast("double").alias(c) for c in columns])
-    return wide.unpivot(key or [], columns, "feature", "value")
+    """(key,) feature, value rows from numeric columns, all in one pass."""
+    cells = [
+        F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("value"))
+        for c in columns
+    ]
+    return df.select(*([key] if key else []), F.inline(F.array(*cells)))
 
 
 def exact_quantiles(values: DataFrame, probabilities: list[float]) -> DataFrame:
@@ -116,10 +119,7 @@ def quantiles_wide(values: DataFrame, names: dict[str, float]) -> DataFrame:
 
 def below_quantile(df: DataFrame, column: str, probability: float = 0.99) -> DataFrame:
     """Rows whose ``column`` is strictly below its quantile."""
-    cut = exact_quantiles(
-        df.select(F.lit(column).alias("feature"), F.col(column).cast("double").alias("value")),
-        [probability],
-    )
+    cut = exact_quantiles(to_long(df, [column]), [probability])
     return df.filter(F.col(column) < cut.select("quantile").scalar())
 
 

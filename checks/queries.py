@@ -15,7 +15,7 @@ from tillroll.operators import cleaning, clustering, distributions, features, pr
 from tillroll.operators import reduction, sales, shapley, silhouette, surrogate, transforms
 from tillroll.operators import rfm as rfm_ops
 from tillroll.schema import FEATURES, RADAR_AXES_6, RADAR_AXES_8
-from tillroll.session import shared_folder, stage
+from tillroll.session import stage, staging_path
 from tillroll.sources import transactions as sources
 
 HOME = "NATION_2"
@@ -134,7 +134,7 @@ def explained_labels(spark, sf):
 @once
 def surrogates(spark, sf):
     fits, scaled = kmeans_fits(spark, sf), scaled_table(spark, sf)
-    return {k: surrogate.train_surrogate(fits[k].assign(scaled), k) for k in EXPLAINED_K}
+    return surrogate.train_surrogates({k: fits[k].assign(scaled) for k in EXPLAINED_K})
 
 
 @once
@@ -157,9 +157,9 @@ def shap_rows(spark, sf):
 
 def scan_transactions(spark, sf):
     """Write the lines as a Latin-1 CSV export and read it back under the fixed schema."""
-    path = f"{shared_folder(spark)}/tillroll/scan-{spark.sparkContext.applicationId}"
+    path = staging_path(spark, "export")
     raw = transactions(spark, sf)
-    raw.write.mode("overwrite").options(
+    raw.write.options(
         **sources.CSV_OPTIONS,
         encoding="ISO-8859-1",
         timestampNTZFormat="yyyy-MM-dd HH:mm:ss",
@@ -469,7 +469,7 @@ def best_k(spark, sf):
 
 def cluster_export(spark, sf):
     """Write the labels as CSV, one folder per k, and read them back."""
-    folder = f"{shared_folder(spark)}/tillroll/export-{spark.sparkContext.applicationId}"
+    folder = staging_path(spark, "clusters")
     sources.write_clusters(explained_labels(spark, sf), folder)
     return spark.read.options(**sources.CSV_OPTIONS).schema(
         "CustomerID string, Cluster int, k int"

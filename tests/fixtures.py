@@ -8,7 +8,7 @@ ROWS = {
     "e2": f"C536379,D,Discount,-1,2010-12-01 09:41:00,27.50,14527,{UK}",
     "e3": f"c536380,22960,JAM SET,1,2010-12-01 09:41:00,4.25,14527,{UK}",
     "e4": f",22961,JAM SET,1,2010-12-02 10:00:00,1.00,14527,{UK}",
-    "e5": f"536414,22139,,56,2010-12-01 11:52:00,1.00,,{UK}",
+    "e5": f"536414,22139,NA,56,2010-12-01 11:52:00,1.00,,{UK}",
     "e6": f"536370,22728,ALARM CLOCK,24,2010-12-01 08:45:00,3.75,12583,{FR}",
     "e7": f"536500,22729,ZERO PRICE,5,2010-12-03 08:00:00,0.0,14527,{UK}",
     "e8": f"536501,22730,ZERO QTY,0,2010-12-03 08:00:00,1.0,14527,{UK}",

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from tillroll.operators.reduction import with_vector
 from tillroll.operators.silhouette import mean_silhouettes, squared_silhouette
 from tillroll.schema import FEATURES
+from tillroll.session import stage
 
 # Defaults of the clustering.
 SEED = 42
@@ -189,7 +190,7 @@ def k_selection(
     spark = scaled.sparkSession
     columns = next(iter(fits.values())).columns
     if metric == "euclidean":
-        labelled = assign_chained(scaled, fits)
+        labelled = stage(assign_chained(scaled, fits), "assigned")
         names = {k: f"Cluster_{k}" for k in fits}
         scores = mean_silhouettes(labelled, columns, names, "CustomerID")
     elif metric == "squaredEuclidean":

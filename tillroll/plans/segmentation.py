@@ -120,13 +120,15 @@ def segment(
     labels = stage(clustering.labels_long(scaled, fits), "labels")
     io.write_clusters(labels, folder)
     means = stage(profiles.cluster_means(original, labels), "means")
-    models, predictions, shap = {}, [], []
-    for k in k_values:
-        own = labels.filter(labels.k == k).select("CustomerID", "Cluster")
-        labelled = profiles.attach_labels(scaled, own)
-        models[k] = surrogate.train_surrogate(labelled, k, trees=trees, max_depth=max_depth)
-        predictions.append(models[k].predictions(labelled))
-        shap.append(shapley.shap_values(scaled, models[k]))
+    labelled = {
+        k: profiles.attach_labels(
+            scaled, labels.filter(labels.k == k).select("CustomerID", "Cluster")
+        )
+        for k in k_values
+    }
+    models = surrogate.train_surrogates(labelled, trees=trees, max_depth=max_depth)
+    predictions = [models[k].predictions(labelled[k]) for k in k_values]
+    shap = [shapley.shap_values(scaled, models[k]) for k in k_values]
     predicted, explained = predictions[0], shap[0]
     for more_predictions, more_shap in zip(predictions[1:], shap[1:]):
         predicted = predicted.unionByName(more_predictions)

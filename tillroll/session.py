@@ -46,6 +46,12 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     ``checkpoint()``, outlives lost executors and keeps column pruning and statistics.
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/tillroll/{name}-{uuid.uuid4().hex}"
+    path = staging_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def staging_path(spark: SparkSession, name: str) -> str:
+    """A fresh path in the shared folder; one application's tables lie in one folder."""
+    app = spark.sparkContext.applicationId
+    return f"{shared_folder(spark)}/tillroll/{app}/{name}-{uuid.uuid4().hex}"

@@ -13,6 +13,30 @@ from tillroll.schema import CLEAN_TRANSACTIONS, CUSTOMER_FEATURES, RAW_TRANSACTI
 CSV_OPTIONS = {"header": "true", "quote": '"', "escape": '"'}
 
 
+# Texts that mean "missing" in such exports.
+MISSING_TEXTS = [
+    "",
+    "#N/A",
+    "#N/A N/A",
+    "#NA",
+    "-1.#IND",
+    "-1.#QNAN",
+    "-NaN",
+    "-nan",
+    "1.#IND",
+    "1.#QNAN",
+    "<NA>",
+    "N/A",
+    "NA",
+    "NULL",
+    "NaN",
+    "None",
+    "n/a",
+    "nan",
+    "null",
+]
+
+
 def _text_dates(schema: T.StructType) -> T.StructType:
     return T.StructType(
         [
@@ -35,10 +59,13 @@ def read_transactions(
         .options(**CSV_OPTIONS, encoding=encoding, mode=mode)
         .csv(path)
     )
+    texts = [f.name for f in RAW_TRANSACTIONS.fields if isinstance(f.dataType, T.StringType)]
+    present = {c: F.when(~F.col(c).isin(MISSING_TEXTS), F.col(c)) for c in texts}
     return raw.withColumns(
-        {
+        present
+        | {
             "InvoiceDate": parse_invoice_date(F.col("InvoiceDate")),
-            "CustomerID": normalize_customer_id(F.col("CustomerID"), missing_id),
+            "CustomerID": normalize_customer_id(present["CustomerID"], missing_id),
         }
     )
 

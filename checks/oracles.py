@@ -312,6 +312,56 @@ ORACLES = {
         pence / 100.0 AS UnitPrice, CustomerID, Country, Quantity * (pence / 100.0) AS TotalPrice
         FROM lines WHERE Country = '{HOME}'""",
     ),
+    "stored_clean_lines": query(
+        RAW,
+        LINES,
+        f"""SELECT InvoiceNo, StockCode, Description, Quantity, InvoiceDate,
+        pence / 100.0 AS UnitPrice, CustomerID, Country, Quantity * (pence / 100.0) AS TotalPrice,
+        CAST(isodow(InvoiceDate) - 1 AS INTEGER) AS DayOfWeek, CAST(hour(InvoiceDate) AS INTEGER) AS HourOfDay
+        FROM lines WHERE Country = '{HOME}'""",
+    ),
+    "stored_features": query(
+        RAW,
+        LINES,
+        FEATURE_TABLE,
+        MOVED,
+        "SELECT CustomerID, "
+        + ", ".join(f"{r('f.' + f)} AS {f}" for f in FEATURES)
+        + ", "
+        + ", ".join(
+            r(f"(m.{f} - avg(m.{f}) OVER ()) / stddev_pop(m.{f}) OVER ()") + f" AS {f}_z"
+            for f in FEATURES
+        )
+        + " FROM features f JOIN moved m USING (CustomerID)",
+    ),
+    "inertia_given": query(
+        NEAREST, f"SELECT 10 AS k, {r('sum(distance_sq)')} AS inertia FROM nearest"
+    ),
+    "fidelity_given": query(
+        NEAREST,
+        f"""SELECT 10 AS k, {r('avg(CAST(label = cluster AS INTEGER))')} AS fidelity,
+        CASE WHEN avg(CAST(label = cluster AS INTEGER)) >= 0.95 THEN 'CHÍNH XÁC' ELSE 'HỢP LÝ' END AS verdict
+        FROM nearest""",
+    ),
+    "top_features_given": query(
+        RAW,
+        LINES,
+        FEATURE_TABLE,
+        LONG_FEATURES,
+        SEGMENT_LABELS,
+        """
+z AS (
+  SELECT CustomerID, feature, (value - avg(value) OVER w) / stddev_pop(value) OVER w AS value
+  FROM long WINDOW w AS (PARTITION BY feature)
+), sizes AS (
+  SELECT k, Cluster AS cluster, feature, avg(abs(value)) AS mean_abs
+  FROM z JOIN labels USING (CustomerID) GROUP BY k, Cluster, feature
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY mean_abs DESC, feature) AS rank FROM sizes
+)""",
+        f"SELECT k, cluster, feature, {r('mean_abs')} AS mean_abs_shap, rank FROM ranked WHERE rank <= 3",
+    ),
+    "cluster_export_given": query(SEGMENT_LABELS, "SELECT * FROM labels"),
     "time_features": "SELECT event_id, CAST(isodow(ts) - 1 AS INTEGER) AS DayOfWeek, CAST(hour(ts) AS INTEGER) AS HourOfDay FROM events",
     "dataset_profile": query(
         RAW,

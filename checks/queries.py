@@ -186,6 +186,26 @@ def clean_home(spark, sf):
     return cleaning.clean_transactions(transactions(spark, sf), HOME)
 
 
+def stored_clean_lines(spark, sf):
+    """Clean lines with time columns, written as CSV and read back with their types."""
+    path = staging_path(spark, "clean")
+    sources.write_transactions(cleaning.time_features(clean_home(spark, sf)), path, "csv")
+    return sources.read_clean_transactions(spark, path, "csv")
+
+
+def stored_features(spark, sf):
+    """The three feature tables written and the original and scaled ones joined by customer."""
+    folder = staging_path(spark, "tables")
+    raw = customer_table(spark, sf)
+    moved = transforms.apply_box_cox(raw, FIXED_LAMBDAS)
+    sources.write_features(raw, moved, transforms.standardize(moved), folder)
+    original = sources.read_features(spark, folder, "customer_features")
+    scaled = sources.read_features(spark, folder, "customer_features_scaled")
+    z = [F.col(f).alias(f"{f}_z") for f in FEATURES]
+    joined = original.join(scaled.select("CustomerID", *z), "CustomerID")
+    return rounded(joined, [*FEATURES, *[f"{f}_z" for f in FEATURES]])
+
+
 def time_columns(spark, sf):
     events = cleaning.time_features(table(spark, sf, "events"), "ts")
     return events.select("event_id", "DayOfWeek", "HourOfDay")
@@ -326,18 +346,19 @@ def _long_invoices(spark, sf):
     return quantiles.to_long(totals_table(spark, sf), ["invoices"])
 
 
+@once
 def _long_trimmed_spend(spark, sf):
     trimmed = quantiles.below_quantile(totals_table(spark, sf), "spend")
-    return quantiles.to_long(trimmed, ["spend"])
+    return stage(quantiles.to_long(trimmed, ["spend"]), "trimmed_spend")
 
 
+@once
 def _long_rfm(spark, sf):
     """Recency, Frequency and Monetary below its 99th percentile."""
     scores = rfm_table(spark, sf)
     trimmed = quantiles.below_quantile(scores, "Monetary")
-    return quantiles.to_long(scores, ["Recency", "Frequency"]).unionByName(
-        quantiles.to_long(trimmed, ["Monetary"])
-    )
+    long = quantiles.to_long(scores, ["Recency", "Frequency"])
+    return stage(long.unionByName(quantiles.to_long(trimmed, ["Monetary"])), "rfm_long")
 
 
 def _histogram_of(long):
@@ -431,6 +452,35 @@ def silhouette_euclidean(spark, sf):
     return rounded(scores, ["a", "b", "silhouette"], 5)
 
 
+def inertia_given(spark, sf):
+    nearest = _nearest(spark, sf)
+    total = nearest.agg(F.lit(10).alias("k"), F.sum("distance_sq").alias("inertia"))
+    return rounded(total, ["inertia"])
+
+
+def fidelity_given(spark, sf):
+    """How often the nearest centroid repeats the label."""
+    pairs = _nearest(spark, sf).select(
+        F.lit(10).alias("k"), "label", F.col("cluster").alias("prediction")
+    )
+    return rounded(surrogate.fidelity(pairs), ["fidelity"])
+
+
+def top_features_given(spark, sf):
+    """The ranking of features per cluster, on z-scores of the market segments."""
+    scores = stage(transforms.standardize(customer_table(spark, sf)), "z")
+    values = quantiles.to_long(scores, FEATURES, "CustomerID").withColumnRenamed("value", "shap")
+    labelled = profiles.attach_labels(values, segment_labels(spark, sf))
+    top = shapley.top_features(labelled.withColumnRenamed("Cluster", "cluster"))
+    return rounded(top, ["mean_abs_shap"])
+
+
+def cluster_export_given(spark, sf):
+    folder = staging_path(spark, "segments")
+    sources.write_clusters(segment_labels(spark, sf), folder)
+    return _read_clusters(spark, folder)
+
+
 # ---- models --------------------------------------------------------------------------------
 
 
@@ -471,9 +521,12 @@ def cluster_export(spark, sf):
     """Write the labels as CSV, one folder per k, and read them back."""
     folder = staging_path(spark, "clusters")
     sources.write_clusters(explained_labels(spark, sf), folder)
-    return spark.read.options(**sources.CSV_OPTIONS).schema(
-        "CustomerID string, Cluster int, k int"
-    ).csv(f"{folder}/customer_clusters")
+    return _read_clusters(spark, folder)
+
+
+def _read_clusters(spark, folder):
+    reader = spark.read.options(**sources.CSV_OPTIONS)
+    return reader.schema("CustomerID string, Cluster int, k int").csv(f"{folder}/customer_clusters")
 
 
 def cluster_sizes(spark, sf):
@@ -517,6 +570,7 @@ QUERIES = {
     "scan_transactions": scan_transactions,
     "normalize_customer_id": normalize_ids,
     "clean_transactions": clean_home,
+    "stored_clean_lines": stored_clean_lines,
     "time_features": time_columns,
     "dataset_profile": dataset_profile,
     "dataset_summary": dataset_summary,
@@ -543,6 +597,7 @@ QUERIES = {
     "rfm_kde": _density_of(_long_rfm),
     "customer_features": customer_features,
     "feature_labels": feature_labels,
+    "stored_features": stored_features,
     "feature_describe": feature_describe,
     "feature_histogram": feature_histogram,
     "transformed_histogram": transformed_histogram,
@@ -557,7 +612,11 @@ QUERIES = {
     "cluster_means_given": cluster_means_given,
     "radar_minmax": radar_minmax,
     "assign_nearest_centroid": assign_nearest_centroid,
+    "inertia_given": inertia_given,
     "confusion_given": confusion_given,
+    "fidelity_given": fidelity_given,
+    "top_features_given": top_features_given,
+    "cluster_export_given": cluster_export_given,
     "silhouette_euclidean": silhouette_euclidean,
     "pca_scores": pca_scores,
     "pca_variance": pca_variance,

@@ -5,10 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-# The sketch returns a value whose rank is off by at most rows / SKETCH_ACCURACY.
+# The sketch returns a value whose rank is off by at most rows / accuracy.
 SKETCH_ACCURACY = 10_000
-BRACKET = 4.0 / SKETCH_ACCURACY
-FEW_ROWS = 20_000
 
 
 def to_long(df: DataFrame, columns: list[str], key: str | None = None) -> DataFrame:
@@ -20,28 +18,33 @@ def to_long(df: DataFrame, columns: list[str], key: str | None = None) -> DataFr
     return df.select(*([key] if key else []), F.inline(F.array(*cells)))
 
 
-def exact_quantiles(values: DataFrame, probabilities: list[float]) -> DataFrame:
+def exact_quantiles(
+    values: DataFrame, probabilities: list[float], accuracy: int = SKETCH_ACCURACY
+) -> DataFrame:
     """Quantiles of ``value`` per ``feature``: columns feature, probability, quantile.
 
     The built-in ``percentile`` keeps every distinct value of a group in one task. Here a
     sketch first brackets each wanted rank. Rows below a bracket are only counted, and the
     few distinct values inside it are sorted by (feature, probability) to pick the two order
-    statistics around the rank. The result is exact for any number of rows.
+    statistics around the rank. The result is exact for any number of rows and any
+    ``accuracy``; a bracket holds 8 / accuracy of the rows, so tables of many billions of
+    rows may want a larger one.
     """
+    reach = 4.0 / accuracy
     values = values.filter(F.col("value").isNotNull() & ~F.isnan("value"))
     bounds = [
         p
         for q in probabilities
-        for p in (max(0.0, q - BRACKET), min(1.0, q + BRACKET))
+        for p in (max(0.0, q - reach), min(1.0, q + reach))
     ]
     sketch = values.groupBy("feature").agg(
-        F.percentile_approx("value", bounds, SKETCH_ACCURACY).alias("cut"),
+        F.percentile_approx("value", bounds, accuracy).alias("cut"),
         F.count("value").alias("n"),
         F.min("value").alias("min"),
         F.max("value").alias("max"),
     )
     # Between few rows one rank is wider than a bracket; they are all sorted.
-    few = F.col("n") <= FEW_ROWS
+    few = F.col("n") <= 2 * accuracy
     wanted = F.array(
         *[
             F.struct(

@@ -30,10 +30,12 @@ def explore(
 
     totals = stage(sales.customer_totals(clean), "totals")
     scores = stage(rfm.rfm(clean), "rfm")
-    spend = quantiles.to_long(quantiles.below_quantile(totals, "spend"), ["spend"])
+    trimmed = quantiles.below_quantile(totals, "spend")
+    spend = stage(quantiles.to_long(trimmed, ["spend"]), "trimmed_spend")
     invoices = quantiles.to_long(totals, ["invoices"])
-    rfm_long = quantiles.to_long(scores, ["Recency", "Frequency"]).unionByName(
-        quantiles.to_long(quantiles.below_quantile(scores, "Monetary"), ["Monetary"])
+    trimmed = quantiles.to_long(quantiles.below_quantile(scores, "Monetary"), ["Monetary"])
+    rfm_long = stage(
+        quantiles.to_long(scores, ["Recency", "Frequency"]).unionByName(trimmed), "rfm_long"
     )
     return {
         "dataset_summary": cleaning.dataset_summary(raw),

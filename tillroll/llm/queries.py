@@ -6,10 +6,48 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillroll.llm import bpe, sharding
-from tillroll.llm.common import table, whole_text
+from tillroll.llm import bpe, language, quality, sharding
+from tillroll.llm.common import held_out, table, whole_text
 
 SHARDS = 24
+#: Ratings: 0 toxic, 1 low quality, 2 good.
+GRADES = 3
+GOOD = 2
+KEEP_PROBABILITY = 0.5
+
+
+def op3_language_id(spark: SparkSession, sf: str) -> DataFrame:
+    """The main language of every document, learned from three quarters of them."""
+    documents = table(spark, sf, "documents").withColumn("held_out", held_out("doc_id", 4, 2))
+    model = language.fit(documents.where(~F.col("held_out")))
+    return language.predict(documents.select("doc_id", "held_out", "text"), model).drop("text")
+
+
+def rating(quality_label: str = "quality", toxic: str = "toxic"):
+    """Grade of a labelled document; null where the labels do not give one."""
+    return (
+        F.when(F.col(toxic) == 1, 0).when(F.col(quality_label) == 0, 1).when(
+            (F.col(quality_label) == 1) & (F.col(toxic) == 0), GOOD
+        )
+    )
+
+
+def fit_quality(documents: DataFrame, labels: DataFrame) -> quality.QualityModel:
+    """The ordinal model on the labelled documents; one rating per document, the lowest."""
+    rated = labels.select("doc_id", rating().alias("grade")).where("grade is not null")
+    rated = rated.groupBy("doc_id").agg(F.min("grade").alias("grade"))
+    return quality.fit(documents.select("doc_id", "text").join(rated, "doc_id"), GRADES)
+
+
+def op9_quality(spark: SparkSession, sf: str) -> DataFrame:
+    """Expected grade of every document, the probability of a good one, and the decision."""
+    documents = table(spark, sf, "documents").select("doc_id", "text")
+    model = fit_quality(documents, table(spark, sf, "labels"))
+    return (
+        quality.score(documents, model, tail=GOOD)
+        .drop("text")
+        .withColumn("keep", F.col("tail_probability") >= KEEP_PROBABILITY)
+    )
 
 
 def op6_byte_bpe(spark: SparkSession, sf: str) -> DataFrame:
@@ -42,8 +80,10 @@ def op8_sharding(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES = {
+    "op3_language_id": op3_language_id,
     "op6_byte_bpe": op6_byte_bpe,
     "op8_sharding": op8_sharding,
+    "op9_quality": op9_quality,
 }
 
 ORACLES: dict[str, str] = {}

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillroll.llm import bpe, language, quality, sharding
+from tillroll.llm import ann, bpe, html, language, quality, sharding
 from tillroll.llm.common import held_out, table, whole_text
 
 SHARDS = 24
@@ -16,6 +16,15 @@ GOOD = 2
 KEEP_PROBABILITY = 0.5
 
 
+def op2_html_text(spark: SparkSession, sf: str) -> DataFrame:
+    """The main text of every page."""
+    pages = table(spark, sf, "pages").select("page_id", "url", "html")
+    found = html.extract(pages, html.fit(pages))
+    return found.select(
+        "page_id", "url", "text", F.char_length("text").cast("bigint").alias("n_chars")
+    )
+
+
 def op3_language_id(spark: SparkSession, sf: str) -> DataFrame:
     """The main language of every document, learned from three quarters of them."""
     documents = table(spark, sf, "documents").withColumn("held_out", held_out("doc_id", 4, 2))
@@ -50,6 +59,12 @@ def op9_quality(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def op5_nearest(spark: SparkSession, sf: str) -> DataFrame:
+    """The ten nearest vectors of every hundredth vector."""
+    rows = table(spark, sf, "embeddings")
+    return ann.search(rows, rows.where(F.col("vec_id") % 100 == 0), 10)
+
+
 def op6_byte_bpe(spark: SparkSession, sf: str) -> DataFrame:
     """Token ids of every document, and the bytes they decode to, as digests."""
     vocabulary = bpe.Vocabulary.read(
@@ -80,7 +95,9 @@ def op8_sharding(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_html_text": op2_html_text,
     "op3_language_id": op3_language_id,
+    "op5_nearest": op5_nearest,
     "op6_byte_bpe": op6_byte_bpe,
     "op8_sharding": op8_sharding,
     "op9_quality": op9_quality,

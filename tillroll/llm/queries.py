@@ -6,8 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillroll.llm import ann, bpe, html, language, quality, sharding
-from tillroll.llm.common import held_out, table, whole_text
+from tillroll.llm import ann, bpe, html, language, lm, quality, sharding
+from tillroll.llm.common import held_out, stored, table, whole_text
 
 SHARDS = 24
 #: Ratings: 0 toxic, 1 low quality, 2 good.
@@ -94,6 +94,19 @@ def op8_sharding(spark: SparkSession, sf: str) -> DataFrame:
     return sharding.number_slots(grown, "shard", "doc_id").withColumn("law", F.lit("key"))
 
 
+def op10_gated_lm(spark: SparkSession, sf: str) -> DataFrame:
+    """Log10 probability of every document, learned from six sevenths of them."""
+    settings = lm.Settings()
+    documents = table(spark, sf, "documents").select(
+        "doc_id", "text", held_out("doc_id", 7, 2).alias("held_out")
+    )
+    learned = documents.where(~F.col("held_out"))
+    counts = stored(lm.count_words(learned, settings), "lm-counts")
+    lexicon = lm.read_lexicon(counts, settings)
+    weights = lm.train(learned, lexicon, "doc_id")
+    return lm.score(documents, counts, lexicon, weights)
+
+
 QUERIES = {
     "op2_html_text": op2_html_text,
     "op3_language_id": op3_language_id,
@@ -101,6 +114,7 @@ QUERIES = {
     "op6_byte_bpe": op6_byte_bpe,
     "op8_sharding": op8_sharding,
     "op9_quality": op9_quality,
+    "op10_gated_lm": op10_gated_lm,
 }
 
 ORACLES: dict[str, str] = {}

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillroll.llm import ann, bpe, html, language, lm, quality, sharding
+from tillroll.llm import ann, bpe, decontaminate, html, language, lm, quality, sharding
 from tillroll.llm.common import held_out, stored, table, whole_text
 
 SHARDS = 24
@@ -16,6 +16,14 @@ GOOD = 2
 KEEP_PROBABILITY = 0.5
 
 
+def op1_decontamination(spark: SparkSession, sf: str) -> DataFrame:
+    """Every benchmark item that a document holds: place in its text and edits."""
+    documents = table(spark, sf, "documents").select("doc_id", "text")
+    found = decontaminate.find_leaks(documents, table(spark, sf, "benchmark"))
+    leak = F.explode("leaks").alias("leak")
+    return found.select("doc_id", leak).select("doc_id", "leak.*")
+
+
 def op2_html_text(spark: SparkSession, sf: str) -> DataFrame:
     """The main text of every page."""
     pages = table(spark, sf, "pages").select("page_id", "url", "html")
@@ -108,6 +116,7 @@ def op10_gated_lm(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_decontamination": op1_decontamination,
     "op2_html_text": op2_html_text,
     "op3_language_id": op3_language_id,
     "op5_nearest": op5_nearest,

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillroll.llm import ann, bpe, decontaminate, html, language, lm, quality, sharding
+from tillroll.llm import ann, bpe, decontaminate, html, language, lm, ngram_join, quality, sharding
 from tillroll.llm.common import held_out, stored, table, whole_text
 
 SHARDS = 24
@@ -89,6 +89,11 @@ def op6_byte_bpe(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def op7_ngram_join(spark: SparkSession, sf: str) -> DataFrame:
+    """Set size and component of every document under a shingle similarity of 0.8."""
+    return ngram_join.join(table(spark, sf, "documents").select("doc_id", "text"))
+
+
 def op8_sharding(spark: SparkSession, sf: str) -> DataFrame:
     """Documents over 24 equal shards by rendezvous hashing of ``doc_id``."""
     text = whole_text()
@@ -121,6 +126,7 @@ QUERIES = {
     "op3_language_id": op3_language_id,
     "op5_nearest": op5_nearest,
     "op6_byte_bpe": op6_byte_bpe,
+    "op7_ngram_join": op7_ngram_join,
     "op8_sharding": op8_sharding,
     "op9_quality": op9_quality,
     "op10_gated_lm": op10_gated_lm,

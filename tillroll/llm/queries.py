@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillroll.llm import ann, bpe, decontaminate, html, language, lm, ngram_join, quality, sharding
+from tillroll.llm import ann, bpe, decontaminate, html, language, lm, ngram_join, pii, quality, sharding
 from tillroll.llm.common import held_out, stored, table, whole_text
 
 SHARDS = 24
@@ -67,6 +67,27 @@ def op9_quality(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def op4_personal_data(spark: SparkSession, sf: str) -> DataFrame:
+    """Counts of pattern spans per kind, their digest, and all spans of every document."""
+    documents = table(spark, sf, "documents").select("doc_id", "text")
+    found = pii.find(documents, keep_text=False)
+
+    def joined(spans: str):
+        parts = F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"]))
+        return F.array_join(parts, ",")
+
+    def counted(kind: str):
+        return F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("bigint")
+
+    counts = [counted(kind).alias(f"n_{kind}") for kind in pii.KINDS]
+    return found.select(
+        "doc_id",
+        *counts,
+        F.sha2(joined("base").cast("binary"), 256).alias("base_sha256"),
+        joined("spans").alias("spans"),
+    )
+
+
 def op5_nearest(spark: SparkSession, sf: str) -> DataFrame:
     """The ten nearest vectors of every hundredth vector."""
     rows = table(spark, sf, "embeddings")
@@ -124,6 +145,7 @@ QUERIES = {
     "op1_decontamination": op1_decontamination,
     "op2_html_text": op2_html_text,
     "op3_language_id": op3_language_id,
+    "op4_personal_data": op4_personal_data,
     "op5_nearest": op5_nearest,
     "op6_byte_bpe": op6_byte_bpe,
     "op7_ngram_join": op7_ngram_join,

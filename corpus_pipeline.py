@@ -1,13 +1,90 @@
-"""The corpus pipeline: stages over the documents, each written before the next one reads it."""
+"""The corpus pipeline: five stages over the documents, each written before the next one reads it.
+
+Every stage takes (spark, docs, sf_dir) and returns the rows that go on, with the columns of
+``documents``; the last one returns token ids instead of the text.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from tillroll.llm import bpe, decontaminate, ngram_join, pii, quality
 from tillroll.llm.common import stored, table
+from tillroll.llm.queries import GOOD, KEEP_PROBABILITY, fit_quality
+
+
+def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the ordinal classifier takes for good with the wanted probability."""
+    model = fit_quality(docs, table(spark, sf_dir, "labels"))
+    scored = quality.score(docs, model, tail=GOOD)
+    return scored.where(F.col("tail_probability") >= KEEP_PROBABILITY).select(*docs.columns)
+
+
+def distinct_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies: the one with the smallest id.
+
+    Rows without an id and rows without words are in no group and stay; of rows with equal ids the
+    one with the smallest other columns stays.
+    """
+    joined = ngram_join.join(docs.select("doc_id", "text"))
+    first = joined.where("n_shingles > 0 and doc_id = component_id").select("doc_id").distinct()
+    in_group = F.col("doc_id").isNotNull() & F.coalesce(
+        F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False)
+    )
+    rest = [c for c in docs.columns if c != "doc_id"]
+    kept = (
+        docs.where(in_group)
+        .join(first, "doc_id", "left_semi")
+        .groupBy("doc_id")
+        .agg(F.min(F.struct(*rest)).alias("row"))
+        .select("doc_id", "row.*")
+    )
+    return kept.unionByName(docs.where(~in_group)).select(*docs.columns)
+
+
+def clean_of_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no passage of the benchmark."""
+    found = decontaminate.find_leaks(docs, table(spark, sf_dir, "benchmark"))
+    return found.where(F.size("leaks") == 0).select(*docs.columns)
+
+
+def masked_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with personal data replaced by its kind; ``n_chars`` follows the text."""
+    found = pii.find(docs)
+    text = F.when(F.col("text").isNotNull(), pii.mask(F.col("text"), F.col("spans")))
+    changed = F.size("spans") > 0
+    masked = found.withColumn("_text", text).withColumn(
+        "n_chars",
+        F.when(changed, F.char_length("_text")).otherwise(F.col("n_chars")).cast("bigint"),
+    )
+    return masked.withColumn("text", F.col("_text")).select(*docs.columns)
+
+
+def encoded_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of every document; a document whose ids do not give its text back stops the run."""
+    vocabulary = bpe.Vocabulary.read(
+        public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+    )
+    coded = bpe.decode(bpe.encode(docs, vocabulary), vocabulary)
+    same = F.col("decoded") == F.coalesce("text", F.lit("")).cast("binary")
+    fault = F.concat(F.lit("ids do not give back document "), F.coalesce("doc_id", F.lit(-1)))
+    ids = F.when(same, F.col("ids")).otherwise(F.raise_error(fault).cast("array<int>"))
+    return coded.select(
+        "doc_id", "lang", "source", F.size("ids").cast("bigint").alias("n_tokens"), ids.alias("ids")
+    )
+
 
-STAGES: list = []
+STAGES = [
+    ("quality", good_documents),
+    ("near_duplicates", distinct_documents),
+    ("decontamination", clean_of_benchmark),
+    ("personal_data", masked_documents),
+    ("token_ids", encoded_documents),
+]
 
+#: No stage is expressible in SQL; tests hold them against plain versions.
 ORACLE_SQL = None
 
 

@@ -318,7 +318,7 @@ ORACLES = {
         f"""SELECT InvoiceNo, StockCode, Description, Quantity, InvoiceDate,
         pence / 100.0 AS UnitPrice, CustomerID, Country, Quantity * (pence / 100.0) AS TotalPrice,
         CAST(isodow(InvoiceDate) - 1 AS INTEGER) AS DayOfWeek, CAST(hour(InvoiceDate) AS INTEGER) AS HourOfDay
-        FROM lines WHERE Country = '{HOME}'""",
+        FROM lines""",
     ),
     "stored_features": query(
         RAW,
@@ -553,9 +553,46 @@ centred AS (
     "assign_nearest_centroid": query(
         NEAREST, f"SELECT vec_id, cluster, {r('distance_sq')} AS distance_sq FROM nearest"
     ),
+    "cluster_sizes_total": query(
+        RAW,
+        LINES,
+        FEATURE_TABLE,
+        """SELECT CAST(k AS INTEGER) AS k, (SELECT count(*) FROM features) AS customers
+        FROM range(2, 11) t(k)""",
+    ),
+    "kmeans_check": query(
+        RAW,
+        LINES,
+        FEATURE_TABLE,
+        """SELECT CAST(k AS INTEGER) AS k, (SELECT count(*) FROM features) AS customers,
+        CAST(0 AS BIGINT) AS mismatches, CAST(0 AS DOUBLE) AS inertia_gap FROM range(2, 11) t(k)""",
+    ),
+    "pca_check": query(
+        RAW,
+        LINES,
+        FEATURE_TABLE,
+        "SELECT count(*) AS customers, CAST(0 AS DOUBLE) AS mixed, CAST("
+        + " + ".join(f"CASE WHEN var_pop({f}) > 0 THEN 1 ELSE 0 END" for f in FEATURES)
+        + " AS DOUBLE) AS variance FROM features",
+    ),
+    "confusion_total": query(
+        RAW,
+        LINES,
+        FEATURE_TABLE,
+        """SELECT CAST(k AS INTEGER) AS k, k * k AS cells, (SELECT count(*) FROM features) AS customers
+        FROM range(3, 5) t(k)""",
+    ),
+    "shap_total": query(
+        RAW,
+        LINES,
+        FEATURE_TABLE,
+        f"""SELECT CAST(k AS INTEGER) AS k, CAST(c AS INTEGER) AS cluster,
+        {len(FEATURES)} * (SELECT count(*) FROM features) AS n, CAST({len(FEATURES)} AS BIGINT) AS features
+        FROM range(3, 5) t(k) JOIN range(4) u(c) ON c < k""",
+    ),
     "confusion_given": query(
         NEAREST,
-        """SELECT CAST(a AS INTEGER) AS label, CAST(b AS INTEGER) AS prediction, count(vec_id) AS n
+        """SELECT CAST(10 AS INTEGER) AS k, CAST(a AS INTEGER) AS label, CAST(b AS INTEGER) AS prediction, count(vec_id) AS n
         FROM range(10) t(a) CROSS JOIN range(10) u(b)
         LEFT JOIN nearest ON label = a AND cluster = b GROUP BY a, b""",
     ),

@@ -109,8 +109,6 @@ def kmeans_fits(spark, sf):
         scaled_table(spark, sf),
         clustering.K_SCAN,
         customer_table(spark, sf),
-        n_init=3,
-        max_iter=100,
         parallelism=8,
     )
 
@@ -189,7 +187,8 @@ def clean_home(spark, sf):
 def stored_clean_lines(spark, sf):
     """Clean lines with time columns, written as CSV and read back with their types."""
     path = staging_path(spark, "clean")
-    sources.write_transactions(cleaning.time_features(clean_home(spark, sf)), path, "csv")
+    every = cleaning.clean_transactions(transactions(spark, sf), None)
+    sources.write_transactions(cleaning.time_features(every), path, "csv")
     return sources.read_clean_transactions(spark, path, "csv")
 
 
@@ -442,9 +441,10 @@ def assign_nearest_centroid(spark, sf):
 
 
 def confusion_given(spark, sf):
-    return surrogate.confusion(
-        _nearest(spark, sf).select("label", F.col("cluster").alias("prediction")), 10
+    pairs = _nearest(spark, sf).select(
+        F.lit(10).alias("k"), "label", F.col("cluster").alias("prediction")
     )
+    return surrogate.confusion(pairs, [10])
 
 
 def silhouette_euclidean(spark, sf):
@@ -554,8 +554,7 @@ def surrogate_accuracy(spark, sf):
 
 
 def surrogate_confusion(spark, sf):
-    k = max(EXPLAINED_K)
-    return surrogate.confusion(surrogate_rows(spark, sf).filter(F.col("k") == k), k)
+    return surrogate.confusion(surrogate_rows(spark, sf), EXPLAINED_K)
 
 
 def shap_top_features(spark, sf):
@@ -566,7 +565,73 @@ def shap_summary(spark, sf):
     return shapley.shap_summary(shap_rows(spark, sf))
 
 
+# ---- properties of the models that SQL can state -------------------------------------------
+
+
+def cluster_sizes_total(spark, sf):
+    """Customers of all clusters together, for every k of the scan."""
+    sizes = profiles.cluster_sizes(kmeans_labels(spark, sf))
+    return sizes.groupBy("k").agg(F.sum("n").alias("customers"))
+
+
+def kmeans_check(spark, sf):
+    """Labels that are not the nearest center's, and the part by which the squared distances miss
+    the model's inertia."""
+    scaled, found = scaled_table(spark, sf), None
+    for k, fit in kmeans_fits(spark, sf).items():
+        centers = [
+            (fit.number[i], [float(x) for x in c])
+            for i, c in enumerate(fit.model.clusterCenters())
+        ]
+        table_of = spark.createDataFrame(centers, "cluster int, center array<double>")
+        points = fit.assign(scaled).select(
+            "Cluster", F.array(*[F.col(c).cast("double") for c in fit.columns]).alias("vector")
+        )
+        near = clustering.assign_nearest_centroid(
+            points.withColumnRenamed("Cluster", "label"), table_of
+        )
+        row = near.agg(
+            F.lit(k).alias("k"),
+            F.count(F.lit(1)).alias("customers"),
+            F.count_if(F.col("label") != F.col("cluster")).alias("mismatches"),
+            F.round(F.abs(F.sum("distance_sq") / fit.inertia - 1), 6).alias("inertia_gap"),
+        )
+        found = row if found is None else found.unionByName(row)
+    return found
+
+
+def pca_check(spark, sf):
+    """Customers, the largest covariance between two components, and the whole variance."""
+    scores = pca_scores(spark, sf)
+    names = [c for c in scores.columns if c != "CustomerID"]
+    mixed = [F.abs(F.covar_pop(a, b)) for i, a in enumerate(names) for b in names[i + 1 :]]
+    return scores.agg(
+        F.count(F.lit(1)).alias("customers"),
+        F.round(F.greatest(*mixed), 6).alias("mixed"),
+        F.round(sum(F.var_pop(c) for c in names), 6).alias("variance"),
+    )
+
+
+def confusion_total(spark, sf):
+    cells = surrogate_confusion(spark, sf)
+    return cells.groupBy("k").agg(
+        F.count(F.lit(1)).alias("cells"), F.sum("n").alias("customers")
+    )
+
+
+def shap_total(spark, sf):
+    """Rows of the Shapley table per k and cluster."""
+    return shap_rows(spark, sf).groupBy("k", "cluster").agg(
+        F.count(F.lit(1)).alias("n"), F.count_distinct("feature").alias("features")
+    )
+
+
 QUERIES = {
+    "cluster_sizes_total": cluster_sizes_total,
+    "kmeans_check": kmeans_check,
+    "pca_check": pca_check,
+    "confusion_total": confusion_total,
+    "shap_total": shap_total,
     "scan_transactions": scan_transactions,
     "normalize_customer_id": normalize_ids,
     "clean_transactions": clean_home,

@@ -67,6 +67,32 @@ def test_best_k_prefers_the_smaller_on_ties(spark):
     assert clustering.best_k(table).first().k == 3
 
 
+def test_fit_does_not_depend_on_how_rows_arrive(spark):
+    df, _, _ = blobs(spark, 5, n=200, seed=9)
+    noisy = df.withColumn("x0", F.col("x0") * 0.1)
+    found = []
+    for parts in (1, 7):
+        fits = fit(noisy.repartition(parts), [4])
+        rows = fits[4].assign(noisy).select("CustomerID", "Cluster").collect()
+        found.append(sorted(tuple(r) for r in rows))
+    assert found[0] == found[1]
+
+
+def test_too_many_centroids_are_refused(spark, monkeypatch):
+    points = spark.createDataFrame([([1.0, 2.0],)], "vector array<double>")
+    centers = spark.createDataFrame([(0, [1.0, 2.0])], "cluster int, center array<double>")
+    monkeypatch.setattr(clustering, "MAX_CENTROID_CELLS", 1)
+    with pytest.raises(ValueError):
+        clustering.assign_nearest_centroid(points, centers)
+
+
+def test_too_large_a_forest_is_refused(small_forest, monkeypatch):
+    df, _, _, model = small_forest
+    monkeypatch.setattr(shapley, "MAX_LEAF_CELLS", 10)
+    with pytest.raises(ValueError):
+        shapley.shap_wide(df, model)
+
+
 def test_chained_fit_sees_earlier_labels(three):
     df, _, _, _ = three
     fits = clustering.fit_kmeans_chained(
@@ -169,7 +195,7 @@ def small_forest(spark):
 def test_surrogate_tables(small_forest):
     df, _, _, model = small_forest
     predictions = model.predictions(df)
-    table = surrogate.confusion(predictions, 3).toPandas()
+    table = surrogate.confusion(predictions, [3]).toPandas()
     assert len(table) == 9 and table["n"].sum() == 400
     accuracy = surrogate.fidelity(predictions).first()
     diagonal = table[table["label"] == table["prediction"]]["n"].sum()

@@ -56,7 +56,7 @@ def test_whole_study(spark, tmp_path):
     )
     assert all(df.limit(1).count() == 1 for df in done.tables.values())
     assert done.tables["shap_values"].count() == customers * 16 * 3
-    assert done.tables["surrogate_confusion_3"].agg({"n": "sum"}).first()[0] == customers
+    assert done.tables["surrogate_confusion"].agg({"n": "sum"}).first()[0] == customers
     stored = spark.read.options(**io.CSV_OPTIONS).schema("CustomerID string, Cluster int, k int")
     labels = stored.csv(f"{folder}/customer_clusters")
     assert labels.exceptAll(

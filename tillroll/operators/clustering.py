@@ -7,6 +7,8 @@ from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 from pyspark.ml.clustering import KMeans, KMeansModel
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -23,8 +25,9 @@ TOL = 1e-4
 K_SCAN = range(2, 11)
 K_VALUES = (3, 4)
 
-# Rows of one cached partition, at least.
-PARTITION_ROWS = 50_000
+# Partitions of the cached vectors. The start of a fit draws per partition, so their number is a
+# parameter that does not follow the rows; raise it for tables of many millions of customers.
+PARTITIONS = 8
 
 # Centroid tables are attached to every row, so their size is checked.
 MAX_CENTROID_CELLS = 1_000_000
@@ -91,6 +94,8 @@ def fit_kmeans(
     seed: int = SEED,
     parallelism: int = 4,
     order_by: str = "Sum_TotalPrice",
+    partitions: int = PARTITIONS,
+    key: str = "CustomerID",
 ) -> dict[int, KMeansFit]:
     """Best of ``n_init`` starts for each k, by inertia.
 
@@ -98,20 +103,18 @@ def fit_kmeans(
     variance of the columns.
 
     The vectors are cached once for all fits, which run from a few driver threads like a
-    cross-validator's. Clusters are renumbered by descending mean of ``order_by`` in
+    cross-validator's. They are dealt by ``key`` over ``partitions`` and sorted, so the fit does not
+    depend on how the rows arrive. ``parallelism`` only sets how many fits run at once. Clusters are renumbered by descending mean of ``order_by`` in
     ``original`` (in ``scaled`` without it), as raw numbers mean nothing.
     """
     if original is None:
         ordered = scaled.withColumn("order", F.col(order_by))
     else:
-        order = original.select("CustomerID", F.col(order_by).alias("order"))
-        ordered = scaled.join(order, "CustomerID")
-    first = scaled.agg(F.count(F.lit(1)), *[F.var_pop(c) for c in columns]).first()
-    rows, variance = first[0], sum(first[1:]) / len(columns)
-    # Each iteration is a short job over the cached vectors: many small partitions would
-    # cost more than they share.
-    vectors = with_vector(ordered, columns).select("vector", "order")
-    vectors = vectors.coalesce(max(1, math.ceil(rows / PARTITION_ROWS))).persist()
+        order = original.select(key, F.col(order_by).alias("order"))
+        ordered = scaled.join(order, key)
+    variance = sum(scaled.agg(*[F.var_pop(c) for c in columns]).first()) / len(columns)
+    dealt = ordered.repartition(partitions, key).sortWithinPartitions(key, *columns)
+    vectors = with_vector(dealt, columns).select("vector", "order").persist()
     try:
 
         def one(job):
@@ -228,16 +231,13 @@ def assign_nearest_centroid(
     """Add the nearest centroid's cluster and its squared distance to every point.
 
     ``centroids`` has columns cluster and center (array of doubles), one row per cluster.
-    They reach the rows as one scalar value, after a check of their size; the smaller
-    cluster number wins a tie.
+    Their size is summed first; only a table within the bound is gathered, and reaches the rows
+    as one scalar value. The smaller cluster number wins a tie.
     """
-    packed = F.collect_list(F.struct("cluster", "center"))
-    cells = F.coalesce(F.sum(F.size("center")), F.lit(0))
-    table = centroids.agg(
-        F.when(cells <= MAX_CENTROID_CELLS, packed)
-        .otherwise(F.raise_error(F.lit("too many centroids to attach to every row")))
-        .alias("centroids")
-    ).scalar()
+    cells = centroids.agg(F.sum(F.size("center"))).first()[0] or 0
+    if cells > MAX_CENTROID_CELLS:
+        raise ValueError(f"{cells} centroid cells are too many to attach to every row")
+    table = centroids.agg(F.collect_list(F.struct("cluster", "center"))).scalar()
     nearest = F.array_min(
         F.transform(
             F.col("_centroids"),
@@ -260,11 +260,9 @@ def assign_nearest_centroid(
 
 def centroids_of(points: DataFrame, label: str, vector: str = "vector") -> DataFrame:
     """Mean vector per label: columns cluster, center. Partial sums before the shuffle."""
+    mean = Summarizer.mean(array_to_vector(F.col(vector)))
     return (
-        points.select(F.col(label).alias("cluster"), F.posexplode(vector).alias("position", "x"))
-        .groupBy("cluster", "position")
-        .agg(F.avg("x").alias("mean"))
-        .groupBy("cluster")
-        .agg(F.array_sort(F.collect_list(F.struct("position", "mean"))).alias("cells"))
-        .select("cluster", F.col("cells.mean").alias("center"))
+        points.groupBy(F.col(label).alias("cluster"))
+        .agg(mean.alias("mean"))
+        .select("cluster", vector_to_array("mean").alias("center"))
     )

@@ -12,21 +12,24 @@ def rfm(clean: DataFrame) -> DataFrame:
     """CustomerID, Recency (whole days to the snapshot), Frequency (invoices), Monetary.
 
     The snapshot is one day after the newest line. Frequency counts a missing invoice number
-    as one more value. Lines collapse to (customer, invoice) first; the snapshot is a scalar
-    subquery over the lines.
+    as one more value. Lines collapse to (customer, invoice) first. The snapshot is a scalar
+    subquery over the customers, lines without a customer included; it asks for the same columns
+    as the result, so both share one shuffle and the lines are read once.
     """
-    snapshot = clean.agg(F.max("InvoiceDate") + F.expr("interval 1 day")).scalar()
-    invoices = (
-        clean.filter(F.col("CustomerID").isNotNull())
-        .groupBy("CustomerID", "InvoiceNo")
-        .agg(F.max("InvoiceDate").alias("last"), F.sum("TotalPrice").alias("total"))
+    invoices = clean.groupBy("CustomerID", "InvoiceNo").agg(
+        F.max("InvoiceDate").alias("last"),
+        F.sum("TotalPrice").alias("total"),
+        F.max(F.col("CustomerID").isNotNull()).alias("known"),
     )
     per_customer = invoices.groupBy("CustomerID").agg(
         F.max("last").alias("last"),
         F.count(F.lit(1)).alias("Frequency"),
         F.coalesce(F.sum("total"), F.lit(0.0)).alias("Monetary"),
+        F.max("known").alias("known"),
     )
-    return per_customer.select(
+    every = F.struct("last", "Frequency", "Monetary", "known")
+    snapshot = per_customer.agg(F.max(every)["last"] + F.expr("interval 1 day")).scalar()
+    return per_customer.where("known").select(
         "CustomerID",
         elapsed_days(snapshot, F.col("last")).alias("Recency"),
         "Frequency",

@@ -99,14 +99,16 @@ def segment(
     k_scan=clustering.K_SCAN,
     personas: dict[int, list[str]] | None = None,
     chain_labels: bool = False,
-    metric: str = "euclidean",
+    metric: str = "squaredEuclidean",
     trees: int = surrogate.TREES,
     max_depth: int = 10,
     **kmeans,
 ) -> Segments:
     """Reduce, choose k, cluster, profile and explain; the labels are stored as CSV.
 
-    With ``chain_labels`` each k of ``k_values`` also sees the labels of the k before it.
+    With ``chain_labels`` each k of ``k_values`` also sees the labels of the k before it. The
+    silhouette is Spark's linear one; ``metric="euclidean"`` asks for plain distances, whose work
+    grows with the square of the customers.
     """
     spark = scaled.sparkSession
     pca = reduction.fit_pca(scaled)
@@ -155,7 +157,5 @@ def segment(
         "shap_summary": shapley.shap_summary(explained),
         "shap_top_features": shapley.top_features(explained),
     }
-    for k in k_values:
-        own = predicted.filter(predicted.k == k)
-        tables[f"surrogate_confusion_{k}"] = surrogate.confusion(own, k)
+    tables["surrogate_confusion"] = surrogate.confusion(predicted, k_values)
     return Segments(fits, models, tables)

@@ -42,9 +42,16 @@ _MARKS = b".,;:!?\"'()[]"
 
 @dataclass
 class QualityModel:
+    places: np.ndarray  # features with a weight
     weights: np.ndarray
     thresholds: np.ndarray  # ordered, one fewer than grades
 
+    def dense(self) -> np.ndarray:
+        """Weights of all features; models travel without the zeros."""
+        out = np.zeros(FEATURES)
+        out[self.places] = self.weights
+        return out
+
     def probabilities(self, scores: np.ndarray) -> np.ndarray:
         """Probability of each grade, one row per score."""
         below = 1.0 / (1.0 + np.exp(-np.clip(self.thresholds[None, :] - scores[:, None], -40, 40)))
@@ -110,7 +117,7 @@ def _features(df: DataFrame, text: str, grade: Column) -> DataFrame:
     return rows.mapInArrow(run, "grade int, at array<int>")
 
 
-def _loss_rows(model: QualityModel, active: np.ndarray):
+def _loss_rows(model: QualityModel):
     """Loss and gradient over the rows of a task as rows (place, value).
 
     Places below FEATURES are weights, the next ones thresholds, the last one the loss.
@@ -118,14 +125,14 @@ def _loss_rows(model: QualityModel, active: np.ndarray):
     steps = len(model.thresholds)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out = np.zeros(FEATURES + steps + 1)
+        out, weights = np.zeros(FEATURES + steps + 1), model.dense()
         for batch in batches:
             lists = batch.column("at")
             at = lists.flatten().to_numpy(zero_copy_only=False)
             sizes = pa.compute.list_value_length(lists).to_numpy(zero_copy_only=False)
             grade = batch.column("grade").to_numpy(zero_copy_only=False)
             row = np.repeat(np.arange(len(grade)), sizes)
-            scores = np.bincount(row, model.weights[at], minlength=len(grade))
+            scores = np.bincount(row, weights[at], minlength=len(grade))
             cuts = np.hstack([[-np.inf], model.thresholds, [np.inf]])
             high = _sigmoid(cuts[grade + 1] - scores)
             low = _sigmoid(cuts[grade] - scores)
@@ -135,8 +142,7 @@ def _loss_rows(model: QualityModel, active: np.ndarray):
             out[:FEATURES] += np.bincount(at, (slope_high - slope_low)[row], minlength=FEATURES)
             for k in range(steps):
                 out[FEATURES + k] -= slope_high[grade == k].sum() - slope_low[grade == k + 1].sum()
-        out[:FEATURES] *= active
-        places = np.nonzero(out)[0]
+        places = np.append(model.places, np.arange(FEATURES, len(out)))
         yield pa.RecordBatch.from_arrays(
             [pa.array(places, pa.int64()), pa.array(out[places])], names=["place", "value"]
         )
@@ -176,7 +182,7 @@ def fit(
     rows = stored(_features(rated, text, F.col(grade)), "quality-features")
     sums = rows.groupBy("grade").count().toPandas()
     if not len(sums):
-        return QualityModel(np.zeros(FEATURES), np.arange(grades - 1, dtype=float))
+        return QualityModel(np.zeros(0, np.int64), np.zeros(0), np.arange(grades - 1, dtype=float))
     if sums["grade"].min() < 0 or sums["grade"].max() >= grades:
         raise ValueError("a grade is out of range")
     used = (
@@ -187,18 +193,14 @@ def fit(
         .toPandas()
     )
     places = np.sort(used["at"].to_numpy().astype(np.int64))
-    active = np.zeros(FEATURES)
-    active[places] = 1.0
     n = sums["count"].sum()
 
     def spread(x: np.ndarray) -> QualityModel:
-        weights = np.zeros(FEATURES)
-        weights[places] = x[: len(places)]
-        return QualityModel(weights, _ordered(x[len(places) :]))
+        return QualityModel(places, x[: len(places)], _ordered(x[len(places) :]))
 
     def evaluate(x: np.ndarray) -> tuple[float, np.ndarray]:
         found = (
-            rows.mapInArrow(_loss_rows(spread(x), active), "place bigint, value double")
+            rows.mapInArrow(_loss_rows(spread(x)), "place bigint, value double")
             .groupBy("place")
             .agg(F.sum("value").alias("value"))
             .toPandas()
@@ -265,9 +267,10 @@ def score(df: DataFrame, model: QualityModel, text: str = "text", tail: int = 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, hasher = shared.value, FeatureHasher()
+        weights = own.dense()
         for batch in batches:
             texts = batch.column(text).to_pylist()
-            scores = np.array([own.weights[hasher(t)].sum() for t in texts])
+            scores = np.array([weights[hasher(t)].sum() for t in texts])
             p = own.probabilities(scores)
             yield pa.RecordBatch.from_arrays(
                 [

@@ -1,16 +1,16 @@
 """Main text of web pages by a tree-structured graphical model over the DOM.
 
-Every element is content or not. Its features (tag, words of its class, id and role, amounts of
-text, share of linked text) have a likelihood under either state, and a potential for each tag
-connects its state with its parent's. Sum-product messages go from the leaves to the root and back,
+Every element is content or not. Its features (words of its class, id and role, amounts of text with
+the share of linked text) have a likelihood under either state, and a potential for each tag
+connects its state with its parent's: the chance of the child's state given both. Sum-product messages go from the leaves to the root and back,
 which gives the exact marginal of every element; text whose element is content with probability
 0.5 or more is kept.
 
 Both tables of the model are counts over all labelled pages, summed by Spark. A page is labelled
 when its markup names its main part (``article``, ``main`` or a class, id or role of
 ``MAIN_WORDS``); inside it everything is content except the parts that name themselves as something
-else. Those names also enter the model as prior counts, so that a part that no page of the corpus
-holds is still known.
+else. Those names also enter the model as priors, so that a part that no page of the corpus holds
+is still known.
 
 Edge cases: null, empty or textless pages give an empty text; markup that breaks off or is closed
 in the wrong order is read as far as it goes; tag and attribute names beyond the known ones are
@@ -34,8 +34,14 @@ from pyspark.sql import types as T
 
 #: Places of hashed features.
 PLACES = 1 << 14
-#: Weight of a name in SIDE_TAGS, SIDE_WORDS or MAIN_WORDS, in elements seen.
-PRIOR = 50.0
+#: Weight of a tag in SIDE_TAGS or MAIN_TAGS, in links seen.
+PRIOR = 500.0
+#: Share of the elements of its state that is taken to hold a word of SIDE_WORDS or MAIN_WORDS.
+WORD_SHARE = 0.02
+#: The same of the other state, as a part of WORD_SHARE; a class of the main part says less.
+SIDE_WORD_ELSEWHERE, MAIN_WORD_ELSEWHERE = 1e-5, 1e-2
+#: Least chance of a content child elsewhere, and of another child in content.
+LEAST_ON, LEAST_OFF = 1e-5, 1e-3
 
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 HIDDEN = frozenset("script style template noscript svg math iframe object".split())
@@ -47,8 +53,8 @@ BLOCKS = frozenset(
 MAIN_TAGS = frozenset(["article", "main"])
 MAIN_WORDS = frozenset("article articlebody content entry main maincontent post story".split())
 SIDE_TAGS = frozenset(
-    "aside button dialog fieldset footer form head header input label menu nav option select"
-    " textarea title".split()
+    "aside body button dialog fieldset footer form head header html input label menu nav option"
+    " select textarea title".split()
 )
 SIDE_WORDS = frozenset(
     "ad ads advert advertisement alert banner breadcrumb breadcrumbs comment comments consent"
@@ -177,9 +183,9 @@ def features(page: Page) -> list[list[str]]:
         whole_linked[page.parents[i]] += whole_linked[i]
     out = []
     for i in range(n):
-        names = [f"tag {page.tags[i]}", f"own {own[i].bit_length()}", f"all {whole[i].bit_length()}"]
-        if whole[i]:
-            names.append(f"linked {4 * whole_linked[i] // whole[i]}")
+        links = 4 * whole_linked[i] // whole[i] if whole[i] else 0
+        # One feature, because its parts go together.
+        names = [f"text {own[i].bit_length()} {whole[i].bit_length()} {links}"]
         names.extend({f"word {w}" for w in page.words[i]})
         out.append(names)
     return out
@@ -258,41 +264,51 @@ def fit(df: DataFrame, html: str = "html") -> TreeModel:
         .collect()
     )
     sums = Counter({(r.place, r.parent, r.state): float(r.n) for r in found})
+    # A tag that was seen too little goes by all tags without a meaning of their own.
+    pairs = ((0, 0), (0, 1), (1, 0), (1, 1))
+    named = {_place(f"tag {t}") for t in MAIN_TAGS | SIDE_TAGS}
+    pooled = [0.0] * 4
+    for (place, parent, state), n in sums.items():
+        if parent >= 0 and place not in named:
+            pooled[2 * parent + state] += n
+    default = [
+        (1 - LEAST_ON) + 4 * pooled[0] / (1 + pooled[0] + pooled[1]),
+        LEAST_ON + 4 * pooled[1] / (1 + pooled[0] + pooled[1]),
+        LEAST_OFF + 4 * pooled[2] / (1 + pooled[2] + pooled[3]),
+        (1 - LEAST_OFF) + 4 * pooled[3] / (1 + pooled[2] + pooled[3]),
+    ]
+    total = [max(sums[-1, -1, s], 2 * PRIOR) for s in (0, 1)]
     for side in SIDE_TAGS:
-        place = _place(f"tag {side}")
-        sums[place, -1, 0] += PRIOR
-        sums[place, 1, 0] += PRIOR
-        sums[place, 0, 0] += PRIOR
-    for words, state in ((SIDE_WORDS, 0), (MAIN_WORDS, 1)):
-        for word in words:
-            sums[_place(f"word {word}"), -1, state] += PRIOR
+        sums[_place(f"tag {side}"), 1, 0] += PRIOR
+        sums[_place(f"tag {side}"), 0, 0] += PRIOR
     for tag in MAIN_TAGS:
-        sums[_place(f"tag {tag}"), -1, 1] += PRIOR
         sums[_place(f"tag {tag}"), 0, 1] += PRIOR
-    total = [max(sums[-1, -1, s], 2 * PRIOR) for s in (0, 1)]
-    places = {p for p, _, _ in sums if p >= 0}
+    priors = ((SIDE_WORDS, 0, SIDE_WORD_ELSEWHERE), (MAIN_WORDS, 1, MAIN_WORD_ELSEWHERE))
+    least = dict.fromkeys((p for p, a, _ in sums if p >= 0 and a < 0), 0.5)
+    for words, state, elsewhere in priors:
+        for place in {_place(f"word {w}") for w in words}:
+            sums[place, -1, state] += WORD_SHARE * total[state]
+            sums[place, -1, 1 - state] += WORD_SHARE * elsewhere * total[1 - state]
+            least[place] = 0.0
+    places = {p for p, a, _ in sums if p >= 0 and a < 0}
     odds = {
-        p: math.log((sums[p, -1, 1] + 0.5) / (total[1] + 1))
-        - math.log((sums[p, -1, 0] + 0.5) / (total[0] + 1))
+        p: math.log((sums[p, -1, 1] + least[p]) / (total[1] + 1))
+        - math.log((sums[p, -1, 0] + least[p]) / (total[0] + 1))
         for p in places
     }
 
     def link(counts: list[float]) -> tuple[float, float, float, float]:
-        # The child's state given its parent's, over the child's own rate, which the features hold.
-        off, on = counts[0] + counts[1], counts[2] + counts[3]
-        rate = (counts[1] + counts[3]) / (off + on)
-        given = [counts[0] / off, counts[1] / off, counts[2] / on, counts[3] / on]
-        return tuple(math.log(g / r) for g, r in zip(given, [1 - rate, rate] * 2))
-
-    all_links = [1.0 + sum(v for (p, a, s), v in sums.items() if p >= 0 and (a, s) == pair)
-                 for pair in ((0, 0), (0, 1), (1, 0), (1, 1))]
-    default = [4.0 * x / sum(all_links) for x in all_links]
-    pairs = ((0, 0), (0, 1), (1, 0), (1, 1))
+        on_in_off = max(LEAST_ON, counts[1] / (counts[0] + counts[1]))
+        off_in_on = max(LEAST_OFF, counts[2] / (counts[2] + counts[3]))
+        chances = (1 - on_in_off, on_in_off, off_in_on, 1 - off_in_on)
+        return tuple(math.log(max(c, LEAST_ON)) for c in chances)
+
     links = {
         p: link([sums[p, a, s] + d for (a, s), d in zip(pairs, default)])
         for p in {p for p, a, _ in sums if a >= 0}
     }
-    return TreeModel(odds, links, link(default), math.log(total[1] / total[0]))
+    # The page itself is not content unless much speaks for it.
+    return TreeModel(odds, links, link(default), math.log(LEAST_OFF))
 
 
 def blocks(page: Page, chances: list[float]) -> list[tuple[str, float]]:

@@ -160,3 +160,34 @@ def test_clean_lines_round_trip(spark, clean, tmp_path, fmt):
 def test_preview_is_ordered(clean):
     first = io.preview(clean, ["InvoiceDate", "StockCode"], 2).collect()
     assert [r.StockCode for r in first] == ["22960", "22961"]
+
+
+HEADER = "InvoiceNo,StockCode,Description,Quantity,InvoiceDate,UnitPrice,CustomerID,Country\n"
+
+
+def read_lines(spark, tmp_path, lines, **options):
+    path = tmp_path / "lines.csv"
+    path.write_text(HEADER + lines, encoding="ISO-8859-1")
+    return io.read_transactions(spark, str(path), **options)
+
+
+def test_missing_texts_in_numbers_and_dates(spark, tmp_path):
+    lines = "1,A,x,NA,2010-12-01 08:26:00,nan,17850,UK\n2,B,y,3,N/A,1.5,17850,UK\n"
+    first, second = sorted(read_lines(spark, tmp_path, lines).collect())
+    assert first.Quantity is None and first.UnitPrice is None
+    assert second.InvoiceDate is None and second.Quantity == 3 and second.UnitPrice == 1.5
+
+
+@pytest.mark.parametrize(
+    "line",
+    ["1,A,x,3,2010-12-01 08:26:00,cheap,17850,UK\n", "1,A,x,3,some day,1.5,17850,UK\n"],
+)
+def test_unreadable_values_stop_the_read(spark, tmp_path, line):
+    with pytest.raises(Exception, match="cannot be read"):
+        read_lines(spark, tmp_path, line).collect()
+
+
+def test_line_breaks_inside_quotes(spark, tmp_path):
+    line = '1,A,"two\nlines",3,2010-12-01 08:26:00,1.5,17850,UK\n'
+    (row,) = read_lines(spark, tmp_path, line, multi_line=True).collect()
+    assert row.Description == "two\nlines" and row.Country == "UK"

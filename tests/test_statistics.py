@@ -3,6 +3,7 @@ import math
 import numpy as np
 import pytest
 
+from tillroll import session
 from tillroll.operators import distributions, quantiles, transforms
 
 
@@ -171,3 +172,12 @@ def test_standardize(wide, data):
         z = out[name].to_numpy()
         assert abs(z.mean()) < 1e-10
         assert z.std() == pytest.approx(0.0 if name == "constant" else 1.0)
+
+
+def test_staged_tables_can_be_discarded(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(session, "shared_folder", lambda spark: str(tmp_path))
+    session.stage(spark.range(3), "kept")
+    own = tmp_path / "tillroll" / spark.sparkContext.applicationId
+    assert any(own.iterdir())
+    session.discard_staged(spark)
+    assert not own.exists()

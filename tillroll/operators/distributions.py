@@ -61,7 +61,8 @@ def density_curve(values: DataFrame, grid: int = GRID, bins: int = BINS) -> Data
 
     Bandwidth is Scott's: sample std times n**(-1/5). A value only visits the grid points
     where its kernel is not zero in double arithmetic; as n grows the bandwidth shrinks and
-    so does the number of visits. Partial sums per task hold at most one row per grid point.
+    so does the number of visits. Equal values visit once and weigh as many; partial sums per task
+    hold at most one row per grid point.
     """
     values = _present(values)
     n, std = F.count("value"), F.stddev_samp("value")
@@ -78,8 +79,9 @@ def density_curve(values: DataFrame, grid: int = GRID, bins: int = BINS) -> Data
     reach = KERNEL_REACH * F.col("h")
     first = F.ceil((F.col("value") - reach - F.col("low")) / F.col("step"))
     last = F.floor((F.col("value") + reach - F.col("low")) / F.col("step"))
+    counted = values.groupBy("feature", "value").agg(F.count(F.lit(1)).alias("times"))
     visits = (
-        values.join(F.broadcast(shape), "feature")
+        counted.join(F.broadcast(shape), "feature")
         .withColumns(
             {
                 "first": F.greatest(first, F.lit(0)).cast("int"),
@@ -90,7 +92,7 @@ def density_curve(values: DataFrame, grid: int = GRID, bins: int = BINS) -> Data
         .withColumn("point", F.explode(F.sequence("first", "last")))
     )
     z = (F.col("low") + F.col("point") * F.col("step") - F.col("value")) / F.col("h")
-    sums = visits.groupBy("feature", "point").agg(F.sum(F.exp(-0.5 * z * z)).alias("kernel"))
+    sums = visits.groupBy("feature", "point").agg(F.sum(F.col("times") * F.exp(-0.5 * z * z)).alias("kernel"))
     scale = (F.col("high") - F.col("low")) / bins / (F.col("h") * F.sqrt(2.0 * F.pi()))
     spine = shape.withColumn("point", F.explode(F.sequence(F.lit(0), F.lit(grid - 1))))
     return spine.join(sums, ["feature", "point"], "left").select(

@@ -21,8 +21,11 @@ def explore(
     missing_id: str = "drop",
     top_n: int = 10,
 ) -> dict[str, DataFrame]:
-    """Read and clean an export, store the clean lines, and return the exploratory tables."""
-    raw = io.read_transactions(spark, csv_path, missing_id)
+    """Read and clean an export, store the clean lines, and return the exploratory tables.
+
+    The export is parsed once; the reports on raw lines read the stored copy.
+    """
+    raw = stage(io.read_transactions(spark, csv_path, missing_id), "raw")
     path = f"{folder}/cleaned_transactions"
     clean = cleaning.time_features(cleaning.clean_transactions(raw, country))
     io.write_transactions(clean, path)

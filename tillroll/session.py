@@ -51,6 +51,14 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard_staged(spark: SparkSession) -> None:
+    """Delete every table that this application has staged; results written elsewhere stay."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(
+        f"{shared_folder(spark)}/tillroll/{spark.sparkContext.applicationId}"
+    )
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def staging_path(spark: SparkSession, name: str) -> str:
     """A fresh path in the shared folder; one application's tables lie in one folder."""
     app = spark.sparkContext.applicationId

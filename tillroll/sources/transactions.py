@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -46,28 +46,47 @@ def _text_dates(schema: T.StructType) -> T.StructType:
     )
 
 
+def _parsed(text: Column, value: Column, name: str) -> Column:
+    """``value``, or an error where a text that is not missing did not give one."""
+    fault = F.concat(F.lit(f"{name} cannot be read: "), text)
+    kind = "timestamp_ntz" if name == "InvoiceDate" else RAW_TRANSACTIONS[name].dataType
+    return F.when(text.isNull() | value.isNotNull(), value).otherwise(
+        F.raise_error(fault).cast(kind)
+    )
+
+
 def read_transactions(
     spark: SparkSession,
     path: str,
     missing_id: str = "drop",
     encoding: str = "ISO-8859-1",
     mode: str = "FAILFAST",
+    multi_line: bool = False,
 ) -> DataFrame:
-    """Raw invoice lines from CSV under the fixed schema, customer numbers normalised."""
+    """Raw invoice lines from CSV under the fixed schema, customer numbers normalised.
+
+    Texts that mean "missing" are null in every column, numbers and dates included; any other
+    number or date that cannot be read stops the read. ``multi_line`` admits line breaks inside
+    quotes; files are then not split between tasks.
+    """
+    fields = RAW_TRANSACTIONS.fields
     raw = (
-        spark.read.schema(_text_dates(RAW_TRANSACTIONS))
-        .options(**CSV_OPTIONS, encoding=encoding, mode=mode)
+        spark.read.schema(T.StructType([T.StructField(f.name, T.StringType()) for f in fields]))
+        .options(**CSV_OPTIONS, encoding=encoding, mode=mode, multiLine=str(multi_line).lower())
         .csv(path)
     )
-    texts = [f.name for f in RAW_TRANSACTIONS.fields if isinstance(f.dataType, T.StringType)]
-    present = {c: F.when(~F.col(c).isin(MISSING_TEXTS), F.col(c)) for c in texts}
-    return raw.withColumns(
-        present
-        | {
-            "InvoiceDate": parse_invoice_date(F.col("InvoiceDate")),
-            "CustomerID": normalize_customer_id(present["CustomerID"], missing_id),
-        }
-    )
+    columns = {}
+    for f in fields:
+        text = F.when(~F.col(f.name).isin(MISSING_TEXTS), F.col(f.name))
+        if f.name == "CustomerID":
+            columns[f.name] = normalize_customer_id(text, missing_id)
+        elif isinstance(f.dataType, T.StringType):
+            columns[f.name] = text
+        elif isinstance(f.dataType, T.TimestampNTZType):
+            columns[f.name] = _parsed(text, parse_invoice_date(text), f.name)
+        else:
+            columns[f.name] = _parsed(text, F.trim(text).try_cast(f.dataType), f.name)
+    return raw.withColumns(columns)
 
 
 def _write(df: DataFrame, path: str, fmt: str) -> None:

@@ -596,6 +596,25 @@ centred AS (
         FROM range(10) t(a) CROSS JOIN range(10) u(b)
         LEFT JOIN nearest ON label = a AND cluster = b GROUP BY a, b""",
     ),
+    "silhouette_squared_given": query(
+        """
+cells AS (
+  SELECT vec_id, CAST(label AS INTEGER) AS label, unnest(CAST(embedding AS DOUBLE[])) AS x,
+         generate_subscripts(embedding, 1) AS i
+  FROM embeddings
+), norms AS (SELECT vec_id, label, sum(x * x) AS q FROM cells GROUP BY ALL
+), sizes AS (SELECT label AS c, count(*) AS n, sum(q) AS psi FROM norms GROUP BY ALL
+), sums AS (SELECT label AS c, i, sum(x) AS y FROM cells GROUP BY ALL
+), dots AS (SELECT vec_id, c, sum(x * y) AS d FROM cells JOIN sums USING (i) GROUP BY ALL
+), means AS (
+  SELECT vec_id, label, c, n, q + psi / n - 2 * d / n AS m
+  FROM norms JOIN dots USING (vec_id) JOIN sizes USING (c)
+), own AS (SELECT vec_id, n, m * n / nullif(n - 1, 0) AS a FROM means WHERE label = c
+), other AS (SELECT vec_id, min(m) AS b FROM means WHERE label <> c GROUP BY ALL)""",
+        f"""SELECT CAST(10 AS INTEGER) AS k,
+        {r('avg(CASE WHEN n = 1 THEN 0 WHEN a < b THEN 1 - a / b WHEN a > b THEN b / a - 1 ELSE 0 END)', 5)}
+        AS silhouette FROM own JOIN other USING (vec_id)""",
+    ),
     "silhouette_euclidean": query(
         """
 points AS (

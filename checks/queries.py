@@ -6,6 +6,7 @@ rounding keeps exact halves, which are common in averages of pence, on the same
 
 from __future__ import annotations
 
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -452,6 +453,13 @@ def silhouette_euclidean(spark, sf):
     return rounded(scores, ["a", "b", "silhouette"], 5)
 
 
+def silhouette_squared_given(spark, sf):
+    """The linear silhouette over squared distances, for the given labels."""
+    points = _vectors(spark, sf).withColumn("vector", array_to_vector("vector"))
+    score = silhouette.squared_silhouette(points, "vector", "label")
+    return rounded(spark.createDataFrame([(10, score)], "k int, silhouette double"), ["silhouette"], 5)
+
+
 def inertia_given(spark, sf):
     nearest = _nearest(spark, sf)
     total = nearest.agg(F.lit(10).alias("k"), F.sum("distance_sq").alias("inertia"))
@@ -683,6 +691,7 @@ QUERIES = {
     "top_features_given": top_features_given,
     "cluster_export_given": cluster_export_given,
     "silhouette_euclidean": silhouette_euclidean,
+    "silhouette_squared_given": silhouette_squared_given,
     "pca_scores": pca_scores,
     "pca_variance": pca_variance,
     "kmeans_labels": kmeans_labels,

@@ -5,6 +5,7 @@ import html as entities
 import random
 import re
 
+import duckdb
 import numpy as np
 import pytest
 from hypothesis import given, settings
@@ -346,7 +347,11 @@ def joined(spark, rows):
 def test_join_query(spark, documents):
     rows = [(r.doc_id, r.text) for r in documents.collect()]
     got = queries.op7_ngram_join(spark, SF).collect()
-    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == plain_components(rows)
+    got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in got)
+    assert got == plain_components(rows)
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{SF}/documents.parquet'")
+    assert got == sorted(con.execute(queries.ORACLES["op7_ngram_join"]).fetchall())
 
 
 @pytest.mark.parametrize("small", [2, 24])

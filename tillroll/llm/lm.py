@@ -41,6 +41,8 @@ from tillroll.llm.common import stored
 END = xxhash.xxh64_intdigest(b"") - (1 << 63)
 MEMO_ENTRIES = 300_000
 COUNTER_ENTRIES = 400_000
+#: Bound of a logit; its exponential and a sum of them stay finite in single precision.
+_LOGIT = 60.0
 #: Tokens that a task holds at once.
 HELD_TOKENS = 5_000_000
 
@@ -199,16 +201,17 @@ class Network:
         self.class_b[:] = np.log(mass / mass.sum())
         with np.errstate(divide="ignore"):
             logs = np.log(counts / counts.sum(axis=1, keepdims=True))
-        self.word_b[:] = np.where(counts > 0, logs, -60.0)
+        self.word_b[:] = np.where(counts > 0, logs, -_LOGIT)
 
     def steps(self, read: np.ndarray, fresh: np.ndarray, state: np.ndarray):
         """States after each token. read: (steps, lanes, 3 hidden); fresh: first token of a text."""
         h = self.hidden
         states, kept = np.empty((*read.shape[:2], h), np.float32), []
+        going = (~fresh).astype(np.float32)[:, :, None]
         for t in range(len(read)):
-            state = state * (~fresh[t])[:, None]
+            state = state * going[t]
             carried = state @ self.carry
-            gates = 0.5 * np.tanh(0.5 * (read[t, :, : 2 * h] + carried[:, : 2 * h])) + 0.5
+            gates = _sigmoid(read[t, :, : 2 * h] + carried[:, : 2 * h])
             hold, reset = gates[:, :h], gates[:, h:]
             new = np.tanh(read[t, :, 2 * h :] + reset * carried[:, 2 * h :])
             kept.append((state, carried[:, 2 * h :], hold, reset, new))
@@ -227,10 +230,10 @@ class Network:
         rows = np.arange(len(tokens))
         p = states @ self.class_w
         p += self.class_b
-        p -= p.max(axis=1, keepdims=True)
+        np.clip(p, -_LOGIT, _LOGIT, out=p)  # cheaper than a maximum per row
         found = p[rows, outputs]
         np.exp(p, out=p)
-        total = p.sum(axis=1)
+        total = p @ np.ones(p.shape[1], np.float32)
         found -= np.log(total)
         d_states = None
         if grad is not None:
@@ -239,6 +242,7 @@ class Network:
             grad.class_w += states.T @ p
             grad.class_b += p.sum(axis=0)
             d_states = p @ self.class_w.T
+        ones = np.ones(self.size, np.float32)
         order = np.argsort(outputs, kind="stable")
         ends = np.searchsorted(outputs[order], np.arange(self.word_classes + 1))
         for c in range(self.word_classes):
@@ -249,10 +253,10 @@ class Network:
             rows, word = np.arange(len(at)), tokens[at] - c * self.size
             p = own @ self.word_w[c]
             p += self.word_b[c]
-            p -= p.max(axis=1, keepdims=True)
+            np.clip(p, -_LOGIT, _LOGIT, out=p)
             picked = p[rows, word]
             np.exp(p, out=p)
-            total = p.sum(axis=1)
+            total = p @ ones
             found[at] += picked - np.log(total)
             if grad is not None:
                 p /= total[:, None]
@@ -267,6 +271,7 @@ class Network:
         h = self.hidden
         d_read = np.empty((*d_states.shape[:2], 3 * h), np.float32)
         back = np.zeros_like(d_states[0])
+        going = (~fresh).astype(np.float32)[:, :, None]
         for t in range(len(d_states) - 1, -1, -1):
             state, carried, hold, reset, new = kept[t]
             back = back + d_states[t]
@@ -278,10 +283,18 @@ class Network:
             through = own.copy()
             through[:, 2 * h :] *= reset
             grad.carry += state.T @ through
-            back = (back * hold + through @ self.carry.T) * (~fresh[t])[:, None]
+            back = (back * hold + through @ self.carry.T) * going[t]
         return d_read
 
 
+def _sigmoid(x: np.ndarray) -> np.ndarray:
+    """In place; an exponential that overflows gives 0."""
+    with np.errstate(over="ignore"):
+        np.exp(np.negative(x, out=x), out=x)
+    x += 1
+    return np.reciprocal(x, out=x)
+
+
 class Lanes:
     """Texts laid end to end in lanes of nearly equal length, the longest lane first."""
 

@@ -13,6 +13,8 @@ from __future__ import annotations
 
 import base64
 import heapq
+import re
+from array import array
 from collections.abc import Iterator
 from itertools import chain
 
@@ -24,10 +26,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 MAX_VOCABULARY = 1_000_000
+_ID_BITS = 20
 #: Texts are handed on after so many characters.
-CHUNK_CHARS = 4_000_000
-#: Pre-tokens remembered between chunks by one worker.
-MEMO_ENTRIES = 200_000
+CHUNK_CHARS = 2_000_000
+#: Pre-tokens remembered by one worker process.
+MEMO_ENTRIES = 400_000
 
 
 class PerfectHash:
@@ -81,10 +84,12 @@ class Vocabulary:
     """Byte strings and their ranks, with both tiers of the lookup."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
-        if len(ranks) > MAX_VOCABULARY:
+        if len(ranks) > MAX_VOCABULARY or max(ranks.values()) >> _ID_BITS:
             raise ValueError(f"more than {MAX_VOCABULARY} entries")
         self.ranks, self.pattern = ranks, pattern
-        self.text_of = {i: k for k, i in ranks.items()}
+        self.byte_id = [ranks[bytes([b])] for b in range(256)]
+        self.memo: _Memo | None = None
+        self._by_pair = self._by_bytes = self._split = self._split_ascii = None
         self.hash = PerfectHash(list(ranks))
         keys = list(ranks)
         self.key_at: list[bytes] = [b""] * len(keys)
@@ -108,39 +113,83 @@ class Vocabulary:
             for k, s in zip(keys, slots)
         ]
 
+    def _pairs(self) -> dict[int, int]:
+        """Rank of every two neighbouring ids that make a token; built once per process."""
+        if self._by_pair is None:
+            get, found = self.ranks.get, {}
+            for token, rank in self.ranks.items():
+                for cut in range(1, len(token)):
+                    left, right = get(token[:cut]), get(token[cut:])
+                    if left is not None and right is not None:
+                        found[left << _ID_BITS | right] = rank
+            self._by_pair = found
+            # The same for two bytes, by their values.
+            self._by_bytes = [[get(bytes([a, b]), -1) for b in range(256)] for a in range(256)]
+        return self._by_pair
+
     def merge(self, token: bytes) -> list[int]:
-        """Merge the bytes of ``token``, the pair of lowest rank first, the left one on ties."""
-        n, ranks = len(token), self.ranks
-        end = list(range(1, n + 1))
-        left = list(range(-1, n - 1))
-        heap = []
-        for i in range(n - 1):
-            rank = ranks.get(token[i : i + 2])
-            if rank is not None:
-                heap.append((rank, i, i + 1, i + 2))
+        """Merge the bytes of ``token``, the pair of lowest rank first, the left one on ties.
+
+        ``rank[i]`` is the rank of the pair that starts at part i, so an entry of the heap holds as
+        long as it equals it.
+        """
+        pair, n = self._pairs().get, len(token)
+        ids = [self.byte_id[b] for b in token]
+        rank = [self._by_bytes[a][b] for a, b in zip(token, token[1:])]
+        rank.append(-1)
+        heap = [r << 32 | i for i, r in enumerate(rank) if r >= 0]
         heapq.heapify(heap)
-        alive = bytearray(b"\x01") * n
+        right, left = list(range(1, n + 1)), list(range(-1, n - 1))
         while heap:
-            _, at, middle, stop = heapq.heappop(heap)
-            if not alive[at] or end[at] != middle or end[middle] != stop or not alive[middle]:
+            entry = heapq.heappop(heap)
+            i, merged = entry & 0xFFFFFFFF, entry >> 32
+            if rank[i] != merged:
                 continue
-            alive[middle] = 0
-            end[at] = stop
-            if stop < n:
-                left[stop] = at
-                rank = ranks.get(token[at : end[stop]])
-                if rank is not None:
-                    heapq.heappush(heap, (rank, at, stop, end[stop]))
-            before = left[at]
+            gone = right[i]
+            after, before = right[gone], left[i]
+            ids[i], ids[gone], rank[gone] = merged, -1, -1
+            right[i] = after
+            rank[i] = -1
+            if after < n:
+                left[after] = i
+                rank[i] = found = pair(merged << _ID_BITS | ids[after], -1)
+                if found >= 0:
+                    heapq.heappush(heap, found << 32 | i)
             if before >= 0:
-                rank = ranks.get(token[before:stop])
-                if rank is not None:
-                    heapq.heappush(heap, (rank, before, at, stop))
-        out, i = [], 0
-        while i < n:
-            out.append(ranks[token[i : end[i]]])
-            i = end[i]
-        return out
+                rank[before] = found = pair(ids[before] << _ID_BITS | merged, -1)
+                if found >= 0:
+                    heapq.heappush(heap, found << 32 | before)
+        return [i for i in ids if i >= 0]
+
+    def pre_tokens(self, text: str) -> list[str]:
+        """Matches of the split pattern; ASCII texts take the pattern's ASCII form."""
+        if self._split is None:
+            self._split = regex.compile(self.pattern).findall
+            self._split_ascii = re.compile(_ascii_form(self.pattern), re.ASCII).findall
+        return self._split_ascii(text) if text.isascii() else self._split(text)
+
+    def __getstate__(self) -> dict:
+        return {**self.__dict__, "_by_pair": None, "_by_bytes": None, "_split": None, "_split_ascii": None, "memo": None}
+
+
+def _ascii_form(pattern: str) -> str:
+    """The same pattern over ASCII texts, with ranges for the letter and number properties."""
+    out, inside, i = [], False, 0
+    ranges = {"\\p{L}": "A-Za-z", "\\p{N}": "0-9"}
+    while i < len(pattern):
+        known = ranges.get(pattern[i : i + 5])
+        if known:
+            out.append(known if inside else f"[{known}]")
+            i += 5
+            continue
+        if pattern[i] == "\\":
+            out.append(pattern[i : i + 2])
+            i += 2
+            continue
+        inside = pattern[i] == "[" or inside and pattern[i] != "]"
+        out.append(pattern[i])
+        i += 1
+    return "".join(out)
 
 
 def _with_column(batch: pa.RecordBatch, name: str, values: pa.Array) -> pa.RecordBatch:
@@ -168,31 +217,54 @@ def _chunks(batch: pa.RecordBatch, sizes: np.ndarray, limit: int) -> Iterator[pa
         start = stop
 
 
+def _laid(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Indices of runs laid end to end, given the start and size of each."""
+    ends = np.cumsum(sizes)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - ends + sizes, sizes)
+
+
+class _Memo:
+    """Ids of pre-tokens in one pool; each pre-token has a number."""
+
+    def __init__(self) -> None:
+        self.number: dict[str, int] = {}
+        self.ids, self.bounds = array("i"), array("q", [0])
+
+    def add(self, tokens: list[str], ids: list[list[int]]) -> None:
+        self.number.update(zip(tokens, range(len(self.number), len(self.number) + len(tokens))))
+        for row in ids:
+            self.ids.extend(row)
+            self.bounds.append(len(self.ids))
+
+    def lay(self, tokens: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of ``tokens`` and how many each has."""
+        numbers = np.fromiter(map(self.number.__getitem__, tokens), np.int64, len(tokens))
+        bounds, ids = np.array(self.bounds), np.array(self.ids)
+        sizes = bounds[numbers + 1] - bounds[numbers]
+        return ids[_laid(bounds[numbers], sizes)], sizes
+
+
 def encode(df: DataFrame, vocabulary: Vocabulary, text: str = "text", out: str = "ids"):
     """``df`` with the list of token ids of each whole text."""
     shared = df.sparkSession.sparkContext.broadcast(vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
-        split = regex.compile(own.pattern).findall
-        memo: dict[str, list[int]] = {}
         for batch in batches:
             if not batch.num_rows:
                 continue
             lengths = pa.compute.utf8_length(batch.column(text)).fill_null(0)
             for part in _chunks(batch, lengths.to_numpy(), CHUNK_CHARS):
-                if len(memo) > MEMO_ENTRIES:
-                    memo.clear()
-                offsets, values = [0], []
-                for value in part.column(text).to_pylist():
-                    tokens = split(value) if value else []
-                    new = list(set(tokens).difference(memo))
-                    memo.update(zip(new, own.ids(new)))
-                    values.extend(chain.from_iterable(map(memo.__getitem__, tokens)))
-                    offsets.append(len(values))
-                ids = pa.ListArray.from_arrays(
-                    pa.array(offsets, pa.int32()), pa.array(np.array(values, np.int32))
-                )
+                texts = [own.pre_tokens(t) if t else [] for t in part.column(text).to_pylist()]
+                tokens = list(chain.from_iterable(texts))
+                if own.memo is None or len(own.memo.number) > MEMO_ENTRIES:
+                    own.memo = _Memo()
+                new = list(set(tokens).difference(own.memo.number))
+                own.memo.add(new, own.ids(new))
+                values, sizes = own.memo.lay(tokens)
+                before = np.append(0, np.cumsum(sizes))
+                offsets = before[np.cumsum([0, *map(len, texts)])]
+                ids = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values))
                 yield _with_column(part, out, ids)
 
     return df.mapInArrow(run, _schema(df, out, T.ArrayType(T.IntegerType())))
@@ -203,16 +275,28 @@ def decode(df: DataFrame, vocabulary: Vocabulary, ids: str = "ids", out: str = "
     shared = df.sparkSession.sparkContext.broadcast(vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        text_of = shared.value.text_of.__getitem__
+        ranks = shared.value.ranks
+        size_of = np.zeros(max(ranks.values()) + 1, np.int64)
+        size_of[list(ranks.values())] = [len(k) for k in ranks]
+        start_of = np.cumsum(size_of) - size_of
+        pool = np.zeros(size_of.sum(), np.uint8)
+        for token, rank in ranks.items():
+            pool[start_of[rank] : start_of[rank] + len(token)] = list(token)
         for batch in batches:
             if not batch.num_rows:
                 continue
             lengths = pa.compute.list_value_length(batch.column(ids)).fill_null(0)
             for part in _chunks(batch, lengths.to_numpy(), CHUNK_CHARS):
-                texts = [
-                    b"".join(map(text_of, row)) if row else b""
-                    for row in part.column(ids).to_pylist()
-                ]
-                yield _with_column(part, out, pa.array(texts, pa.binary()))
+                lists = part.column(ids)
+                flat = lists.flatten().to_numpy(zero_copy_only=False)
+                counts = pa.compute.list_value_length(lists).fill_null(0).to_numpy()
+                sizes = size_of[flat]
+                before = np.append(0, np.cumsum(sizes))
+                offsets = before[np.append(0, np.cumsum(counts))].astype(np.int32)
+                data = pool[_laid(start_of[flat], sizes)]
+                texts = pa.Array.from_buffers(
+                    pa.binary(), len(lists), [None, pa.py_buffer(offsets), pa.py_buffer(data)]
+                )
+                yield _with_column(part, out, texts)
 
     return df.mapInArrow(run, _schema(df, out, T.BinaryType()))

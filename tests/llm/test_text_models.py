@@ -15,6 +15,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tillroll.llm import bpe, language, lm, quality, queries, sharding
+from tillroll.llm.common import most_frequent
 
 SF = "/root/testdata/sf0.001"
 DOCS = "doc_id long, text string, lang string"
@@ -264,6 +265,17 @@ def test_quality_of_odd_rows(spark, odd):
         quality.fit(graded.withColumn("grade", F.lit(5)), 2)
 
 
+def test_most_frequent_rows(spark):
+    rows = [(i, 1 + (i * 7919) % 97 // 9) for i in range(3000)]
+    table = spark.createDataFrame(rows, "key long, n long").repartition(5)
+    few = [(r.key, r.n) for r in most_frequent(table, "n", "key", 40).collect()]
+    all_rows = [(r.key, r.n) for r in most_frequent(table, "n", "key", 2900).collect()]
+    assert len(few) == 40 and few == all_rows[:40] and len(set(all_rows)) == 2900
+    counts = [n for _, n in all_rows]
+    assert counts == sorted(counts, reverse=True) and counts[0] == max(n for _, n in rows)
+    assert most_frequent(table.limit(0), "n", "key", 3).count() == 0
+
+
 # ---- language-model scores -------------------------------------------------------------------
 
 

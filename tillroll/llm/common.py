@@ -27,6 +27,22 @@ def held_out(name: str, divisor: int, remainder: int) -> Column:
     return F.coalesce(id_remainder(name, divisor) == remainder, F.lit(False))
 
 
+def most_frequent(df: DataFrame, count: str, key: str, k: int) -> DataFrame:
+    """The ``k`` rows with the largest count, ties by the hash of ``key``, largest first.
+
+    Rows that cannot be among them are dropped behind an approximate quantile first, with room for
+    its error, so that few more than ``k`` rows are sent on altogether and not ``k`` by each task.
+    """
+    order = F.col(count) + F.pmod(F.xxhash64(key), F.lit(1 << 20)) / float(1 << 20)
+    ranked = df.withColumn("_order", order.cast("double"))
+    total, accuracy = df.count(), 100_000
+    if total > 2 * k:
+        share = (k + 2 * total / accuracy) / total
+        cut = ranked.select(F.percentile_approx("_order", max(0.0, 1 - share), accuracy)).first()[0]
+        ranked = ranked.where(F.col("_order") >= cut)
+    return ranked.orderBy(F.desc("_order"), key).limit(k).drop("_order")
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back; cuts the lineage."""
     path = staging_path(df.sparkSession, name)

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tillroll.llm.common import stored
+from tillroll.llm.common import most_frequent, stored
 
 #: Digest of the end token; the empty word does not occur in a text.
 END = xxhash.xxh64_intdigest(b"") - (1 << 63)
@@ -138,7 +138,7 @@ class Lexicon:
 
 def read_lexicon(counts: DataFrame, settings: Settings) -> Lexicon:
     """What every task needs of the counts: ``known`` rows and one sum per tail class."""
-    top = counts.orderBy(F.desc("n"), "word").limit(settings.known).toPandas()
+    top = most_frequent(counts, "n", "word", settings.known).toPandas()
     words = [w for w in top["word"].tolist() if w != END]
     by_word = dict(zip(top["word"].tolist(), top["n"].tolist()))
     listed = set(words[: settings.listed]) | {END}

@@ -26,22 +26,25 @@ component id, and a component has the smallest id that is not null.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tillroll.llm.common import stored
+from tillroll.llm.common import most_frequent, stored
 
 WORDS = 5
 FRAGMENTS = 8
 #: Shingles that head at most so many classes are expanded into pairs.
-SMALL = 24
+SMALL = 64
 #: Shingles with a rank of their own at the end of the order; the broadcast has so many rows.
 RANKED = 1 << 18
 #: Times that a shingle must occur in one task's documents to be a candidate for a rank.
-REPEATED = 3
+REPEATED = 2
+#: Rows of the broadcasts that thin out a table before an exact join.
+BUCKETS = 1 << 20
 CHUNK_BYTES = 1 << 20
 #: Shingles whose repetitions a task counts at once.
 COUNTED = 4_000_000
@@ -198,15 +201,24 @@ def repeated_shingles(df: DataFrame, text: str) -> np.ndarray:
         .mapInArrow(run, "shingle bigint, n bigint")
         .groupBy("shingle")
         .agg(F.sum("n").alias("n"))
-        .orderBy(F.desc("n"), "shingle")
-        .limit(RANKED)
-        .toPandas()
     )
+    sums = most_frequent(stored(sums, "ngram-repeated"), "n", "shingle", RANKED).toPandas()
     return sums["shingle"].to_numpy(np.int64)[::-1].view(_U)
 
 
+def _last_keys(keys: np.ndarray, heads: np.ndarray) -> np.ndarray:
+    """The last of each text's first keys, shifted to signed numbers; 0 without any."""
+    out = np.zeros(len(heads), np.int64)
+    some = heads > 0
+    out[some] = (keys[np.cumsum(heads)[some] - 1] ^ _U(1 << 63)).view(np.int64)
+    return out
+
+
 def _heads(df: DataFrame, key: str, text: str, order: Order, percent: int) -> DataFrame:
-    """(doc, n, id, check, head): size and digests of each set and its first shingles."""
+    """(doc, n, id, check, last, head): size and digests of each set, and its first shingles.
+
+    ``last`` is the place of the last of them in the order, as a signed number.
+    """
     shared = df.sparkSession.sparkContext.broadcast(order)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -227,64 +239,134 @@ def _heads(df: DataFrame, key: str, text: str, order: Order, percent: int) -> Da
                         pa.array(sizes.astype(np.int64)),
                         pa.array(h1),
                         pa.array(h2),
+                        pa.array(_last_keys(keys[by_key][taken], heads)),
                         pa.ListArray.from_arrays(
                             pa.array(offsets, pa.int32()),
                             pa.array(shingle[by_key][taken].view(np.int64)),
                         ),
                     ],
-                    names=["doc", "n", "id", "check", "head"],
+                    names=["doc", "n", "id", "check", "last", "head"],
                 )
 
     rows = df.select(F.col(key).cast("bigint").alias("doc"), F.col(text).alias("text"))
     return rows.mapInArrow(
-        run, "doc bigint, n bigint, id bigint, check bigint, head array<bigint>"
+        run, "doc bigint, n bigint, id bigint, check bigint, last bigint, head array<bigint>"
     )
 
 
-def _parts(df: DataFrame, text: str, order: Order) -> DataFrame:
-    """(id, fragment, part): every set cut along the order; a part is sorted by shingle."""
+@dataclass
+class Source:
+    """What the comparison of pairs reads: (doc, text), the classes and the order."""
+
+    texts: DataFrame
+    classes: DataFrame
+    order: Order
+
+
+def _few(df: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
+    """Rows of ``df`` whose key is among ``wanted`` (one column), and some others.
+
+    The broadcast holds buckets of keys, at most ``BUCKETS`` rows whatever the tables are; the
+    exact join that follows then shuffles few of the other rows.
+    """
+    name = wanted.columns[0]
+    buckets = wanted.select(F.pmod(F.xxhash64(name), F.lit(BUCKETS)).alias("_bucket")).distinct()
+    own = F.pmod(F.xxhash64(key), F.lit(BUCKETS))
+    return df.withColumn("_bucket", own).join(F.broadcast(buckets), "_bucket", "left_semi").drop(
+        "_bucket"
+    )
+
+
+def _parts(df: DataFrame, text: str, order: Order, of_hubs: bool) -> DataFrame:
+    """(hub, id, fragment, part) of the hubs themselves, or of the sets to be compared with them.
+
+    ``df`` has the text, the digest ``id`` of the wanted set and the list ``hubs``. The set is cut
+    along the order; a part is sorted by shingle. A row with another set than ``id`` gives nothing.
+    """
     shared = df.sparkSession.sparkContext.broadcast(order)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, shingler = shared.value, Shingler()
         for batch in batches:
-            for _, texts in _chunks(batch, 0):
+            wanted = batch.column(1).to_numpy(zero_copy_only=False)
+            hubs = batch.column(2)
+            for first, texts in _chunks(batch, 0):
                 of, shingle = shingler.sets(texts)
                 _, ids, _ = _set_digests(of, shingle, len(texts))
+                right = ids == wanted[first : first + len(texts)]
+                of, shingle = of[right[of]], shingle[right[of]]
                 place = of * FRAGMENTS + own.fragments(own.keys(shingle))
                 by_place = np.lexsort((shingle, place))
                 places, starts = np.unique(place[by_place], return_index=True)
-                offsets = pa.array(np.append(starts, len(place)), pa.int32())
+                parts = pa.ListArray.from_arrays(
+                    pa.array(np.append(starts, len(place)), pa.int32()),
+                    pa.array(shingle[by_place].view(np.int64)),
+                )
+                rows = hubs.take(pa.array(first + places // FRAGMENTS))
+                again = np.repeat(np.arange(len(places)), pa.compute.list_value_length(rows))
+                own_ids, hub = ids[places // FRAGMENTS][again], rows.flatten()
+                kept = (hub.to_numpy(zero_copy_only=False) == own_ids) == of_hubs
+                again = pa.array(again[kept])
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(ids[places // FRAGMENTS]),
-                        pa.array((places % FRAGMENTS).astype(np.int32)),
-                        pa.ListArray.from_arrays(
-                            offsets, pa.array(shingle[by_place].view(np.int64))
-                        ),
+                        hub.filter(pa.array(kept)),
+                        pa.array(own_ids[kept]),
+                        pa.array((places % FRAGMENTS).astype(np.int32)).take(again),
+                        parts.take(again),
                     ],
-                    names=["id", "fragment", "part"],
+                    names=["hub", "id", "fragment", "part"],
                 )
 
-    return df.select(text).mapInArrow(run, "id bigint, fragment int, part array<bigint>")
+    return df.select(text, "id", "hubs").mapInArrow(
+        run, "hub bigint, id bigint, fragment int, part array<bigint>"
+    )
 
 
-def _overlaps(pairs: DataFrame, parts: DataFrame) -> DataFrame:
-    """(a, b, common): partial overlaps counted in each fragment, summed per pair."""
-    left = parts.select(F.col("id").alias("a"), "fragment", F.col("part").alias("part_a"))
-    right = parts.select(F.col("id").alias("b"), "fragment", F.col("part").alias("part_b"))
-    both = pairs.select("a", "b").join(left, "a").join(right, ["b", "fragment"])
-    partial = F.size(F.array_intersect("part_a", "part_b"))
-    return both.groupBy("a", "b").agg(F.sum(partial).cast("bigint").alias("common"))
+def _meet(pairs: DataFrame, source: Source) -> DataFrame:
+    """(a, b, fragment, part_a, part_b): the parts of every pair, fragment by fragment.
+
+    The part of b travels to that of a. Texts are read again for the sets of these pairs only; both
+    sides share one shuffle of them.
+    """
+    hubs = pairs.select(F.col("b").alias("id"), F.col("a").alias("hub"))
+    hubs = hubs.union(pairs.select(F.col("a").alias("id"), F.col("a").alias("hub")))
+    wanted = hubs.groupBy("id").agg(F.collect_set("hub").alias("hubs"))
+    # A class of rows without an id is found by its own key.
+    key = F.coalesce("doc", F.lit(-(1 << 63)))
+    named = wanted.join(source.classes.select("id", key.alias("key")), "id")
+    texts = source.texts.select(key.alias("key"), "text")
+    rows = _few(texts, "key", named.select("key")).join(named, "key")
+    rows = rows.dropDuplicates(["key", "id", "text"])
+    left = _parts(rows, "text", source.order, True)
+    left = left.select(F.col("hub").alias("a"), "fragment", F.col("part").alias("part_a"))
+    right = _parts(rows, "text", source.order, False)
+    right = right.select(
+        F.col("hub").alias("a"), F.col("id").alias("b"), "fragment", F.col("part").alias("part_b")
+    )
+    return right.join(left, ["a", "fragment"], "left")
 
 
-def _links(pairs: DataFrame, parts: DataFrame, percent: int) -> DataFrame:
-    """``pairs`` (a, b, n_a, n_b) with ``common`` and whether they link."""
-    counted = pairs.join(_overlaps(pairs, parts), ["a", "b"], "left")
-    common = F.coalesce("common", F.lit(0))
-    union = F.col("n_a") + F.col("n_b") - common
-    return counted.withColumn("common", common).withColumn(
-        "linked", 100 * common >= percent * union
+def _links(pairs: DataFrame, source: Source, percent: int) -> DataFrame:
+    """``pairs`` (a, b, n_a, n_b) with ``common`` and whether they link.
+
+    Partial overlaps are counted in each fragment and summed per pair. (Texts of one id with equal
+    sets give equal parts, so the largest count of a fragment is the count.)
+    """
+    partial = F.size(F.array_intersect("part_a", "part_b"))
+    counted = (
+        _meet(pairs, source)
+        .groupBy("a", "b", "fragment")
+        .agg(F.max(F.greatest(partial, F.lit(0))).alias("partial"))
+        .groupBy("a", "b")
+        .agg(F.sum("partial").alias("overlap"))
+    )
+    common = F.coalesce("overlap", F.lit(0))
+    union = F.col("n_a") + F.col("n_b") - F.col("common")
+    return (
+        pairs.join(counted, ["a", "b"], "left")
+        .withColumn("common", common)
+        .withColumn("linked", 100 * F.col("common") >= percent * union)
+        .drop("overlap")
     )
 
 
@@ -303,53 +385,101 @@ def link_classes(df: DataFrame, key: str, text: str, percent: int = 80):
     sets = stored(_heads(df, key, text, order, percent), "ngram-sets")
     classes = stored(
         sets.where("n > 0")
-        .groupBy("id", "check", "n")
-        .agg(F.min("doc").alias("doc"), F.count("*").alias("copies"), F.min("head").alias("head")),
+        .groupBy("id", "check", "n", "last")
+        .agg(F.min("doc").alias("doc"), F.count("*").alias("copies")),
         "ngram-classes",
     )
-    heads = classes.select("id", F.explode("head").alias("shingle"))
-    shared = heads.groupBy("shingle").agg(F.count("*").alias("classes")).where("classes > 1")
+    texts = df.select(F.col(key).cast("bigint").alias("doc"), F.col(text).alias("text"))
+    source = Source(texts, classes, order)
+    # Shingles that head several rows; copies are folded after the rest has gone.
+    heads = sets.select("id", F.explode("head").alias("shingle"))
+    several = heads.groupBy("shingle").agg(F.count("*").alias("rows")).where("rows > 1")
+    several = stored(several.select("shingle"), "ngram-shingles")
+    rows = _few(heads, "shingle", several).join(several, "shingle", "left_semi").distinct()
+    rows = stored(rows, "ngram-rows")
+    shared = rows.groupBy("shingle").agg(F.count("*").alias("classes")).where("classes > 1")
     rows = stored(
-        heads.join(shared, "shingle").join(classes.select("id", "n", "copies"), "id"),
-        "ngram-rows",
-    )
-    few = rows.where(F.col("classes") <= SMALL).select("shingle", "id", "n")
-    small = few.select("shingle", F.col("id").alias("a"), F.col("n").alias("n_a")).join(
-        few.select("shingle", F.col("id").alias("b"), F.col("n").alias("n_b")), "shingle"
+        rows.join(shared, "shingle").join(classes.select("id", "n", "last", "copies"), "id"),
+        "ngram-shared",
     )
-    small = small.where((F.col("a") < F.col("b")) & _near_sizes("n_a", "n_b", percent))
+    small = _small_pairs(rows, percent)
     many = rows.where(F.col("classes") > SMALL)
     best = F.struct("copies", (-F.col("n")).alias("size"), "id")
     hubs = many.groupBy("shingle").agg(F.max(best).alias("hub"))
-    stars = stored(
+    stars = (
         many.join(hubs, "shingle")
         .select(
             F.col("hub.id").alias("a"),
             F.col("id").alias("b"),
             (-F.col("hub.size")).alias("n_a"),
             F.col("n").alias("n_b"),
+            F.lit(True).alias("star"),
         )
         .where("a <> b")
-        .distinct(),
-        "ngram-stars",
     )
-    pairs = stored(small.select("a", "b", "n_a", "n_b").distinct(), "ngram-pairs")
-    ends = [t.select(F.col(c).alias("id")) for t in (pairs, stars) for c in ("a", "b")]
-    wanted = ends[0].union(ends[1]).union(ends[2]).union(ends[3]).distinct()
-    docs = classes.join(wanted, "id", "left_semi").select(F.col("doc").alias(key))
-    # Another row with the id of a wanted document may bring a set that nobody asked for.
-    own = df.join(docs, key, "left_semi")
-    parts = stored(_parts(own, text, order).dropDuplicates(["id", "fragment"]), "ngram-parts")
-    found = _links(pairs, parts, percent)
-    starred = stored(_links(stars, parts, percent), "ngram-starred")
-    again = stored(_second_pairs(starred, parts, order, percent), "ngram-again")
-    more = _links(again, parts, percent)
-    every = [t.where("linked").select("a", "b") for t in (found, starred, more)]
-    links = stored(every[0].union(every[1]).union(every[2]), "ngram-links")
+    pairs = small.withColumn("star", F.lit(False)).unionByName(
+        stars.withColumn("shared", F.lit(0).cast("bigint"))
+    )
+    pairs = pairs.groupBy("a", "b", "n_a", "n_b").agg(
+        F.max("star").alias("star"), F.max("shared").alias("shared")
+    )
+    pairs = stored(pairs, "ngram-pairs")
+    # First the hubs and one partner of each class; what they connect needs no other pair.
+    best = Window.partitionBy("b").orderBy(F.desc("shared"), "a")
+    ranked = pairs.withColumn("place", F.when(~F.col("star"), F.row_number().over(best)))
+    ranked = stored(ranked, "ngram-ranked")
+    early = ranked.where("star or place = 1").select("a", "b", "n_a", "n_b", "star")
+    found = stored(_links(early, source, percent), "ngram-found")
+    again = _second_pairs(found.where("star"), source, percent)
+    late = ranked.where("not star and place > 1").select("a", "b", "n_a", "n_b")
+    rest = stored(again.union(late).distinct(), "ngram-again")
+    linked = found.where("linked").select("a", "b")
+    rest = _apart(rest, components(linked))
+    more = _links(stored(rest, "ngram-rest"), source, percent)
+    links = stored(linked.union(more.where("linked").select("a", "b")), "ngram-links")
     return sets.select("doc", "n", "id"), links
 
 
-def _second_pairs(starred: DataFrame, parts: DataFrame, order: Order, percent: int) -> DataFrame:
+def _small_pairs(rows: DataFrame, percent: int) -> DataFrame:
+    """(a, b, n_a, n_b, shared): pairs that share a small shingle and may have overlap enough.
+
+    Say the first shingles of a end before those of b. What a and b share up to there are first
+    shingles of both; beyond there a has only its n - (number of first shingles) others. So the
+    overlap is at most the shared first shingles plus those; of first shingles with large groups,
+    which are not expanded here, no more can be shared than either has.
+    """
+    large = rows.groupBy("id").agg(F.count_if(F.col("classes") > SMALL).alias("large"))
+    few = rows.where(F.col("classes") <= SMALL).join(large, "id")
+    few = few.select("shingle", *[F.col(c) for c in ("id", "n", "last", "large")])
+    one = few.select("shingle", F.col("id").alias("a"), *[F.col(c).alias(f"{c}_a") for c in ("n", "last", "large")])
+    two = few.select("shingle", F.col("id").alias("b"), *[F.col(c).alias(f"{c}_b") for c in ("n", "last", "large")])
+    near = one.join(two, "shingle").where(
+        (F.col("a") < F.col("b")) & _near_sizes("n_a", "n_b", percent)
+    )
+    n = F.when(F.col("last_a") < F.col("last_b"), F.col("n_a")).otherwise(F.col("n_b"))
+    rest = F.ceil(percent * n / 100) - 1
+    same = F.col("last_a") == F.col("last_b")
+    rest = F.when(same, F.ceil(percent * F.greatest("n_a", "n_b") / 100) - 1).otherwise(rest)
+    most = F.col("shared") + F.least("large_a", "large_b") + rest
+    facts = ["a", "b", "n_a", "n_b", "last_a", "last_b", "large_a", "large_b"]
+    return (
+        near.groupBy(*facts)
+        .agg(F.count("*").alias("shared"))
+        .where((100 + percent) * most >= percent * (F.col("n_a") + F.col("n_b")))
+        .select("a", "b", "n_a", "n_b", "shared")
+    )
+
+
+def _apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The pairs whose ends are not connected yet."""
+    of_a = labels.select(F.col("node").alias("a"), F.col("component").alias("label_a"))
+    of_b = labels.select(F.col("node").alias("b"), F.col("component").alias("label_b"))
+    known = pairs.join(of_a, "a", "left").join(of_b, "b", "left")
+    apart = F.coalesce(F.col("label_a") != F.col("label_b"), F.lit(True))
+    return known.where(apart).drop("label_a", "label_b")
+
+
+def _second_pairs(starred: DataFrame, source: Source, percent: int) -> DataFrame:
     """Pairs that share a hub, do not both link with it and may still link with each other."""
     open_hubs = starred.where("not linked").select("a").distinct()
     rows = starred.join(open_hubs, "a", "left_semi").select(
@@ -362,22 +492,20 @@ def _second_pairs(starred: DataFrame, parts: DataFrame, order: Order, percent: i
     )
     rows = stored(rows, "ngram-open")
     # The first shingles outside the hub, in the global order: fragment by fragment.
-    hub_parts = parts.select(F.col("id").alias("hub"), "fragment", F.col("part").alias("hub_part"))
+    pairs = rows.select(F.col("hub").alias("a"), F.col("id").alias("b"))
+    none = F.array().cast("array<bigint>")
     outside = (
-        rows.join(parts, "id")
-        .join(hub_parts, ["hub", "fragment"], "left")
-        .withColumn(
-            "rest",
-            F.array_except("part", F.coalesce("hub_part", F.array().cast("array<bigint>"))),
+        _meet(pairs, source)
+        .select(
+            F.col("a").alias("hub"),
+            F.col("b").alias("id"),
+            F.array_except("part_b", F.coalesce("part_a", none)).alias("rest"),
         )
         .groupBy("hub", "id")
-        .agg(
-            F.first("n").alias("n"),
-            F.first("linked").alias("linked"),
-            F.flatten(F.collect_list("rest")).alias("rest"),
-        )
+        .agg(F.array_distinct(F.flatten(F.collect_list("rest"))).alias("rest"))
+        .join(rows.select("hub", "id", "n", "linked"), ["hub", "id"])
     )
-    head = _first_in_order(outside, order, percent)
+    head = _first_in_order(outside, source.order, percent)
     one = head.select("hub", "shingle", F.col("id").alias("a"), F.col("n").alias("n_a"),
                       F.col("linked").alias("linked_a"))
     two = head.select("hub", "shingle", F.col("id").alias("b"), F.col("n").alias("n_b"),

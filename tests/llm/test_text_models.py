@@ -324,6 +324,17 @@ def test_probabilities_sum_to_one(spark):
     assert all(lexicon.tail_sums[t] == sums[t] + 1 for t in range(SMALL.tail_classes))
 
 
+def test_every_known_word_is_in_the_softmax(spark):
+    texts = [" ".join(f"w{i}" for i in range(start, 3000)) for start in (0, 500)]
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    chosen = lm.Settings()
+    lexicon = lm.read_lexicon(lm.count_words(df, chosen), chosen)
+    assert chosen.listed == chosen.known - 1 and chosen.class_words**2 == chosen.known
+    assert set(lexicon.place) == set(lexicon.counts) and len(lexicon.place) == 3001
+    reader = lm.Reader(lexicon)
+    assert len(set(reader.tokens(reader.codes(lm.words_of(texts[0]))).tolist())) == 3001
+
+
 def test_network_slope_matches_differences(spark):
     texts = ["a b c d e f g h i j k l m n", "a b a c q r s t", "z y x"]
     _, lexicon = lexicon_of(spark, texts)

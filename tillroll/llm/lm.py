@@ -8,9 +8,12 @@ belongs to one of ``tail_classes`` tail classes by its first letters. The networ
 second softmax inside its class; inside a tail class a word has the probability
 (count + 1) / (counts + words + 1) of that class, so one unseen word is provided for.
 
-Training is truncated backpropagation in numpy. Every training document is read once, in
-``rounds`` parts; in each part all tasks start from the same weights, and the weights are averaged
-over tasks by their tokens. Documents go through lanes with the state carried over all windows of
+All known words are listed by default, in classes of about the square root of their number.
+
+Training is truncated backpropagation in numpy. A step changes the rows that its window read and the
+classes that it gave. Every training document is read once, in ``rounds`` parts; in each part at
+most one task per core starts from the same weights, and the weights are averaged over tasks by
+their tokens, in blocks. Documents go through lanes with the state carried over all windows of
 a document, in training as in scoring, so a text of any length is scored whole.
 
 Counts of the ``known`` commonest words are broadcast (a fixed number of rows); the counts of
@@ -45,12 +48,19 @@ COUNTER_ENTRIES = 400_000
 _LOGIT = 60.0
 #: Tokens that a task holds at once.
 HELD_TOKENS = 5_000_000
+#: Tokens whose output probabilities are taken together in scoring.
+OUTPUT_TOKENS = 8192
+#: Tokens whose outputs are worked on at once, and classes whose weights are, to stay in the cache.
+CACHED_TOKENS = 512
+CACHED_CLASSES = 8
+#: Weights are averaged in blocks of so many.
+BLOCK_WEIGHTS = 1 << 15
 
 
 @dataclass(frozen=True)
 class Settings:
-    listed: int = 1023
-    class_words: int = 64
+    listed: int = 65_535
+    class_words: int = 256
     tail_classes: int = 16
     known: int = 65_536
     hidden: int = 16
@@ -194,8 +204,14 @@ class Network:
         for view, scale in ((self.read, 0.3), (self.carry, 0.3), (self.class_w, 0.05), (self.word_w, 0.05)):
             view[:] = rng.standard_normal(view.shape) * scale
         counts = np.zeros(self.word_classes * self.size)
+        tails = np.zeros(self.listed, np.int64)
         for word, at in lexicon.place.items():
             counts[at] = lexicon.counts.get(word, 0) + 1
+            tails[at] = lexicon.tail_of.get(word, -1)
+        # A rare word is read nearly as its tail class is; training takes it from there.
+        seldom = np.where(tails < 0, 0, 100 / (99 + counts[: self.listed])).astype(np.float32)[:, None]
+        words = self.read[: self.listed]
+        words += seldom * (self.read[self.listed + tails] - words)
         counts = counts.reshape(self.word_classes, self.size)
         mass = np.concatenate([counts.sum(axis=1), lexicon.tail_sums])
         self.class_b[:] = np.log(mass / mass.sum())
@@ -227,43 +243,31 @@ class Network:
         outputs = np.where(
             tokens < self.listed, tokens // self.size, tokens - self.listed + self.word_classes
         )
-        rows = np.arange(len(tokens))
-        p = states @ self.class_w
-        p += self.class_b
-        np.clip(p, -_LOGIT, _LOGIT, out=p)  # cheaper than a maximum per row
-        found = p[rows, outputs]
-        np.exp(p, out=p)
-        total = p @ np.ones(p.shape[1], np.float32)
-        found -= np.log(total)
-        d_states = None
-        if grad is not None:
-            p /= total[:, None]
-            p[rows, outputs] -= 1
-            grad.class_w += states.T @ p
-            grad.class_b += p.sum(axis=0)
-            d_states = p @ self.class_w.T
-        ones = np.ones(self.size, np.float32)
+        found = np.empty(len(tokens), np.float32)
+        d_states = None if grad is None else np.empty_like(states)
+        for first in range(0, len(tokens), CACHED_TOKENS):
+            here = slice(first, first + CACHED_TOKENS)
+            own = None if grad is None else (grad.class_w, grad.class_b)
+            found[here], back = _softmax(states[here], self.class_w, self.class_b, outputs[here], own)
+            if grad is not None:
+                d_states[here] = back
         order = np.argsort(outputs, kind="stable")
-        ends = np.searchsorted(outputs[order], np.arange(self.word_classes + 1))
+        ends = np.searchsorted(outputs[order], np.arange(self.word_classes + 1)).tolist()
+        sorted_states, words = states[order], (tokens - outputs * self.size)[order]
+        added = np.zeros(len(tokens), np.float32)
+        d_sorted = None if grad is None else np.zeros_like(states)
         for c in range(self.word_classes):
-            at = order[ends[c] : ends[c + 1]]
-            if not len(at):
-                continue
-            own = states[at]
-            rows, word = np.arange(len(at)), tokens[at] - c * self.size
-            p = own @ self.word_w[c]
-            p += self.word_b[c]
-            np.clip(p, -_LOGIT, _LOGIT, out=p)
-            picked = p[rows, word]
-            np.exp(p, out=p)
-            total = p @ ones
-            found[at] += picked - np.log(total)
-            if grad is not None:
-                p /= total[:, None]
-                p[rows, word] -= 1
-                grad.word_w[c] += own.T @ p
-                grad.word_b[c] += p.sum(axis=0)
-                d_states[at] += p @ self.word_w[c].T
+            own = None if grad is None else (grad.word_w[c], grad.word_b[c])
+            for first in range(ends[c], ends[c + 1], CACHED_TOKENS):
+                here = slice(first, min(first + CACHED_TOKENS, ends[c + 1]))
+                added[here], back = _softmax(
+                    sorted_states[here], self.word_w[c], self.word_b[c], words[here], own
+                )
+                if grad is not None:
+                    d_sorted[here] = back
+        found[order] += added
+        if grad is not None:
+            d_states[order] += d_sorted
         return found, d_states
 
     def backward(self, kept, d_states: np.ndarray, fresh: np.ndarray, grad: Network) -> np.ndarray:
@@ -287,6 +291,25 @@ class Network:
         return d_read
 
 
+def _softmax(states: np.ndarray, w: np.ndarray, b: np.ndarray, picked: np.ndarray, grad=None):
+    """Log-probability of the picked output of each row, and with ``grad`` the slope of the states."""
+    rows = np.arange(len(picked))
+    p = states @ w
+    p += b
+    np.clip(p, -_LOGIT, _LOGIT, out=p)  # cheaper than a maximum per row
+    found = p[rows, picked]
+    np.exp(p, out=p)
+    total = p @ np.ones(p.shape[1], np.float32)
+    found -= np.log(total)
+    if grad is None:
+        return found, None
+    p *= (1 / total)[:, None]
+    p[rows, picked] -= 1
+    grad[0][:] += states.T @ p
+    grad[1][:] += np.ones(len(p), np.float32) @ p
+    return found, p @ w.T
+
+
 def _sigmoid(x: np.ndarray) -> np.ndarray:
     """In place; an exponential that overflows gives 0."""
     with np.errstate(over="ignore"):
@@ -333,27 +356,50 @@ def score_texts(network: Network, texts: list[np.ndarray], settings: Settings, e
     lanes = Lanes(texts, settings.lanes, end)
     out = np.zeros(len(texts))
     state = np.zeros((lanes.tokens.shape[1], settings.hidden), np.float32)
+    waiting, held = [], 0
     for start, stop, n, valid in lanes.windows(settings.window):
-        fresh = lanes.fresh[start:stop, :n]
-        read = network.read[lanes.before[start:stop, :n]]
-        states, state, _ = network.steps(read, fresh, state[:n])
-        found, _ = network.log_probability(states[valid], lanes.tokens[start:stop, :n][valid])
-        out += np.bincount(lanes.text[start:stop, :n][valid], found, minlength=len(out))
+        here = np.s_[start:stop, :n]
+        states, state, _ = network.steps(network.read[lanes.before[here]], lanes.fresh[here], state[:n])
+        waiting.append((states[valid], lanes.tokens[here][valid], lanes.text[here][valid]))
+        held += len(waiting[-1][1])
+        if held >= OUTPUT_TOKENS or stop == len(lanes.tokens):
+            given, tokens, text = map(np.concatenate, zip(*waiting))
+            found, _ = network.log_probability(given, tokens)
+            out += np.bincount(text, found, minlength=len(out))
+            waiting, held = [], 0
     return out
 
 
 class Adam:
-    def __init__(self, size: int, rate: float):
-        self.m, self.v = np.zeros(size, np.float32), np.zeros(size, np.float32)
+    """Steps on what a window touched: the moments of other rows and classes stay as they are."""
+
+    def __init__(self, network: Network, rate: float):
+        self.m, self.v = (_view(network, np.zeros_like(network.flat)) for _ in range(2))
         self.rate, self.t = rate, 0
 
-    def step(self, flat: np.ndarray, grad: np.ndarray, weight: float) -> None:
-        """A step of ``weight`` times the rate, less where the window is not full."""
+    def step(self, network: Network, grad: Network, count: int, weight: float, read, classes) -> None:
+        """A step of ``weight`` times the rate, less where the window is not full.
+
+        The larger floor under the output weights, a share of the slope of one token, keeps the
+        steps of outputs that a window does not hold in proportion to their small slopes.
+        """
         self.t += 1
-        self.m += 0.1 * (grad - self.m)
-        self.v += 0.01 * (grad * grad - self.v)
-        m = self.m / (1 - 0.9**self.t)
-        flat -= weight * self.rate * m / (np.sqrt(self.v / (1 - 0.99**self.t)) + 1e-6)
+        floor = 0.3 / count
+        parts = [("carry", ..., 1e-6), ("class_w", ..., floor), ("class_b", ..., floor), ("read", read, 1e-6)]
+        for first in range(0, len(classes), CACHED_CLASSES):
+            own = classes[first : first + CACHED_CLASSES]
+            parts += [("word_w", own, floor), ("word_b", own, floor)]
+        for name, at, least in parts:
+            g, m, v = (getattr(x, name)[at] for x in (grad, self.m, self.v))
+            m = m + 0.1 * (g - m)
+            v = v + 0.01 * (g * g - v)
+            getattr(self.m, name)[at], getattr(self.v, name)[at] = m, v
+            m *= weight * self.rate / (1 - 0.9**self.t)
+            v /= 1 - 0.99**self.t
+            np.sqrt(v, out=v)
+            v += least
+            m /= v
+            getattr(network, name)[at] -= m
 
 
 def train_texts(network: Network, adam: Adam, texts: list[np.ndarray], settings: Settings, end: int):
@@ -383,7 +429,6 @@ def train_texts(network: Network, adam: Adam, texts: list[np.ndarray], settings:
     for start in range(0, steps, window):
         here = slice(start, start + window)
         states, state, kept = network.steps(network.read[before[here]], fresh[here], state)
-        grad_flat[:] = 0
         ok = valid[here]
         _, own = network.log_probability(states[ok], tokens[here][ok], grad)
         d_states = np.zeros_like(states)
@@ -393,9 +438,16 @@ def train_texts(network: Network, adam: Adam, texts: list[np.ndarray], settings:
         order = np.argsort(at, kind="stable")
         firsts = np.flatnonzero(np.diff(at[order], prepend=-1))
         grad.read[at[order][firsts]] += np.add.reduceat(d_read.reshape(len(at), -1)[order], firsts)
-        count = int(ok.sum())
-        grad_flat /= max(1, count)
-        adam.step(network.flat, grad_flat, count / ok.size)
+        count = max(1, int(ok.sum()))
+        given = tokens[here][ok]
+        rows, classes = at[order][firsts], np.unique(given[given < network.listed] // network.size)
+        touched = [(grad.carry, ...), (grad.class_w, ...), (grad.class_b, ...),
+                   (grad.read, rows), (grad.word_w, classes), (grad.word_b, classes)]
+        for part, own in touched:
+            part[own] /= count
+        adam.step(network, grad, count, count / ok.size, rows, classes)
+        for part, own in touched:
+            part[own] = 0
 
 
 def _view(network: Network, flat: np.ndarray) -> Network:
@@ -455,6 +507,19 @@ class Reader:
         return np.append(self.token[codes], np.int32(self.end))
 
 
+def _average(table: pa.Table) -> pa.Table:
+    """One block of weights: the mean over tasks by their tokens."""
+    totals = table.column("total").to_pylist()
+    parts = [np.frombuffer(w, np.float32) for w in table.column("weights").to_pylist()]
+    mean = sum(p.astype(float) * n for p, n in zip(parts, totals)) / sum(totals)
+    return pa.table(
+        {
+            "block": table.column("block").slice(0, 1),
+            "weights": pa.array([mean.astype(np.float32).tobytes()], pa.binary()),
+        }
+    )
+
+
 def train(df: DataFrame, lexicon: Lexicon, part_of: str, text: str = "text") -> np.ndarray:
     """Weights after one reading of all rows; ``part_of`` names a column that splits the rounds."""
     settings = lexicon.settings
@@ -468,7 +533,7 @@ def train(df: DataFrame, lexicon: Lexicon, part_of: str, text: str = "text") ->
         def run(batches: Iterator[pa.RecordBatch], shared=shared, rate=rate):
             own, start = shared.value
             network = Network(own, start.copy())
-            adam, reader = Adam(len(start), rate), Reader(own)
+            adam, reader = Adam(network, rate), Reader(own)
             waiting, held, total = [], 0, 0
             for batch in batches:
                 for value in batch.column(0).to_pylist():
@@ -481,25 +546,29 @@ def train(df: DataFrame, lexicon: Lexicon, part_of: str, text: str = "text") ->
                 train_texts(network, adam, waiting, settings, end)
                 total += held
             if total:
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(np.arange(len(start) + 1), pa.int32()),
-                        pa.array(np.append(network.flat.astype(float) * total, total)),
-                    ],
-                    names=["at", "value"],
-                )
+                for block, at in enumerate(range(0, len(start), BLOCK_WEIGHTS)):
+                    part = network.flat[at : at + BLOCK_WEIGHTS]
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            pa.array([block], pa.int32()),
+                            pa.array([total], pa.int64()),
+                            pa.array([part.tobytes()], pa.binary()),
+                        ],
+                        names=["block", "total", "weights"],
+                    )
 
         rows = df.where(F.pmod(F.xxhash64(part_of), F.lit(settings.rounds)) == number).select(text)
-        sums = (
-            rows.mapInArrow(run, "at int, value double")
-            .groupBy("at")
-            .agg(F.sum("value").alias("value"))
-            .toPandas()
-            .sort_values("at")["value"]
-            .to_numpy()
+        rows = rows.coalesce(session.sparkContext.defaultParallelism)
+        parts = (
+            rows.mapInArrow(run, "block int, total bigint, weights binary")
+            .groupBy("block")
+            .applyInArrow(_average, "block int, weights binary")
+            .collect()
         )
-        if len(sums):
-            flat = (sums[:-1] / sums[-1]).astype(np.float32)
+        if parts:
+            flat = np.concatenate(
+                [np.frombuffer(p.weights, np.float32) for p in sorted(parts, key=lambda p: p.block)]
+            )
     return flat
 
 

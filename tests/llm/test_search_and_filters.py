@@ -289,6 +289,26 @@ def test_edited_passages_against_plain_alignment():
             assert found[0][0] == 5 and found[0][3] == best
 
 
+def test_excerpts_from_any_place_of_an_item():
+    rng = random.Random(4)
+    words = ["".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 8))) for _ in range(400)]
+
+    def prose(n):
+        return " ".join(rng.choice(words) for _ in range(n))
+
+    items = [(i, prose(70)) for i in range(12)]
+    windows = decontaminate.Windows.of_items(items, decontaminate.EDIT_RATE)
+    places = [(i, start, size) for i, _ in items for start, size in ((15, 150), (20, 140))]
+    places += [(i, rng.randrange(0, 150), rng.randint(127, 170)) for i, _ in items for _ in range(4)]
+    for i, start, size in places:
+        part = items[i][1][start : start + size].strip()
+        text = f"{prose(30)} {part} {prose(30)}"
+        (found,) = decontaminate.leaks_in([text], windows)
+        whole = len(part) >= decontaminate.WINDOW + decontaminate.stride(decontaminate.EDIT_RATE) - 1
+        assert [x[0] for x in found] == [i]
+        assert not whole or (found[0][3] == 0 and text[found[0][1] : found[0][2]] in items[i][1])
+
+
 def test_passages_of_odd_rows(spark, monkeypatch):
     monkeypatch.setattr(decontaminate, "BLOCK_CHARS", 150)
     passage = "It was the best of times, it was the worst of times; it was the age of wisdom"

@@ -1,7 +1,9 @@
 """Benchmark passages in documents, found by shared q-grams and verified by banded alignment.
 
 Both sides are folded: letters and digits in lower case, one space for everything between them.
-An item is cut into overlapping windows of at most ``WINDOW`` characters. A window of m characters
+An item is cut into windows of at most ``WINDOW`` characters that begin as many characters apart as a
+window may have edits, so that a part of an item is found wherever it begins and ends: unchanged, any
+part that is longer than a window by that many characters. A window of m characters
 with at most e edits shares at least (m - q + 1) - q * e of its q-grams with the document (the
 q-gram lemma), and all of them lie within e + 1 neighbouring diagonals. So shared q-grams are
 counted in diagonal bands of twice that width that overlap by half; bands that reach the bound are
@@ -34,12 +36,17 @@ MIN_CHARS = 30
 EDIT_RATE = 0.06
 BLOCK_CHARS = 4_000_000
 #: Characters of documents that are compared at once.
-CHUNK_CHARS = 2_000_000
+CHUNK_CHARS = 100_000
 
 _FILTER_BITS = 22
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
+def stride(edit_rate: float) -> int:
+    """How far apart windows begin."""
+    return max(1, int(WINDOW * edit_rate))
+
+
 def _fold_table() -> np.ndarray:
     """Folded code of each character of the basic plane; 32 for what is neither letter nor digit."""
     table = np.full(1 << 16, 32, np.uint32)
@@ -104,7 +111,7 @@ class Windows:
             if len(codes) < MIN_CHARS:
                 continue
             last = max(0, len(codes) - WINDOW)
-            for start in [*range(0, last, WINDOW // 2), last]:
+            for start in [*range(0, last, stride(edit_rate)), last]:
                 own = found[codes[start : start + WINDOW].tobytes()]
                 if number not in own:
                     own.append(number)
@@ -200,6 +207,7 @@ def leaks_in(texts: list[str | None], windows: Windows) -> list[list[tuple[int,
         text_of = np.searchsorted(begins, at, side="right") - 1
         diagonal = at - begins[text_of] - offset + WINDOW  # not negative
         step = windows.edits[of] + 1
+        candidates = []
         for shift in (0, 1):
             band = diagonal // step
             band = (band + shift) // 2  # pairs of neighbouring strips, overlapping by one strip
@@ -208,11 +216,16 @@ def leaks_in(texts: list[str | None], windows: Windows) -> list[list[tuple[int,
             ordered = rows[:, order]
             firsts = np.flatnonzero(np.append(True, (np.diff(ordered) != 0).any(axis=0)))
             counts = np.diff(np.append(firsts, len(order)))
-            for first in firsts[counts >= windows.needed[ordered[1, firsts]]]:
+            enough = counts >= windows.needed[ordered[1, firsts]]
+            for first, count in zip(firsts[enough], counts[enough].tolist()):
                 text, window, number = (int(x) for x in ordered[:, first])
                 strip = int(windows.edits[window]) + 1
                 low = (2 * number - shift) * strip - WINDOW
-                _verify(windows, window, folded[text], low, low + 2 * strip - 1, out[text])
+                missing = len(windows.codes[window]) - Q + 1 - count
+                fewest = max(0, -(-missing // Q))
+                candidates.append((text, fewest, low, window, low + 2 * strip - 1))
+        for text, fewest, low, window, high in sorted(candidates):
+            _verify(windows, window, folded[text], low, high, fewest, out[text])
     return [[(item, *where) for item, where in sorted(found.items())] for found in out]
 
 
@@ -225,12 +238,20 @@ def _find(text: np.ndarray, window: np.ndarray) -> int:
     return at // 4 if at >= 0 else -1
 
 
-def _verify(windows: Windows, window: int, folded, low: int, high: int, found: dict) -> None:
+def _verify(
+    windows: Windows, window: int, folded, low: int, high: int, fewest: int, found: dict
+) -> None:
+    """Align a window in a band; not where ``fewest`` edits at its first place could not be better."""
     codes, places = folded
     own, limit = windows.codes[window], int(windows.edits[window])
     # Diagonals of a path can leave the strips of its q-grams by the edits at its ends.
     low, high = low - limit, high + limit
     first = max(0, low)
+    if first >= len(places):
+        return
+    best = (fewest, int(places[first]))
+    if all(i in found and best > (found[i][2], found[i][0]) for i in windows.items[window]):
+        return
     part = codes[first : max(0, high + len(own))]
     exact = _find(part, own)
     if exact >= 0:
@@ -271,8 +292,9 @@ def find_leaks(
     """``df`` with the array ``leaks`` of (item_id, start, end, edits), in characters of the text."""
     items = benchmark.select(F.col(item).cast("bigint").alias("i"), F.col(item_text).alias("t"))
     items = items.where("i is not null and t is not null")
-    # Windows overlap by half, so an item has at most twice its characters.
-    chars = items.agg(F.sum(2 * F.char_length("t"))).first()[0] or 0
+    # Windows begin a stride apart, so a character of an item is in so many of them at most.
+    times = WINDOW // stride(edit_rate) + 2
+    chars = items.agg(F.sum(times * F.char_length("t"))).first()[0] or 0
     blocks = max(1, -(-chars // BLOCK_CHARS))
     kept = [c for c in df.columns if c != out]
     found = df.select(*kept).withColumn(out, F.array().cast(T.ArrayType(LEAK)))

@@ -243,6 +243,19 @@ def test_mask(spark):
     assert [r.m for r in rows] == ["mail [EMAIL] or [PHONE].", "none"]
 
 
+def test_mask_of_overlapping_spans(spark):
+    texts = ["Call +49 30 1234567 12john.doe@example.com now", "ab 4111 cd@e.fg, x"]
+    spans = [[("phone", 5, 22), ("email", 20, 42)], [("email", 8, 15), ("card", 3, 10), ("ip", 17, 18)]]
+    table = spark.createDataFrame(
+        list(zip(texts, spans)), "text string, spans array<struct<kind string, start int, end int>>"
+    )
+    rows = table.select(pii.mask(F.col("text"), F.col("spans")).alias("m")).collect()
+    assert [r.m for r in rows] == ["Call [PHONE] now", "ab [CARD], [IP]"]
+    found = pii.find(spark.createDataFrame([(texts[0],)], "text string"))
+    row = found.select(pii.mask(F.col("text"), F.col("spans")).alias("m")).first()
+    assert row.m == "Call [PHONE] now"
+
+
 # ---- benchmark passages ----------------------------------------------------------------------
 
 

@@ -316,7 +316,11 @@ def find(df: DataFrame, text: str = "text", keep_text: bool = True) -> DataFrame
 
 
 def mask(text: Column, spans: Column) -> Column:
-    """The text with every span replaced by its kind in brackets; of overlapping spans, the first."""
+    """The text with every span replaced by its kind in brackets.
+
+    Overlapping spans are replaced together, from the start of the first to the end of the last, by
+    the kind of the first.
+    """
     ordered = F.array_sort(
         F.transform(spans, lambda s: F.struct(s["start"], (-s["end"]).alias("back"), s["kind"]))
     )
@@ -324,8 +328,11 @@ def mask(text: Column, spans: Column) -> Column:
     def put(state: Column, s: Column) -> Column:
         gap = F.substr(text, state["at"] + 1, s["start"] - state["at"])
         sign = F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]"))
-        done = F.struct((-s["back"]).alias("at"), F.concat(state["out"], gap, sign).alias("out"))
-        return F.when(s["start"] < state["at"], state).otherwise(done)
+        end = F.greatest(state["at"], -s["back"])
+        out = F.when(s["start"] < state["at"], state["out"]).otherwise(
+            F.concat(state["out"], gap, sign)
+        )
+        return F.struct(end.alias("at"), out.alias("out"))
 
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
     rest = F.char_length(text)

@@ -6,7 +6,19 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillroll.llm import ann, bpe, decontaminate, html, language, lm, ngram_join, pii, quality, sharding
+from tillroll.llm import (
+    ann,
+    bpe,
+    decontaminate,
+    html,
+    language,
+    lm,
+    merkle,
+    ngram_join,
+    pii,
+    quality,
+    sharding,
+)
 from tillroll.llm.common import held_out, stored, table, whole_text
 
 SHARDS = 24
@@ -141,6 +153,33 @@ def op10_gated_lm(spark: SparkSession, sf: str) -> DataFrame:
     return lm.score(documents, counts, lexicon, weights)
 
 
+def op13_merkle_manifest(spark: SparkSession, sf: str) -> DataFrame:
+    """Leaf, proof and root of every document, and the root that its tampered version has."""
+    documents = table(spark, sf, "documents")
+    longer = (F.col("n_chars").cast("decimal(20,0)") + 1).cast("string")
+    tampered = held_out("doc_id", 7, 0)
+    rows = documents.select(
+        "doc_id",
+        "lang",
+        merkle.digest_of(["doc_id", "source", "lang", "n_chars", "text"]).alias("leaf"),
+        F.when(tampered, merkle.digest_of(["doc_id", "source", "lang", longer, "text"])).alias(
+            "changed"
+        ),
+    )
+    manifest = merkle.build(rows, "doc_id", "lang", "leaf", "changed")
+    siblings = F.array_join(F.transform("proof", lambda step: step["digest"]), "")
+    folded = F.element_at("copies", -1)["digest"]
+    return merkle.versions(manifest).select(
+        F.col("key").alias("doc_id"),
+        "leaf",
+        "subroot",
+        F.lit(manifest.root).cast("string").alias("root"),
+        F.sha2(siblings.cast("binary"), 256).alias("proof_sha256"),
+        folded.alias("folded_root"),
+        (folded == manifest.root).alias("verified"),
+    )
+
+
 QUERIES = {
     "op1_decontamination": op1_decontamination,
     "op2_html_text": op2_html_text,
@@ -152,8 +191,16 @@ QUERIES = {
     "op8_sharding": op8_sharding,
     "op9_quality": op9_quality,
     "op10_gated_lm": op10_gated_lm,
+    "op13_merkle_manifest": op13_merkle_manifest,
 }
 
+#: The 256 values of the reflected CRC-32, from its polynomial.
+CRC32 = r"""
+WITH RECURSIVE crc_table AS (
+  SELECT list_transform(range(256), lambda n: list_reduce(list_prepend(n, range(8)),
+    lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS entries
+)"""
+
 #: DuckDB SQL; the other operators hold what SQL cannot express.
 ORACLES = {
     "op7_ngram_join": r"""
@@ -178,4 +225,69 @@ WITH RECURSIVE words AS (
 ), smallest AS (SELECT a, min(b) AS b FROM reach GROUP BY a)
 SELECT d.doc_id, coalesce(n, 0) AS n_shingles, coalesce(b, d.doc_id) AS component_id
 FROM documents d LEFT JOIN sizes s ON s.doc_id = d.doc_id LEFT JOIN smallest ON a = d.doc_id""",
+    "op13_merkle_manifest": CRC32 + r"""
+, changes AS (
+  SELECT *, row_number() OVER (ORDER BY lang NULLS FIRST, doc_id) AS pos,
+    coalesce(list_reduce(list_prepend(4294967295::BIGINT, list_transform(
+      string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT)),
+      lambda h, b: xor(h >> 8, entries[(xor(h, b) & 255) + 1])), -1) AS h
+  FROM documents, crc_table
+), fields AS (
+  SELECT *, xor(h, 4294967295) % 7 = 0 AND doc_id IS NOT NULL AS tampered,
+    concat_ws('', coalesce(strlen(doc_id::VARCHAR) || ':' || doc_id, '-'),
+      coalesce(strlen(source) || ':' || source, '-'),
+      coalesce(strlen(lang) || ':' || lang, '-')) AS head,
+    coalesce(strlen(text) || ':' || text, '-') AS tail
+  FROM changes
+), leaves AS (
+  SELECT pos, doc_id, lang,
+    sha256(head || coalesce(strlen(n_chars::VARCHAR) || ':' || n_chars, '-') || tail) AS leaf,
+    CASE WHEN tampered THEN sha256(
+      head || coalesce(strlen((n_chars + 1)::VARCHAR) || ':' || (n_chars + 1), '-') || tail) END AS changed
+  FROM fields
+), numbered AS (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY pos) - 1 AS i FROM leaves
+), nodes AS (
+  SELECT lang, 0 AS lvl, i, leaf AS d, count(*) OVER (PARTITION BY lang) AS n FROM numbered
+  UNION ALL
+  SELECT lang, lvl + 1, i // 2, sha256(string_agg(d, '' ORDER BY i)), (any_value(n) + 1) // 2
+  FROM nodes WHERE n > 1 GROUP BY lang, lvl, i // 2
+), subroots AS (
+  SELECT lang, d, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS i,
+    count(*) OVER () AS n, max(lvl) OVER () AS deep FROM nodes WHERE n = 1
+), upper AS (
+  SELECT 0 AS lvl, i, d, n FROM subroots
+  UNION ALL
+  SELECT lvl + 1, i // 2, sha256(string_agg(d, '' ORDER BY i)), (any_value(n) + 1) // 2
+  FROM upper WHERE n > 1 GROUP BY lvl, i // 2
+), climb AS (
+  SELECT pos, lang, 0 AS lvl, i, coalesce(changed, leaf) AS folded, '' AS proof FROM numbered
+  UNION ALL
+  SELECT pos, c.lang, c.lvl + 1, c.i // 2,
+    CASE WHEN s.d IS NULL THEN sha256(folded)
+      WHEN s.i > c.i THEN sha256(folded || s.d) ELSE sha256(s.d || folded) END,
+    proof || coalesce(s.d, '')
+  FROM climb c
+  JOIN nodes o ON o.lang IS NOT DISTINCT FROM c.lang AND o.lvl = c.lvl AND o.i = c.i AND o.n > 1
+  LEFT JOIN nodes s ON s.lang IS NOT DISTINCT FROM c.lang AND s.lvl = c.lvl AND s.i = xor(c.i, 1)
+), inside AS (
+  SELECT c.pos, b.d AS subroot, b.i, folded, proof FROM climb c
+  JOIN nodes o ON o.lang IS NOT DISTINCT FROM c.lang AND o.lvl = c.lvl AND o.n = 1
+  JOIN subroots b ON b.lang IS NOT DISTINCT FROM c.lang
+), outside AS (
+  SELECT pos, 0 AS lvl, i, folded, proof FROM inside
+  UNION ALL
+  SELECT pos, c.lvl + 1, c.i // 2,
+    CASE WHEN s.d IS NULL THEN sha256(folded)
+      WHEN s.i > c.i THEN sha256(folded || s.d) ELSE sha256(s.d || folded) END,
+    proof || coalesce(s.d, '')
+  FROM outside c
+  JOIN upper o ON o.lvl = c.lvl AND o.i = c.i AND o.n > 1
+  LEFT JOIN upper s ON s.lvl = c.lvl AND s.i = xor(c.i, 1)
+)
+SELECT l.doc_id, l.leaf, f.subroot, r.d AS root, sha256(o.proof) AS proof_sha256,
+  o.folded AS folded_root, o.folded = r.d AS verified
+FROM numbered l JOIN inside f USING (pos)
+JOIN outside o ON o.pos = l.pos AND o.lvl = (SELECT max(lvl) FROM upper)
+CROSS JOIN (SELECT d FROM upper WHERE n = 1) r""",
 }

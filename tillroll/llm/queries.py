@@ -18,6 +18,7 @@ from tillroll.llm import (
     pii,
     quality,
     sharding,
+    spelling,
 )
 from tillroll.llm.common import held_out, stored, table, whole_text
 
@@ -153,6 +154,12 @@ def op10_gated_lm(spark: SparkSession, sf: str) -> DataFrame:
     return lm.score(documents, counts, lexicon, weights)
 
 
+def op12_spelling_variants(spark: SparkSession, sf: str) -> DataFrame:
+    """Words of all documents with their commonest neighbour by one edit, and the ends of chains."""
+    documents = table(spark, sf, "documents").select("doc_id", "text")
+    return spelling.group(spelling.count_words(documents))
+
+
 def op13_merkle_manifest(spark: SparkSession, sf: str) -> DataFrame:
     """Leaf, proof and root of every document, and the root that its tampered version has."""
     documents = table(spark, sf, "documents")
@@ -191,6 +198,7 @@ QUERIES = {
     "op8_sharding": op8_sharding,
     "op9_quality": op9_quality,
     "op10_gated_lm": op10_gated_lm,
+    "op12_spelling_variants": op12_spelling_variants,
     "op13_merkle_manifest": op13_merkle_manifest,
 }
 
@@ -225,6 +233,48 @@ WITH RECURSIVE words AS (
 ), smallest AS (SELECT a, min(b) AS b FROM reach GROUP BY a)
 SELECT d.doc_id, coalesce(n, 0) AS n_shingles, coalesce(b, d.doc_id) AS component_id
 FROM documents d LEFT JOIN sizes s ON s.doc_id = d.doc_id LEFT JOIN smallest ON a = d.doc_id""",
+    "op12_spelling_variants": CRC32
+    + r"""
+, runs AS (
+  SELECT doc_id, run, count(*) AS c FROM (
+    SELECT doc_id, unnest(regexp_extract_all(
+      translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-zÀ-ÿ]+')) AS run
+    FROM documents)
+  WHERE length(run) >= 6 GROUP BY ALL
+), hashed AS (
+  SELECT run, c, xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(
+      string_split(doc_id || ':' || run, ''),
+      lambda x: CASE WHEN unicode(x) < 128 THEN [unicode(x)::BIGINT]
+        ELSE [195::BIGINT, unicode(x)::BIGINT - 64] END))),
+      lambda h, b: xor(h >> 8, entries[(xor(h, b) & 255) + 1]))) AS h
+  FROM runs, crc_table
+), words AS (
+  SELECT CASE WHEN h % 199 = 0
+    THEN left(run, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, c
+  FROM hashed
+), vocabulary AS (
+  SELECT word, sum(c)::BIGINT AS n FROM words WHERE length(word) >= 6 GROUP BY word HAVING sum(c) >= 5
+), without AS (
+  SELECT word, n, i, left(word, i) || substr(word, i + 2) AS rest
+  FROM (SELECT word, n, unnest(range(length(word))) AS i FROM vocabulary)
+), near AS (
+  SELECT a.word, a.n, b.word AS other, b.n AS m FROM without a JOIN without b USING (i, rest)
+  WHERE a.word <> b.word
+  UNION SELECT v.word, v.n, w.word, w.n FROM vocabulary v JOIN without w ON v.word = w.rest
+  UNION SELECT w.word, w.n, v.word, v.n FROM vocabulary v JOIN without w ON v.word = w.rest
+), best AS (
+  SELECT word, n, count(*) OVER (PARTITION BY word) AS n_near, other, m,
+    row_number() OVER (PARTITION BY word ORDER BY m DESC, other) AS place FROM near
+), forms AS (
+  SELECT v.word, v.n, coalesce(n_near, 0) AS n_near, CASE WHEN m >= 5 * v.n THEN other END AS form,
+    CASE WHEN m >= 5 * v.n THEN m END AS form_n
+  FROM vocabulary v LEFT JOIN best b ON b.word = v.word AND place = 1
+), chain AS (
+  SELECT word, word AS at FROM forms
+  UNION ALL SELECT c.word, f.form FROM chain c JOIN forms f ON f.word = c.at WHERE f.form IS NOT NULL
+)
+SELECT f.word, f.form, c.at AS root, f.n, f.n_near, f.form_n
+FROM forms f JOIN chain c ON c.word = f.word JOIN forms l ON l.word = c.at AND l.form IS NULL""",
     "op13_merkle_manifest": CRC32 + r"""
 , changes AS (
   SELECT *, row_number() OVER (ORDER BY lang NULLS FIRST, doc_id) AS pos,

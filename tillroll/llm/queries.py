@@ -19,6 +19,7 @@ from tillroll.llm import (
     quality,
     sharding,
     spelling,
+    topk,
 )
 from tillroll.llm.common import held_out, stored, table, whole_text
 
@@ -154,6 +155,12 @@ def op10_gated_lm(spark: SparkSession, sf: str) -> DataFrame:
     return lm.score(documents, counts, lexicon, weights)
 
 
+def op11_exact_topk(spark: SparkSession, sf: str) -> DataFrame:
+    """The twenty largest inner products of every twentieth vector."""
+    rows = table(spark, sf, "embeddings")
+    return topk.search(rows, rows.where(F.col("vec_id") % 20 == 0), 20)
+
+
 def op12_spelling_variants(spark: SparkSession, sf: str) -> DataFrame:
     """Words of all documents with their commonest neighbour by one edit, and the ends of chains."""
     documents = table(spark, sf, "documents").select("doc_id", "text")
@@ -198,6 +205,7 @@ QUERIES = {
     "op8_sharding": op8_sharding,
     "op9_quality": op9_quality,
     "op10_gated_lm": op10_gated_lm,
+    "op11_exact_topk": op11_exact_topk,
     "op12_spelling_variants": op12_spelling_variants,
     "op13_merkle_manifest": op13_merkle_manifest,
 }
@@ -233,6 +241,18 @@ WITH RECURSIVE words AS (
 ), smallest AS (SELECT a, min(b) AS b FROM reach GROUP BY a)
 SELECT d.doc_id, coalesce(n, 0) AS n_shingles, coalesce(b, d.doc_id) AS component_id
 FROM documents d LEFT JOIN sizes s ON s.doc_id = d.doc_id LEFT JOIN smallest ON a = d.doc_id""",
+    "op11_exact_topk": """
+WITH vectors AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), scores AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.v, c.v)::BIGINT AS score
+  FROM vectors q JOIN vectors c ON q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS place FROM scores
+)
+SELECT query_id, place::INTEGER AS rank, vec_id, score FROM ranked WHERE place <= 20""",
     "op12_spelling_variants": CRC32
     + r"""
 , runs AS (

@@ -223,9 +223,11 @@ grid{step} AS (
 
 ZOOMS = [_zoom(step) for step in range(1, 9)]
 
+# x over its geometric mean: the plain powers of a narrow column with a large parameter have no
+# digits left, and its z-scores would all be 0.
 SCALED = """
 transformed AS (
-  SELECT c.feature, (pow(value + 1, lam) - 1) / lam AS y
+  SELECT c.feature, (exp(lam * u) - 1) / lam AS y
   FROM centred c JOIN zoom8 z ON c.feature = z.feature
 ), moments AS (
   SELECT feature, avg(y) AS mean, var_pop(y) AS var, CAST(count(*) AS DOUBLE) AS n

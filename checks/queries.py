@@ -579,7 +579,7 @@ def shap_summary(spark, sf):
 def cluster_sizes_total(spark, sf):
     """Customers of all clusters together, for every k of the scan."""
     sizes = profiles.cluster_sizes(kmeans_labels(spark, sf))
-    return sizes.groupBy("k").agg(F.sum("n").alias("customers"))
+    return sizes.groupBy("k").agg(F.sum("customers").alias("customers"))
 
 
 def kmeans_check(spark, sf):

@@ -6,8 +6,9 @@ import pytest
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
+from checks import queries
 from tillroll.operators import clustering, profiles, reduction, shapley, silhouette, surrogate
-from tillroll.schema import RADAR_AXES_6
+from tillroll.schema import FEATURES, RADAR_AXES_6
 
 COLUMNS = [f"x{i}" for i in range(16)]
 
@@ -62,6 +63,19 @@ def test_inertia_falls_and_best_k_is_planted(three, spark):
         clustering.k_selection(df, fits, "cosine")
 
 
+def test_inertia_is_that_of_the_returned_centers(spark):
+    """Also where the fit ended with a move, on the real features at sf0.01."""
+    scaled = queries.scaled_table(spark, "/root/testdata/sf0.01")
+    fits = clustering.fit_kmeans(scaled, [3, 6], n_init=2, tol=1e-2, order_by="Sum_Quantity")
+    points = np.array(scaled.select(*FEATURES).collect())
+    for own in fits.values():
+        for cost, model in own.starts:
+            gaps = [((points - c) ** 2).sum(axis=1) for c in model.clusterCenters()]
+            assert cost == pytest.approx(np.min(gaps, axis=0).sum(), rel=1e-12)
+        assert own.inertia == min(cost for cost, _ in own.starts)
+        assert any(abs(m.summary.trainingCost / cost - 1) > 1e-9 for cost, m in own.starts)
+
+
 def test_best_k_prefers_the_smaller_on_ties(spark):
     table = spark.createDataFrame([(4, 0.5), (3, 0.5), (2, 0.1)], "k int, silhouette double")
     assert clustering.best_k(table).first().k == 3

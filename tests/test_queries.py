@@ -25,6 +25,13 @@ def test_query_equals_sql(spark, duck, name):
     assert compare.difference(spark, duck, SF, name) is None
 
 
+@pytest.mark.parametrize("name", ["boxcox_lambda", "pca_check", "scaled_describe"])
+def test_model_query_equals_sql_at_the_next_scale(spark, name):
+    """Narrow columns, which only this scale has."""
+    sf = "/root/testdata/sf0.01"
+    assert compare.difference(spark, compare.connect(sf), sf, name) is None
+
+
 def test_every_oracle_has_a_query():
     assert set(ORACLES) <= set(QUERIES)
 

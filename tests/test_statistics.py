@@ -1,3 +1,4 @@
+import decimal
 import math
 
 import numpy as np
@@ -152,6 +153,28 @@ def test_box_cox_of_a_nearly_constant_column(spark):
     assert math.isfinite(lam) and lam < -5
 
 
+def test_fitted_transform_keeps_a_narrow_column(spark):
+    """z-scores in double against 400 digits, where x**lambda is the same double in every row."""
+    values = [2.0 + 0.003 * (i % 61) for i in range(400)] + [1.0] * 2
+    table = spark.createDataFrame([(x,) for x in values], "x double")
+    fit = transforms.fit_box_cox(table, ["x"])
+    got = transforms.standardize(transforms.apply_box_cox(table, fit), ["x"])
+    got = [r.x for r in got.collect()]
+    far = transforms.BoxCoxFit({"x": -340.0}, fit.mean_log)
+    narrow = transforms.standardize(transforms.apply_box_cox(table, far), ["x"])
+
+    def exact(lam):
+        with decimal.localcontext(prec=400):
+            lam = decimal.Decimal(lam)
+            y = [(decimal.Decimal(x + 1) ** lam - 1) / lam for x in values]
+            mean = sum(y) / len(y)
+            return [float((v - mean) / (sum((w - mean) ** 2 for w in y) / len(y)).sqrt()) for v in y]
+
+    assert got == pytest.approx(exact(fit["x"]), abs=1e-9)
+    assert [r.x for r in narrow.collect()] == pytest.approx(exact(-340.0), abs=1e-9)
+    assert np.std(exact(-340.0)) == pytest.approx(1)
+
+
 def test_box_cox_rejects_non_positive_data(spark):
     with pytest.raises(ValueError, match="positive"):
         transforms.fit_box_cox(spark.createDataFrame([(-1.0,), (2.0,)], "x double"), ["x"])

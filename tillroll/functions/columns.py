@@ -68,8 +68,12 @@ def elapsed_days(later: Column, earlier: Column) -> Column:
 
 def box_cox(x: Column, lam: float | Column) -> Column:
     """(x**lam - 1) / lam, and ln x at lam = 0, written so that small lam keeps its digits."""
+    return box_cox_of_log(F.log(x), lam)
+
+
+def box_cox_of_log(log_x: Column, lam: float | Column) -> Column:
+    """``box_cox`` of a value given by its logarithm."""
     lam = lam if isinstance(lam, Column) else F.lit(float(lam))
-    log_x = F.log(x)
     return F.when(lam == 0, log_x).otherwise(F.expm1(lam * log_x) / F.nullif(lam, F.lit(0.0)))
 
 

@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tillroll.functions.columns import box_cox
+from tillroll.functions.columns import box_cox, box_cox_of_log
 from tillroll.operators.quantiles import to_long
 from tillroll.schema import FEATURES
 
@@ -73,9 +73,17 @@ class _Search:
         self.lam = guess
 
 
+class BoxCoxFit(dict[str, float | None]):
+    """The parameter of each column; ``mean_log`` holds the mean of ln x for each of them."""
+
+    def __init__(self, lambdas: dict[str, float | None], mean_log: dict[str, float]):
+        super().__init__(lambdas)
+        self.mean_log = mean_log
+
+
 def fit_box_cox(
     features: DataFrame, columns: list[str] = FEATURES, tol: float = 1e-10, max_rounds: int = 60
-) -> dict[str, float | None]:
+) -> BoxCoxFit:
     """Maximum-likelihood Box-Cox parameter of ``x + 1`` for each column.
 
     With x divided by its geometric mean, the profile likelihood is -n/2 log var(z), so its
@@ -133,19 +141,28 @@ def fit_box_cox(
         open_ = sorted(f for f, s in found.items() if not s.done)
         if open_:
             raise RuntimeError(f"Box-Cox search did not settle for {', '.join(open_)}")
-    return {c: found[c].lam if c in found else None for c in columns}
+    return BoxCoxFit({c: found[c].lam if c in found else None for c in columns}, mean_log)
 
 
 def apply_box_cox(
     features: DataFrame, lambdas: dict[str, float | None], shift: float = SHIFT
 ) -> DataFrame:
-    """Transform each named column of ``x + shift``; a column without parameter is unchanged."""
+    """Transform each named column of ``x + shift``; a column without parameter is unchanged.
+
+    Fitted parameters are applied to x over its geometric mean. That changes a column by a factor
+    and a constant only, so z-scores are the same, but a large parameter of a narrow column, for
+    which x**lambda is 0 or infinite in every row, keeps the column's digits.
+    """
+    mean_log = lambdas.mean_log if isinstance(lambdas, BoxCoxFit) else {}
+
+    def moved(name: str, lam: float) -> Column:
+        x = F.col(name) + shift
+        if name not in mean_log:
+            return box_cox(x, lam)
+        return box_cox_of_log(F.log(x) - F.lit(mean_log[name]), lam)
+
     return features.withColumns(
-        {
-            name: box_cox(F.col(name) + shift, lam)
-            for name, lam in lambdas.items()
-            if lam is not None
-        }
+        {name: moved(name, lam) for name, lam in lambdas.items() if lam is not None}
     )
 
 

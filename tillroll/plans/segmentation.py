@@ -105,14 +105,17 @@ def segment(
     metric: str = "squaredEuclidean",
     trees: int = surrogate.TREES,
     max_depth: int = 10,
+    partitions: int = clustering.PARTITIONS,
     **kmeans,
 ) -> Segments:
     """Reduce, choose k, cluster, profile and explain; the labels are stored as CSV.
 
     With ``chain_labels`` each k of ``k_values`` also sees the labels of the k before it. The
     silhouette is Spark's linear one; ``metric="euclidean"`` asks for plain distances, whose work
-    grows with the square of the customers.
+    grows with the square of the customers. ``partitions`` deals the customers out for the fits:
+    about one per 500,000 of them, and at least one per core.
     """
+    kmeans["partitions"] = partitions
     spark = scaled.sparkSession
     pca = reduction.fit_pca(scaled)
     scan = clustering.fit_kmeans(scaled, k_scan, original, **kmeans)

@@ -463,6 +463,22 @@ def test_every_stage_decides_on_its_own_input(spark, documents):
     assert {r.doc_id for r in corpus_pipeline.run(spark, SF).select("doc_id").collect()} == clean
 
 
+def test_near_copies_of_repeated_and_missing_ids(spark):
+    """The smallest id of each group stays, and rows of one id with different texts are two documents."""
+    words = [f"w{i}" for i in range(200)]
+    one, near, two, three = (" ".join(w) for w in (words[:100], words[:99], words[100:150], words[150:]))
+    rows = [
+        (5, one, "a"), (3, near, "b"), (5, two, "c"), (5, two, "c"), (None, near, "d"),
+        (None, three, "e"), (None, three, "f"), (9, three, "g"), (7, "", "h"), (7, "", "h"),
+        (None, None, "i"), (1, "alone", "j"),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _row string")
+    got = corpus_pipeline.distinct_documents(spark, docs, SF)
+    assert got.columns == docs.columns
+    wanted = [rows[i] for i in (1, 2, 7, 8, 9, 10, 11)]
+    assert sorted(map(tuple, got.collect()), key=repr) == sorted(wanted, key=repr)
+
+
 def test_pipeline_on_odd_documents(spark, tmp_path):
     for name in ("labels", "benchmark"):
         spark.read.parquet(f"{SF}/{name}.parquet").write.parquet(f"{tmp_path}/{name}.parquet")
@@ -472,6 +488,8 @@ def test_pipeline_on_odd_documents(spark, tmp_path):
     for _, stage in corpus_pipeline.STAGES[1:]:
         docs = stored(stage(spark, docs, str(tmp_path)), "odd")
     assert docs.count() == 3 and {r.n_tokens for r in docs.collect()} == {0}
+    rated = corpus_pipeline.good_documents(spark, spark.createDataFrame(rows, schema), str(tmp_path))
+    assert rated.columns == ["doc_id", "text", "lang", "source", "n_chars"]
     docs = spark.createDataFrame([], schema)
     for _, stage in corpus_pipeline.STAGES:
         docs = stored(stage(spark, docs, str(tmp_path)), "none")

@@ -215,54 +215,131 @@ def test_quality_query_separates_the_labels(spark):
     assert rows["expected_grade"].between(0, 2).all()
 
 
-def test_ordinal_gradient(spark):
-    rows = [(int(i % 3), f"w{i % 3} common") for i in range(60)]
-    model = quality.fit(spark.createDataFrame(rows, "grade int, text string"), 3)
+def graded(spark, rows):
+    """Documents and ratings of (id, grade, text)."""
+    table = spark.createDataFrame(rows, "doc_id long, grade int, text string")
+    return table.select("doc_id", "text"), table.select("doc_id", "grade")
+
+
+def test_ordinal_grades(spark):
+    rows = [(i, int(i % 3), f"w{i % 3} common {i}") for i in range(60)]
+    model = quality.fit(*graded(spark, rows), 3)
     assert (np.diff(model.thresholds) > 0).all()
     texts = spark.createDataFrame([("w0 common",), ("w1 common",), ("w2 common",)], "text string")
     grades = [r.expected_grade for r in quality.score(texts, model, tail=2).collect()]
     assert grades[0] < 0.5 < grades[1] < 1.5 < grades[2]
 
 
+def plain_fit(lists, grade, grades, ridge=1.0):
+    """Weights of distinct features and thresholds by plain gradient steps on whole lists."""
+    features = sorted({f for own in lists for f in own if sum(f in x for x in lists) >= 5})
+    x = np.array([[f in own for f in features] for own in lists], float)
+    w, cuts = np.zeros(len(features)), np.linspace(-1, 1, grades - 1)
+    for _ in range(30_000):
+        below = 1 / (1 + np.exp(-(cuts[None, :] - (x @ w)[:, None])))
+        edges = np.hstack([np.zeros((len(x), 1)), below, np.ones((len(x), 1))])
+        slopes = edges * (1 - edges)
+        at = np.arange(len(x))
+        p = edges[at, grade + 1] - edges[at, grade]
+        d = (slopes[at, grade + 1] - slopes[at, grade]) / p
+        by_cut = [
+            -(slopes[grade == k, k + 1] / p[grade == k]).sum()
+            + (slopes[grade == k + 1, k + 1] / p[grade == k + 1]).sum()
+            for k in range(grades - 1)
+        ]
+        w -= 0.001 * (x.T @ d + ridge * w)
+        cuts -= 0.001 * np.array(by_cut)
+    return dict(zip(features, w)), cuts
+
+
+def test_fit_equals_plain_gradient_descent(spark):
+    rng = np.random.default_rng(7)
+    rows = []
+    for i in range(150):
+        words = rng.choice(["a", "b", "c", "d", "e"], 4).tolist() + [f"only{i}"]
+        grade = int(np.clip(("a" in words) + ("b" in words) + rng.integers(-1, 2), 0, 2))
+        rows.append((i, grade, " ".join(words)))
+    model = quality.fit(*graded(spark, rows), 3, rounds=200)
+    hasher = quality.FeatureHasher()
+    lists = [set(hasher(t).tolist()) for _, _, t in rows]
+    weights, cuts = plain_fit(lists, np.array([g for _, g, _ in rows]), 3)
+    found = dict(zip(model.places.tolist(), model.weights.tolist()))
+    assert set(found) == set(weights)
+    scores = [sum(found.get(f, 0) for f in own) for own in lists]
+    wanted = [sum(weights.get(f, 0) for f in own) for own in lists]
+    shift = np.subtract(model.thresholds, cuts).mean()
+    assert np.subtract(scores, wanted) == pytest.approx(shift, abs=0.05)
+    assert np.subtract(model.thresholds, cuts) == pytest.approx(shift, abs=0.05)
+
+
+def test_fitted_rows_are_bounded_whatever_the_copies(spark):
+    rows = [(i, i % 2, f"text {i}") for i in range(300)]
+    rows += [(1000 + i, 1, "hot copy") for i in range(200)] + [(2000 + i, 0, None) for i in range(50)]
+    rows += [(5, 0, "other text of the id"), (3000, 0, "hot copy"), (3001, None, "x"), (None, 1, "y")]
+    documents, ratings = graded(spark, rows)
+
+    def chosen(n):
+        found = quality.fitted_rows(
+            documents.withColumnRenamed("doc_id", "key"), ratings.withColumnRenamed("doc_id", "key"), n
+        )
+        return sorted(map(tuple, found.collect()))
+
+    whole = chosen(10_000)
+    lowest = {i: min(g for j, g, _ in rows if j == i and g is not None) for i, g, _ in rows if i and g is not None}
+    lowest[0] = 0
+    wanted = {(lowest[i], t or "") for i, g, t in rows if i is not None and i in lowest}
+    assert whole == sorted(wanted)
+    some = chosen(100)
+    assert len(some) == 100 and set(some) <= set(whole) and some == chosen(100)
+
+
+def test_shape_of_a_long_word_is_that_of_the_whole_word():
+    hasher = quality.FeatureHasher()
+    assert set(hasher("a1" * 40)) != set(hasher("a1" * 40 + "X")) - {hasher._word(b"a1" * 40 + b"X")[0]}
+    assert hasher._word(b"-." * 40 + b"a")[1] != hasher._word(b"-." * 40 + b"1")[1]
+
+
 def test_loss_slope_matches_differences():
     import pyarrow as pa
 
     rng = np.random.default_rng(1)
-    places = np.array([3, 10, 77])
-    lists = [[3, 10], [77], [10, 77], [3], []]
+    lists = [[0, 1], [2], [1, 2], [0], []]
     batch = pa.RecordBatch.from_arrays(
         [pa.array([0, 1, 2, 1, 2], pa.int32()), pa.array(lists, pa.list_(pa.int32()))],
         names=["grade", "at"],
     )
 
+    class Shared:
+        def __init__(self, *value):
+            self.value = value
+
     def loss(weights, cuts):
-        model = quality.QualityModel(places, weights, cuts)
-        out = next(iter(quality._loss_rows(model)([batch])))
-        return dict(zip(out.column(0).to_pylist(), out.column(1).to_pylist()))
+        out = next(iter(quality._loss_rows(Shared(weights, cuts))([batch])))
+        return np.concatenate([np.frombuffer(b) for b in out.column(1).to_pylist()])
 
     weights, cuts = rng.normal(size=3), np.array([-0.4, 0.9])
-    slope, top = loss(weights, cuts), quality.FEATURES + 2
-    for i, place in enumerate(places):
+    slope = loss(weights, cuts)
+    for i in range(3):
         step = np.eye(3)[i] * 1e-5
-        rise = loss(weights + step, cuts)[top] - loss(weights - step, cuts)[top]
-        assert slope[place] == pytest.approx(rise / 2e-5, abs=1e-4)
+        rise = loss(weights + step, cuts)[-1] - loss(weights - step, cuts)[-1]
+        assert slope[i] == pytest.approx(rise / 2e-5, abs=1e-4)
     for k in range(2):
         step = np.eye(2)[k] * 1e-5
-        rise = loss(weights, cuts + step)[top] - loss(weights, cuts - step)[top]
-        assert slope[quality.FEATURES + k] == pytest.approx(rise / 2e-5, abs=1e-4)
+        rise = loss(weights, cuts + step)[-1] - loss(weights, cuts - step)[-1]
+        assert slope[3 + k] == pytest.approx(rise / 2e-5, abs=1e-4)
 
 
 def test_quality_of_odd_rows(spark, odd):
-    graded = odd.withColumn("grade", F.when(F.col("doc_id") == 1, 1).when(F.col("doc_id") == 6, 0))
-    model = quality.fit(graded, 2)
+    rated = odd.withColumn("grade", F.when(F.col("doc_id") == 1, 1).when(F.col("doc_id") == 6, 0))
+    model = quality.fit(odd, rated, 2)
     clash = odd.withColumn("expected_grade", F.lit("x"))
     assert quality.score(clash, model).count() == len(ODD)
-    flat = quality.fit(graded.where("grade is null"), 3)
+    flat = quality.fit(odd, rated.where("grade is null"), 3)
     rows = quality.score(odd, flat).collect()
     assert len({r.expected_grade for r in rows}) == 1
     assert quality.score(odd.limit(0), model).count() == 0
     with pytest.raises(ValueError):
-        quality.fit(graded.withColumn("grade", F.lit(5)), 2)
+        quality.fit(odd, rated.withColumn("grade", F.lit(5)), 2)
 
 
 def test_most_frequent_rows(spark):

@@ -5,12 +5,17 @@ from weights shared by all grades and ordered thresholds. The score is a sum of
 text features: the distinct words, and binned shares of word shapes, of repeated neighbours and of
 distinct words. The expected grade and the probability of a high grade follow from it.
 
-The weights are fitted by L-BFGS on the rated rows; with ``max_rows`` on the rows with the smallest
-share of the hash range that gives about so many. Every step is one Spark job over the stored
-features of those rows, whose gradient is summed by Spark.
-
-Edge cases: a null or empty text has only the features of an empty text; rows without a rating are
-not fitted; without any rated row all weights are 0 and all grades equally likely.
+Rated texts are folded first: equal texts with one grade are one fitted row, however many copies
+there are, and only hashes and ids travel for that. At most ``max_rows`` of them are fitted, those
+with the smallest hashes; their texts alone are read again and shuffled. The weights are fitted by
+L-BFGS. Every step is one Spark job over the stored features of the fitted rows: the weights go
+out as a broadcast that is destroyed after the step, and the gradient comes back in blocks that
+Spark sums.
+
+Edge cases: a null text is an empty one and has its features; documents without a rating and
+ratings without a document are not fitted; of rows with one id and different texts all get its
+rating; of an id's ratings the lowest counts; without any rated row all weights are 0 and all
+grades equally likely.
 """
 
 from __future__ import annotations
@@ -24,7 +29,8 @@ from operator import eq
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark import Broadcast
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -35,6 +41,8 @@ FEATURES = 1 << FEATURE_BITS
 #: Features of fewer fitted rows have no weight.
 MIN_ROWS = 5
 MEMO_ENTRIES = 300_000
+#: Weights of a gradient that travel together.
+BLOCK = 1 << 15
 
 _SHARES = (0.0, 0.01, 0.03, 0.1, 0.2, 0.4, 0.7)
 _MARKS = b".,;:!?\"'()[]"
@@ -73,7 +81,7 @@ class FeatureHasher:
         found = self.words.get(word)
         if found is None:
             core = word.lower().strip(_MARKS)
-            shape = re.sub(rb"[a-z\x80-\xff]+", b"a", word[:64])
+            shape = re.sub(rb"[a-z\x80-\xff]+", b"a", word)
             shape = re.sub(rb"[A-Z]+", b"A", shape)
             shape = re.sub(rb"[0-9]+", b"0", shape)
             found = self.words[word] = (self._bucket(b"w" + core) if core else -1, shape)
@@ -102,8 +110,8 @@ class FeatureHasher:
         return np.fromiter(buckets, np.int64, len(buckets))
 
 
-def _features(df: DataFrame, text: str, grade: Column) -> DataFrame:
-    """Grade and feature list of each row."""
+def _features(rows: DataFrame) -> DataFrame:
+    """Grade and feature list of each row (grade, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = FeatureHasher()
@@ -113,19 +121,72 @@ def _features(df: DataFrame, text: str, grade: Column) -> DataFrame:
                 [batch.column(0), pa.array(lists, pa.list_(pa.int32()))], names=["grade", "at"]
             )
 
-    rows = df.select(grade.cast("int").alias("grade"), F.col(text).alias("text"))
+    return rows.select("grade", "text").mapInArrow(run, "grade int, at array<int>")
+
+
+def fitted_rows(documents: DataFrame, ratings: DataFrame, max_rows: int) -> DataFrame:
+    """grade, text: distinct rated texts, the ``max_rows`` with the smallest hashes.
+
+    ``documents`` has (key, text), ``ratings`` (key, grade). Texts are compared by two 64-bit hashes.
+    """
+    text = F.coalesce("text", F.lit(""))
+    hashes = [F.xxhash64(text).alias("h"), F.xxhash64(text, F.lit(1)).alias("h2")]
+    rated = ratings.where("key is not null and grade is not null")
+    rated = rated.groupBy("key").agg(F.min("grade").cast("int").alias("grade"))
+    folded = (
+        documents.select("key", *hashes)
+        .join(rated, "key")
+        .groupBy("h", "h2", "grade")
+        .agg(F.min("key").alias("key"))
+    )
+    # A small table by now: it is counted, thinned to a little over the bound, then cut exactly.
+    folded = stored(folded, "quality-rated")
+    total = folded.count()
+    order = F.xxhash64("h", "h2", "grade")
+    if total > max_rows:
+        share = min(1.0, (max_rows + 10 * max_rows**0.5) / total)
+        near = folded.where(F.pmod(order, F.lit(1 << 32)) < int(share * (1 << 32)))
+        folded = near.orderBy(F.pmod(order, F.lit(1 << 32)), "h", "h2", "grade").limit(max_rows)
+    chosen = F.broadcast(folded)  # max_rows rows of 36 bytes at most
+    return (
+        documents.select("key", text.alias("text"), *hashes)
+        .join(chosen, ["key", "h", "h2"])
+        .groupBy("h", "h2", "grade")
+        .agg(F.min("text").alias("text"))
+        .select("grade", "text")
+    )
+
+
+def _listed(rows: DataFrame, places: np.ndarray) -> DataFrame:
+    """``rows`` with positions in ``places`` instead of features; the others are left out."""
+    shared = rows.sparkSession.sparkContext.broadcast(places)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = np.full(FEATURES, -1, np.int32)
+        number[shared.value] = np.arange(len(shared.value))
+        for batch in batches:
+            lists = batch.column("at")
+            at = number[lists.flatten().to_numpy(zero_copy_only=False)]
+            sizes = pa.compute.list_value_length(lists).to_numpy(zero_copy_only=False)
+            kept = np.bincount(np.repeat(np.arange(len(sizes)), sizes)[at >= 0], minlength=len(sizes))
+            offsets = np.concatenate([[0], np.cumsum(kept)]).astype(np.int32)
+            found = pa.ListArray.from_arrays(pa.array(offsets), pa.array(at[at >= 0]))
+            yield pa.RecordBatch.from_arrays([batch.column("grade"), found], names=["grade", "at"])
+
     return rows.mapInArrow(run, "grade int, at array<int>")
 
 
-def _loss_rows(model: QualityModel):
-    """Loss and gradient over the rows of a task as rows (place, value).
+def _loss_rows(shared: Broadcast):
+    """Loss and gradient over the rows of a task, in blocks (block, sums).
 
-    Places below FEATURES are weights, the next ones thresholds, the last one the loss.
+    They are the weights' slopes, then those of the thresholds, then the loss.
     """
-    steps = len(model.thresholds)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out, weights = np.zeros(FEATURES + steps + 1), model.dense()
+        weights, thresholds = shared.value
+        listed, steps = len(weights), len(thresholds)
+        out = np.zeros(listed + steps + 1)
+        cuts = np.concatenate([[-np.inf], thresholds, [np.inf]])
         for batch in batches:
             lists = batch.column("at")
             at = lists.flatten().to_numpy(zero_copy_only=False)
@@ -133,23 +194,31 @@ def _loss_rows(model: QualityModel):
             grade = batch.column("grade").to_numpy(zero_copy_only=False)
             row = np.repeat(np.arange(len(grade)), sizes)
             scores = np.bincount(row, weights[at], minlength=len(grade))
-            cuts = np.hstack([[-np.inf], model.thresholds, [np.inf]])
             high = _sigmoid(cuts[grade + 1] - scores)
             low = _sigmoid(cuts[grade] - scores)
             p = np.maximum(high - low, 1e-12)
             slope_high, slope_low = high * (1 - high) / p, low * (1 - low) / p
-            out[FEATURES + steps] -= np.log(p).sum()
-            out[:FEATURES] += np.bincount(at, (slope_high - slope_low)[row], minlength=FEATURES)
+            out[-1] -= np.log(p).sum()
+            out[:listed] += np.bincount(at, (slope_high - slope_low)[row], minlength=listed)
             for k in range(steps):
-                out[FEATURES + k] -= slope_high[grade == k].sum() - slope_low[grade == k + 1].sum()
-        places = np.append(model.places, np.arange(FEATURES, len(out)))
+                out[listed + k] -= slope_high[grade == k].sum() - slope_low[grade == k + 1].sum()
+        blocks = [out[i : i + BLOCK].tobytes() for i in range(0, len(out), BLOCK)]
         yield pa.RecordBatch.from_arrays(
-            [pa.array(places, pa.int64()), pa.array(out[places])], names=["place", "value"]
+            [pa.array(range(len(blocks)), pa.int32()), pa.array(blocks, pa.binary())],
+            names=["block", "sums"],
         )
 
     return run
 
 
+def _added(table: pa.Table) -> pa.Table:
+    """The sum of one block over all tasks."""
+    sums = sum(np.frombuffer(b) for b in table.column("sums").to_pylist())
+    return pa.table(
+        {"block": table.column("block").slice(0, 1), "sums": pa.array([sums.tobytes()], pa.binary())}
+    )
+
+
 def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1.0 / (1.0 + np.exp(-np.clip(x, -500, 500)))
 
@@ -160,63 +229,64 @@ def _ordered(raw: np.ndarray) -> np.ndarray:
 
 
 def fit(
-    df: DataFrame,
+    documents: DataFrame,
+    ratings: DataFrame,
     grades: int,
+    key: str = "doc_id",
     text: str = "text",
     grade: str = "grade",
-    max_rows: int | None = 20_000,
+    max_rows: int = 20_000,
     rounds: int = 25,
     ridge: float = 1.0,
 ) -> QualityModel:
-    """Fit on rows with a grade 0 ... grades - 1.
+    """Fit on the documents that ``ratings`` gives a grade 0 ... grades - 1.
 
-    ``max_rows`` bounds the fitted rows: rows are chosen by the hash of their text, so copies of a
-    text go together. ``None`` fits all.
+    ``max_rows`` bounds the fitted rows, whatever the number of copies.
     """
-    rated = df.where(F.col(grade).isNotNull())
-    if max_rows is not None:
-        total = rated.count()
-        if total > max_rows:
-            part = int(max_rows / total * (1 << 32))
-            rated = rated.where(F.pmod(F.xxhash64(text), F.lit(1 << 32)) < part)
-    rows = stored(_features(rated, text, F.col(grade)), "quality-features")
-    sums = rows.groupBy("grade").count().toPandas()
-    if not len(sums):
+    chosen = fitted_rows(
+        documents.select(F.col(key).alias("key"), F.col(text).alias("text")),
+        ratings.select(F.col(key).alias("key"), F.col(grade).alias("grade")),
+        max_rows,
+    )
+    rows = stored(_features(chosen), "quality-features")
+    sums = {r["grade"]: r["count"] for r in rows.groupBy("grade").count().collect()}
+    if not sums:
         return QualityModel(np.zeros(0, np.int64), np.zeros(0), np.arange(grades - 1, dtype=float))
-    if sums["grade"].min() < 0 or sums["grade"].max() >= grades:
+    if min(sums) < 0 or max(sums) >= grades:
         raise ValueError("a grade is out of range")
     used = (
         rows.select(F.explode("at").alias("at"))
         .groupBy("at")
         .agg(F.count("*").alias("n"))
         .where(F.col("n") >= MIN_ROWS)
-        .toPandas()
+        .select("at")
+        .toArrow()
     )
-    places = np.sort(used["at"].to_numpy().astype(np.int64))
-    n = sums["count"].sum()
+    places = np.sort(used.column("at").to_numpy().astype(np.int64))
+    n = sum(sums.values())
+    rows = stored(_listed(rows, places), "quality-listed")
+    spark = rows.sparkSession
 
     def spread(x: np.ndarray) -> QualityModel:
         return QualityModel(places, x[: len(places)], _ordered(x[len(places) :]))
 
     def evaluate(x: np.ndarray) -> tuple[float, np.ndarray]:
-        found = (
-            rows.mapInArrow(_loss_rows(spread(x)), "place bigint, value double")
-            .groupBy("place")
-            .agg(F.sum("value").alias("value"))
-            .toPandas()
-        )
-        full = np.zeros(FEATURES + grades)
-        full[found["place"].to_numpy()] = found["value"].to_numpy()
         w, raw = x[: len(places)], x[len(places) :]
+        shared = spark.sparkContext.broadcast((w, _ordered(raw)))
+        parts = rows.mapInArrow(_loss_rows(shared), "block int, sums binary")
+        found = parts.groupBy("block").applyInArrow(_added, "block int, sums binary").toArrow()
+        shared.destroy()
+        found = found.sort_by("block").column("sums").to_pylist()
+        full = np.concatenate([np.frombuffer(b) for b in found])
         gaps = np.exp(np.clip(raw[1:], -20, 20))
-        by_cut = full[FEATURES : FEATURES + grades - 1]
+        by_cut = full[len(places) : -1]
         later = np.cumsum(by_cut[::-1])[::-1]
         by_raw = np.concatenate([[later[0]], later[1:] * gaps])
         loss = full[-1] + 0.5 * ridge * (w @ w)
-        return loss / n, np.concatenate([full[places] + ridge * w, by_raw]) / n
+        return loss / n, np.concatenate([full[: len(places)] + ridge * w, by_raw]) / n
 
-    share = sums.set_index("grade")["count"].reindex(range(grades), fill_value=0) + 0.5
-    below = np.cumsum(share.to_numpy())[:-1] / share.sum()
+    share = np.array([sums.get(g, 0) + 0.5 for g in range(grades)])
+    below = np.cumsum(share)[:-1] / share.sum()
     cuts = np.log(below / (1 - below))
     start = np.concatenate([np.zeros(len(places)), cuts[:1], np.log(np.diff(cuts))])
     return spread(_descend(evaluate, start, rounds))

@@ -65,9 +65,7 @@ def rating(quality_label: str = "quality", toxic: str = "toxic"):
 
 def fit_quality(documents: DataFrame, labels: DataFrame) -> quality.QualityModel:
     """The ordinal model on the labelled documents; one rating per document, the lowest."""
-    rated = labels.select("doc_id", rating().alias("grade")).where("grade is not null")
-    rated = rated.groupBy("doc_id").agg(F.min("grade").alias("grade"))
-    return quality.fit(documents.select("doc_id", "text").join(rated, "doc_id"), GRADES)
+    return quality.fit(documents, labels.select("doc_id", rating().alias("grade")), GRADES)
 
 
 def op9_quality(spark: SparkSession, sf: str) -> DataFrame:

@@ -16,7 +16,11 @@ from tillroll.llm.queries import GOOD, KEEP_PROBABILITY, fit_quality
 
 
 def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the ordinal classifier takes for good with the wanted probability."""
+    """Documents that the ordinal classifier takes for good with the wanted probability.
+
+    A null text is judged like an empty one; rows with equal ids are judged one by one, those
+    without an id too. Without any label all grades are equally likely and no document stays.
+    """
     model = fit_quality(docs, table(spark, sf_dir, "labels"))
     scored = quality.score(docs, model, tail=GOOD)
     return scored.where(F.col("tail_probability") >= KEEP_PROBABILITY).select(*docs.columns)
@@ -25,45 +29,63 @@ def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def distinct_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies: the one with the smallest id.
 
-    Rows without an id and rows without words are in no group and stay; of rows with equal ids the
-    one with the smallest other columns stays.
+    The join tells rows apart by a hash of all their columns, so rows of one id with different texts
+    are documents of their own, and rows without an id are in groups like any other (an id goes
+    before none). Of equal rows one stays. Rows without words are in no group and all stay.
     """
-    joined = ngram_join.join(docs.select("doc_id", "text"))
-    first = joined.where("n_shingles > 0 and doc_id = component_id").select("doc_id").distinct()
-    in_group = F.col("doc_id").isNotNull() & F.coalesce(
-        F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False)
+    rid = F.xxhash64(*docs.columns).alias("_rid")
+    rows = docs.select(F.struct(*docs.columns).alias("_row"), rid)
+    joined = ngram_join.join(docs.select(rid, "text"), "_rid").where("n_shingles > 0")
+    groups = joined.select("_rid", "component_id").distinct()
+    order = F.struct(F.col("_row.doc_id").isNull().alias("last"), "_row.doc_id", "_rid")
+    first = (
+        rows.select("_rid", order.alias("order"))
+        .join(groups, "_rid")
+        .groupBy("component_id")
+        .agg(F.min("order").alias("order"))
+        .select("order._rid")
     )
-    rest = [c for c in docs.columns if c != "doc_id"]
+    in_group = F.coalesce(F.col("_row.text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
     kept = (
-        docs.where(in_group)
-        .join(first, "doc_id", "left_semi")
-        .groupBy("doc_id")
-        .agg(F.min(F.struct(*rest)).alias("row"))
-        .select("doc_id", "row.*")
+        rows.where(in_group)
+        .join(first, "_rid", "left_semi")
+        .groupBy("_rid")
+        .agg(F.min("_row").alias("_row"))
+        .select("_row")
     )
-    return kept.unionByName(docs.where(~in_group)).select(*docs.columns)
+    return kept.unionByName(rows.where(~in_group).select("_row")).select("_row.*")
 
 
 def clean_of_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no passage of the benchmark."""
+    """Documents that hold no passage of the benchmark.
+
+    Null and empty texts hold none and stay; every row is judged on its own; an empty benchmark
+    takes nothing away.
+    """
     found = decontaminate.find_leaks(docs, table(spark, sf_dir, "benchmark"))
     return found.where(F.size("leaks") == 0).select(*docs.columns)
 
 
 def masked_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with personal data replaced by its kind; ``n_chars`` follows the text."""
+    """All documents, with personal data replaced by its kind; ``n_chars`` follows the text.
+
+    A null text stays null, and ``n_chars`` of a text without personal data stays as it is.
+    """
     found = pii.find(docs)
     text = F.when(F.col("text").isNotNull(), pii.mask(F.col("text"), F.col("spans")))
-    changed = F.size("spans") > 0
-    masked = found.withColumn("_text", text).withColumn(
-        "n_chars",
-        F.when(changed, F.char_length("_text")).otherwise(F.col("n_chars")).cast("bigint"),
+    masked = found.select(
+        F.struct(*docs.columns).alias("row"), text.alias("text"), (F.size("spans") > 0).alias("found")
     )
-    return masked.withColumn("text", F.col("_text")).select(*docs.columns)
+    length = F.when(F.col("found"), F.char_length("text")).otherwise(F.col("row.n_chars"))
+    changed = {"text": F.col("text"), "n_chars": length.cast("bigint")}
+    return masked.select(*(changed.get(c, F.col("row")[c]).alias(c) for c in docs.columns))
 
 
 def encoded_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every document; a document whose ids do not give its text back stops the run."""
+    """Token ids of every document; a document whose ids do not give its text back stops the run.
+
+    Null and empty texts have no ids; repeated rows are encoded each.
+    """
     vocabulary = bpe.Vocabulary.read(
         public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
     )

@@ -4,6 +4,7 @@ import hashlib
 import html as entities
 import random
 import re
+import time
 
 import duckdb
 import numpy as np
@@ -132,6 +133,31 @@ def test_marginals_equal_enumeration():
     assert np.allclose(model.marginals(page), np.array(sums) / total)
 
 
+def test_declarations_and_embedded_text(spark):
+    pages = spark.read.parquet(f"{SF}/pages.parquet")
+    model = html.fit(pages)
+
+    def text(markup):
+        page = html.parse(f"<html><body><article>{markup}</article></body></html>")
+        return [b for b, _ in html.blocks(page, model.marginals(page))]
+
+    assert text("<p>a<![foo]>b</p>") == ["ab"]
+    assert text("<p>a<![CDATA[x]]>b</p><![ foo") in (["a]]>b"], ["ab"], ["a", "b"])
+    assert text("<p>sum <math><mi>x</mi></math> of <svg><text>y</text></svg></p>") == ["sum x of y"]
+    assert text("<p>a<script>b</script><style>c</style><template>d</template></p>") == ["a"]
+    page = html.parse("<!DOCTYPE html [<!ENTITY x 'y'>]><article><p>t</p></article>")
+    assert "".join(p[1] for p in page.pieces if p) == "t"
+    odd = ["<![ foo", "<!", "<![", "<!DOCTYPE", "<!DOCTYPE [", "<?", "</", "<!-", "<!--", "<![if]><!"]
+    table = spark.createDataFrame([(i, "u", x) for i, x in enumerate(odd)], "page_id long, url string, html string")
+    assert html.extract(table, html.fit(table)).count() == len(odd)
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from(["<", ">", "!", "[", "]", "-", "/", "?", "a", " ", "DOCTYPE", "CDATA", "&", "#", "'", '"', "p", "if", "endif"]), max_size=25))
+def test_no_markup_stops_the_reader(parts):
+    html.parse("".join(parts))
+
+
 def test_pages_that_break_off(spark):
     odd = [(1, None), (2, ""), (3, "no markup"), (4, "<article><p>cut &am"), (5, "<" * 500),
            (6, "</p></div><article>x</b>y</article>"), (6, "</p></div><article>x</b>y</article>"),
@@ -322,6 +348,72 @@ def test_excerpts_from_any_place_of_an_item():
         assert not whole or (found[0][3] == 0 and text[found[0][1] : found[0][2]] in items[i][1])
 
 
+def test_short_regions_of_a_long_item():
+    rng = random.Random(6)
+    words = ["".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 8))) for _ in range(400)]
+    item = " ".join(rng.choice(words) for _ in range(80))
+    windows = decontaminate.Windows.of_items([(1, item)], decontaminate.EDIT_RATE)
+    for size in (60, 75, 90, 100, 110, 119):
+        for _ in range(12):
+            start = rng.randrange(len(item) - size)
+            part = item[start : start + size]
+            before, after = (" ".join(rng.choice(words) for _ in range(9)) for _ in range(2))
+            (found,) = decontaminate.leaks_in([f"{before}{part}{after}"], windows)
+            assert [x[0] for x in found] == [1], (size, start)
+        other = " ".join(rng.choice(words) for _ in range(100))
+        assert decontaminate.leaks_in([other], windows) == [[]]
+
+
+def test_short_items_are_found_unchanged():
+    question, chinese, tiny = "What is the capital of Peru?", "\u4e2d\u56fd\u7684\u9996\u90fd\u662f\u54ea\u91cc\u5462\u8bf7\u95ee", "Yes."
+    items = [(1, question), (2, chinese), (3, tiny), (4, " ..."), (5, question.lower())]
+    windows = decontaminate.Windows.of_items(items, decontaminate.EDIT_RATE)
+    texts = [
+        f"quiz:  what is -- THE capital of peru", f"x{question}", "what is the capital of perus",
+        f"\u5176\u4ed6{chinese}\u5176\u4ed6", "yes", "oh yes", " YES! ", "", None, "...",
+    ]
+    found = decontaminate.leaks_in(texts, windows)
+    assert [[x[0] for x in own] for own in found] == [[1, 5], [], [], [2], [3], [], [3], [], [], []]
+    assert texts[0][found[0][0][1] : found[0][0][2]] == "what is -- THE capital of peru"
+    assert found[3][0][1:] == (2, 2 + len(chinese), 0)
+
+
+def test_runs_cost_no_more_than_other_text():
+    rng = random.Random(2)
+    items = [(i, "b" * i + "a" * 52 + "".join(rng.choice("cdefgh ") for _ in range(60))) for i in range(5)]
+    windows = decontaminate.Windows.of_items(items, decontaminate.EDIT_RATE)
+
+    def seconds(text):
+        start = time.perf_counter()
+        found = decontaminate.leaks_in([text], windows)
+        return time.perf_counter() - start, found
+
+    seconds("warm up")
+    mixed, _ = seconds("".join(rng.choice("abcdefgh ") for _ in range(20_000)))
+    runs, found = seconds("a" * 20_000)
+    assert found == [[]] and runs < 3 * mixed + 0.3
+    inside = "x " + "a" * 9000 + items[2][1][54:] + " y"
+    _, found = seconds(inside)
+    assert 2 in [x[0] for x in found[0]]
+
+
+def test_long_items_travel_in_pieces(spark, monkeypatch):
+    monkeypatch.setattr(decontaminate, "BLOCK_CHARS", 4_000_000)
+    rng = random.Random(3)
+    words = ["".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 8))) for _ in range(3000)]
+    text = " ".join(rng.choice(words) for _ in range(30_000))
+    bench = spark.createDataFrame([(1, text), (1, text), (2, "x" + text[5:700])], "item_id long, text string")
+    sizes = [sum(len(t) for _, t in b) for b in decontaminate._item_blocks(
+        decontaminate._pieces(bench.selectExpr("item_id AS i", "text AS t")), 0.06)]
+    assert len(text) > 2 * decontaminate.PIECE and sum(sizes) < 1.02 * len(text) + 700
+    limit = decontaminate.PIECE + decontaminate.BLOCK_CHARS // (decontaminate.WINDOW // 3 + 2)
+    assert max(sizes) <= limit
+    at = [0, decontaminate.PIECE - 40, len(text) - 70]
+    docs = spark.createDataFrame([(i, f"zzz {text[i : i + 70]} zzz") for i in at], "doc_id long, text string")
+    found = decontaminate.find_leaks(docs, bench).collect()
+    assert [1 in [x.item_id for x in r.leaks] for r in found] == [True] * 3
+
+
 def test_passages_of_odd_rows(spark, monkeypatch):
     monkeypatch.setattr(decontaminate, "BLOCK_CHARS", 150)
     passage = "It was the best of times, it was the worst of times; it was the age of wisdom"

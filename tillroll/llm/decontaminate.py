@@ -1,20 +1,29 @@
 """Benchmark passages in documents, found by shared q-grams and verified by banded alignment.
 
 Both sides are folded: letters and digits in lower case, one space for everything between them.
-An item is cut into windows of at most ``WINDOW`` characters that begin as many characters apart as a
-window may have edits, so that a part of an item is found wherever it begins and ends: unchanged, any
-part that is longer than a window by that many characters. A window of m characters
+An item of at most ``ITEM`` characters is one window. A longer one is cut into windows of ``WINDOW``
+characters that begin as many characters apart as a window may have edits, so that a region as long
+as a window is found wherever it begins and ends: at most half of those edits go to its ends. A window of m characters
 with at most e edits shares at least (m - q + 1) - q * e of its q-grams with the document (the
 q-gram lemma), and all of them lie within e + 1 neighbouring diagonals. So shared q-grams are
 counted in diagonal bands of twice that width that overlap by half; bands that reach the bound are
 kept, and a semi-global alignment restricted to the band gives the edits.
 
-Windows go to the tasks in blocks of at most ``BLOCK_CHARS`` characters, however large the
-benchmark is; documents are read once for each block.
+Items of fewer than ``MIN_CHARS`` folded characters are looked up exactly: as whole words, or
+anywhere where their edges are of a script without spaces; those of fewer than ``Q`` characters
+only as a whole text, as they tell nothing inside of one.
 
-Edge cases: null and empty texts have no leak, null and empty items match nothing; items of fewer
-than ``MIN_CHARS`` folded characters are too short to tell a leak and match nothing; equal items
-are each reported; every row is judged on its own, so repeated rows repeat their leaks.
+The middle of a long run of one character is left out of the comparison (no window can tell it from
+a shorter run), and equal pieces of a text are aligned with a window once, so that repetition costs
+no more than other text.
+
+Long items are cut in the tasks into overlapping pieces; pieces go to the driver in a stream and from
+there to the tasks in blocks of at most ``BLOCK_CHARS`` characters of windows and one piece, however
+large the benchmark or one item of it is; documents are read once for each block.
+
+Edge cases: null and empty texts have no leak, null and empty items match nothing; equal items
+are each reported, an item whose row is repeated once; every row is judged on its own, so repeated
+rows repeat their leaks.
 """
 
 from __future__ import annotations
@@ -30,8 +39,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 Q = 10
-WINDOW = 120
+ITEM = 120
+WINDOW = 60
+#: Shorter items are found without edits only.
 MIN_CHARS = 30
+#: Folded characters of an item that travel together.
+PIECE = 1 << 16
 #: Edits allowed per character of a window.
 EDIT_RATE = 0.06
 BLOCK_CHARS = 4_000_000
@@ -71,6 +84,20 @@ def fold(text: str) -> tuple[np.ndarray, np.ndarray]:
     return folded[at], at
 
 
+def short_runs(codes: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Without the middle of runs of one character that are longer than any match twice over."""
+    keep = ITEM + 10
+    changes = np.flatnonzero(np.diff(codes))
+    starts, ends = np.append(0, changes + 1), np.append(changes + 1, len(codes))
+    long = ends - starts > 2 * keep
+    if not long.any():
+        return codes, places
+    kept = np.ones(len(codes), bool)
+    for start, end in zip(starts[long], ends[long]):
+        kept[start + keep : end - keep] = False
+    return codes[kept], places[kept]
+
+
 def gram_hashes(codes: np.ndarray) -> np.ndarray:
     """A 64-bit hash of every run of Q characters."""
     if len(codes) < Q:
@@ -87,6 +114,42 @@ def gram_hashes(codes: np.ndarray) -> np.ndarray:
     return out
 
 
+def _trimmed(codes: np.ndarray) -> np.ndarray:
+    """Without a space at either end."""
+    codes = codes[1:] if len(codes) and codes[0] == 32 else codes
+    return codes[:-1] if len(codes) and codes[-1] == 32 else codes
+
+
+def _without_spaces(code: int) -> bool:
+    """Whether a character is of a script whose words are not parted by spaces."""
+    return 0x0E00 <= code < 0x1000 or 0x1780 <= code < 0x1800 or 0x2E80 <= code < 0xA4D0 or code >= 0x20000
+
+
+def short_leaks(codes: np.ndarray, places: np.ndarray, short: dict) -> dict[int, tuple[int, int, int]]:
+    """The first place of each item that a folded text holds unchanged."""
+    found: dict[int, tuple[int, int, int]] = {}
+    own = np.flatnonzero(codes != 32)
+    whole = codes[own[0] : own[-1] + 1].tobytes() if len(own) else b""
+    for size, items in sorted(short.items()):
+        if size < Q:
+            hits = [(int(own[0]), whole)] if whole in items else []
+        else:
+            # A window of the text per place, compared as bytes of the same length.
+            grams = np.lib.stride_tricks.sliding_window_view(codes, size) if len(codes) >= size else []
+            firsts = [np.frombuffer(k, np.uint32)[0] for k in items]
+            starts = np.flatnonzero(np.isin(codes[: max(0, len(codes) - size + 1)], firsts))
+            hits = [(at, key) for at in starts.tolist() if (key := grams[at].tobytes()) in items]
+        for at, key in hits:
+            end = at + size
+            left = at == 0 or codes[at - 1] == 32 or _without_spaces(codes[at])
+            right = end == len(codes) or codes[end] == 32 or _without_spaces(codes[end - 1])
+            if left and right:
+                for item in items[key]:
+                    where = (int(places[at]), int(places[end - 1]) + 1, 0)
+                    found[item] = min(found.get(item, where), where)
+    return found
+
+
 @dataclass
 class Windows:
     """Folded windows of benchmark items and an index of their q-grams."""
@@ -100,19 +163,23 @@ class Windows:
     of: np.ndarray  # window of each place
     offset: np.ndarray  # and offset in it
     seen: np.ndarray  # a filter by the top bits of the hash
+    short: dict[int, dict[bytes, list[int]]]  # items by length that are looked up exactly
 
     @classmethod
     def of_items(cls, items: list[tuple[int, str]], edit_rate: float) -> Windows:
         found: dict[bytes, list[int]] = defaultdict(list)
+        short: dict[int, dict[bytes, list[int]]] = defaultdict(lambda: defaultdict(list))
         for number, text in items:
-            codes, _ = fold(text)
-            codes = codes[1:] if len(codes) and codes[0] == 32 else codes
-            codes = codes[:-1] if len(codes) and codes[-1] == 32 else codes
+            codes = _trimmed(fold(text)[0])
             if len(codes) < MIN_CHARS:
+                own = short[len(codes)][codes.tobytes()] if len(codes) else [number]
+                if number not in own:
+                    own.append(number)
                 continue
-            last = max(0, len(codes) - WINDOW)
+            size = WINDOW if len(codes) > ITEM else ITEM
+            last = max(0, len(codes) - size)
             for start in [*range(0, last, stride(edit_rate)), last]:
-                own = found[codes[start : start + WINDOW].tobytes()]
+                own = found[codes[start : start + size].tobytes()]
                 if number not in own:
                     own.append(number)
         windows = [np.frombuffer(k, np.uint32) for k in found]
@@ -130,6 +197,7 @@ class Windows:
         return cls(
             windows, list(found.values()), edits, grams - Q * edits, distinct,
             np.append(starts, len(flat)), of[order], offset[order], seen,
+            {size: dict(own) for size, own in short.items()},
         )
 
     def hits(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -147,7 +215,7 @@ class Windows:
         right = self.grams[where] == hashes[at]
         at, where = at[right], where[right]
         # Any place of a match has the match's other places at most this far away.
-        reach = WINDOW + int(self.edits.max())
+        reach = ITEM + int(self.edits.max())
         around = np.searchsorted(at, at + reach) - np.searchsorted(at, at - reach)
         near = around >= self.needed.min()
         at, where = at[near], where[near]
@@ -197,35 +265,41 @@ def align(window: np.ndarray, text: np.ndarray, low: int, high: int, limit: int)
 def leaks_in(texts: list[str | None], windows: Windows) -> list[list[tuple[int, int, int, int]]]:
     """(item, start, end, edits) of each text, one entry per item: the fewest edits, then first."""
     folded = [fold(t) if t else (np.zeros(0, np.uint32), np.zeros(0, np.int64)) for t in texts]
+    out: list[dict[int, tuple[int, int, int]]] = [
+        short_leaks(*own, windows.short) if windows.short else {} for own in folded
+    ]
+    folded = [short_runs(*own) for own in folded]
     sizes = np.array([len(c) + 1 for c, _ in folded], np.int64)
     begins = np.cumsum(sizes) - sizes
     mark = np.array([0], np.uint32)  # between texts; no folded text holds it
     codes = np.concatenate([part for c, _ in folded for part in (c, mark)])
     at, of, offset = windows.hits(codes)
-    out: list[dict[int, tuple[int, int, int]]] = [{} for _ in texts]
     if len(at):
         text_of = np.searchsorted(begins, at, side="right") - 1
-        diagonal = at - begins[text_of] - offset + WINDOW  # not negative
+        diagonal = at - begins[text_of] - offset + ITEM  # not negative
         step = windows.edits[of] + 1
         candidates = []
         for shift in (0, 1):
             band = diagonal // step
             band = (band + shift) // 2  # pairs of neighbouring strips, overlapping by one strip
-            rows = np.stack([text_of, of, band])
+            rows = np.stack([text_of, of, band, offset])
             order = np.lexsort(rows[::-1])
             ordered = rows[:, order]
-            firsts = np.flatnonzero(np.append(True, (np.diff(ordered) != 0).any(axis=0)))
-            counts = np.diff(np.append(firsts, len(order)))
+            changes = np.diff(ordered) != 0
+            firsts = np.flatnonzero(np.append(True, changes[:3].any(axis=0)))
+            # A q-gram of the window counts once, however often the text repeats it.
+            counts = np.add.reduceat(np.append(True, changes.any(axis=0)).astype(np.int64), firsts)
             enough = counts >= windows.needed[ordered[1, firsts]]
             for first, count in zip(firsts[enough], counts[enough].tolist()):
-                text, window, number = (int(x) for x in ordered[:, first])
+                text, window, number = (int(x) for x in ordered[:3, first])
                 strip = int(windows.edits[window]) + 1
-                low = (2 * number - shift) * strip - WINDOW
+                low = (2 * number - shift) * strip - ITEM
                 missing = len(windows.codes[window]) - Q + 1 - count
                 fewest = max(0, -(-missing // Q))
                 candidates.append((text, fewest, low, window, low + 2 * strip - 1))
+        aligned: dict[tuple, tuple | None] = {}
         for text, fewest, low, window, high in sorted(candidates):
-            _verify(windows, window, folded[text], low, high, fewest, out[text])
+            _verify(windows, window, folded[text], low, high, fewest, out[text], aligned)
     return [[(item, *where) for item, where in sorted(found.items())] for found in out]
 
 
@@ -239,9 +313,12 @@ def _find(text: np.ndarray, window: np.ndarray) -> int:
 
 
 def _verify(
-    windows: Windows, window: int, folded, low: int, high: int, fewest: int, found: dict
+    windows: Windows, window: int, folded, low: int, high: int, fewest: int, found: dict, aligned: dict
 ) -> None:
-    """Align a window in a band; not where ``fewest`` edits at its first place could not be better."""
+    """Align a window in a band; not where ``fewest`` edits at its first place could not be better.
+
+    ``aligned`` remembers the outcome for equal pieces of text.
+    """
     codes, places = folded
     own, limit = windows.codes[window], int(windows.edits[window])
     # Diagonals of a path can leave the strips of its q-grams by the edits at its ends.
@@ -259,7 +336,10 @@ def _verify(
     elif all(i in found and found[i][2] == 0 for i in windows.items[window]):
         return
     else:
-        hit = align(own, part, low - first, high - first, limit)
+        key = (window, low - first, high - first, part.tobytes())
+        if key not in aligned:
+            aligned[key] = align(own, part, low - first, high - first, limit)
+        hit = aligned[key]
         if hit is None or hit[2] <= hit[1]:
             return
         edits, start, end = hit
@@ -290,21 +370,48 @@ def find_leaks(
     out: str = "leaks",
 ) -> DataFrame:
     """``df`` with the array ``leaks`` of (item_id, start, end, edits), in characters of the text."""
-    items = benchmark.select(F.col(item).cast("bigint").alias("i"), F.col(item_text).alias("t"))
-    items = items.where("i is not null and t is not null")
-    # Windows begin a stride apart, so a character of an item is in so many of them at most.
-    times = WINDOW // stride(edit_rate) + 2
-    chars = items.agg(F.sum(times * F.char_length("t"))).first()[0] or 0
-    blocks = max(1, -(-chars // BLOCK_CHARS))
     kept = [c for c in df.columns if c != out]
     found = df.select(*kept).withColumn(out, F.array().cast(T.ArrayType(LEAK)))
-    for block in range(blocks):
-        rows = items.where(F.pmod(F.xxhash64("i"), F.lit(blocks)) == block).collect()
-        windows = Windows.of_items(sorted((r.i, r.t) for r in rows), edit_rate)
-        found = _add_leaks(found, windows, text, out)
+    items = benchmark.select(F.col(item).cast("bigint").alias("i"), F.col(item_text).alias("t"))
+    for block in _item_blocks(_pieces(items), edit_rate):
+        found = _add_leaks(found, Windows.of_items(block, edit_rate), text, out)
     return found
 
 
+def _pieces(items: DataFrame) -> DataFrame:
+    """(i, t): folded pieces of the items, each of them once; neighbours share a window and a stride."""
+    step = PIECE - 2 * ITEM
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for number, value in zip(batch.column(0), batch.column(1)):
+                codes = _trimmed(fold(value.as_py())[0])
+                starts = range(0, max(1, len(codes) - 2 * ITEM), step)
+                parts = [codes[s : s + PIECE] for s in starts]
+                texts = [p.astype("<u4").tobytes().decode("utf-32-le", "surrogatepass") for p in parts]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([number.as_py()] * len(texts), pa.int64()), pa.array(texts, pa.string())],
+                    names=["i", "t"],
+                )
+
+    rows = items.where("i is not null and t is not null")
+    return rows.mapInArrow(run, "i bigint, t string").where("t <> ''").distinct()
+
+
+def _item_blocks(pieces: DataFrame, edit_rate: float) -> Iterator[list[tuple[int, str]]]:
+    """Pieces in blocks of bounded size; the driver holds one block and one partition of pieces."""
+    times = WINDOW // stride(edit_rate) + 2  # a character is in so many windows at most
+    block, held = [], 0
+    for row in pieces.orderBy("i", "t").toLocalIterator():
+        block.append((row.i, row.t))
+        held += times * len(row.t)
+        if held >= BLOCK_CHARS:
+            yield block
+            block, held = [], 0
+    if block:
+        yield block
+
+
 def _add_leaks(df: DataFrame, windows: Windows, text: str, out: str) -> DataFrame:
     shared = df.sparkSession.sparkContext.broadcast(windows)
     names = [f.name for f in LEAK.fields]

@@ -44,7 +44,7 @@ SIDE_WORD_ELSEWHERE, MAIN_WORD_ELSEWHERE = 1e-5, 1e-2
 LEAST_ON, LEAST_OFF = 1e-5, 1e-3
 
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
-HIDDEN = frozenset("script style template noscript svg math iframe object".split())
+HIDDEN = frozenset("script style template".split())
 BLOCKS = frozenset(
     "address article aside blockquote body br caption center dd details dialog div dl dt fieldset"
     " figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav"
@@ -68,6 +68,8 @@ _ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "option": {"optio
          "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
 #: Open elements that an implied end does not cross.
 _FENCES = frozenset("table ul ol dl select article section div body html".split())
+#: A document type with declarations in brackets, which hold no bracket themselves.
+_DOCTYPE = re.compile(r"<!doctype[^>\[]*\[[^\[\]]*\]\s*>", re.IGNORECASE)
 _WORD = re.compile(r"[a-z]+(?:[A-Z][a-z]+)*|[A-Z]+[a-z]*")
 
 
@@ -138,6 +140,19 @@ class _Reader(HTMLParser):
             self.page.pieces.append((self.open[-1], data))
 
 
+    def parse_marked_section(self, i, report=1):
+        """A marked section is a comment up to the next ``>``, as browsers read it."""
+        return self.parse_bogus_comment(i)
+
+    def parse_html_declaration(self, i):
+        """A document type goes to the end of its own declarations, if it has any."""
+        own = _DOCTYPE.match(self.rawdata, i)
+        return own.end() if own else super().parse_html_declaration(i)
+
+    def unknown_decl(self, data):
+        """The rest of a page that ends inside a declaration is not text."""
+
+
 def parse(html: str) -> Page:
     reader = _Reader()
     reader.feed(html)

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tillroll.llm.common import most_frequent, stored
+from tillroll.llm.common import give_back, most_frequent, stored
 
 WORDS = 5
 FRAGMENTS = 8
@@ -195,6 +195,8 @@ def repeated_shingles(df: DataFrame, text: str) -> np.ndarray:
                     yield count()
                     seen, held, size = set(), [], 0
         yield count()
+        del seen, held
+        give_back()
 
     sums = (
         df.select(text)

@@ -34,13 +34,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tillroll.llm.common import stored
+from tillroll.llm.common import give_back, stored
 
 FEATURE_BITS = 20
 FEATURES = 1 << FEATURE_BITS
 #: Features of fewer fitted rows have no weight.
 MIN_ROWS = 5
-MEMO_ENTRIES = 300_000
+MEMO_ENTRIES = 100_000
 #: Weights of a gradient that travel together.
 BLOCK = 1 << 15
 
@@ -116,10 +116,12 @@ def _features(rows: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = FeatureHasher()
         for batch in batches:
-            lists = [np.sort(hasher(t)).astype(np.int32) for t in batch.column(1).to_pylist()]
+            lists = [np.sort(hasher(t.as_py())).astype(np.int32) for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(lists, pa.list_(pa.int32()))], names=["grade", "at"]
             )
+        del hasher
+        give_back()
 
     return rows.select("grade", "text").mapInArrow(run, "grade int, at array<int>")
 
@@ -339,8 +341,7 @@ def score(df: DataFrame, model: QualityModel, text: str = "text", tail: int = 1)
         own, hasher = shared.value, FeatureHasher()
         weights = own.dense()
         for batch in batches:
-            texts = batch.column(text).to_pylist()
-            scores = np.array([weights[hasher(t)].sum() for t in texts])
+            scores = np.array([weights[hasher(t.as_py())].sum() for t in batch.column(text)])
             p = own.probabilities(scores)
             yield pa.RecordBatch.from_arrays(
                 [
@@ -350,6 +351,8 @@ def score(df: DataFrame, model: QualityModel, text: str = "text", tail: int = 1)
                 ],
                 names=[*kept, *added],
             )
+        del hasher, weights
+        give_back()
 
     fields = [T.StructField(c, T.DoubleType()) for c in added]
     return df.mapInArrow(run, T.StructType([*(df.schema[c] for c in kept), *fields]))

@@ -637,6 +637,91 @@ points AS (
     ),
 }
 
+ORACLES |= {
+    "spend_curve": query(
+        RAW,
+        LINES,
+        SPEND,
+        f"""SELECT CustomerID, {r('spend')} AS spend, row_number() OVER best AS position,
+        {r('row_number() OVER best / count(*) OVER ()')} AS customer_share,
+        {r('sum(spend) OVER best')} AS running,
+        {r('sum(spend) OVER best / sum(spend) OVER ()')} AS spend_share
+        FROM spend WINDOW best AS (ORDER BY spend DESC, CustomerID)""",
+    ),
+    "spend_concentration": query(
+        RAW,
+        LINES,
+        SPEND,
+        """
+shares AS (
+  SELECT spend, row_number() OVER best AS position, count(*) OVER () AS n,
+    sum(spend) OVER best / sum(spend) OVER () AS share
+  FROM spend WINDOW best AS (ORDER BY spend DESC, CustomerID)
+), gaps AS (
+  SELECT sum(abs(a.spend - b.spend)) AS gap FROM spend a CROSS JOIN spend b
+)""",
+        f"""SELECT count(*) AS customers, {r('sum(spend)')} AS spend,
+        {r('any_value(gap) / (2 * count(*) * sum(spend))')} AS gini,
+        {r('max(share) FILTER (position = ceil(n * 0.2 - 1e-9))')} AS top_share,
+        {r('min(position / n) FILTER (share >= 0.8 - 1e-12)')} AS customers_for
+        FROM shares, gaps""",
+    ),
+    "feature_correlation": query(
+        RAW,
+        LINES,
+        FEATURE_TABLE,
+        "\nshown AS (SELECT CustomerID, " + ", ".join(f"{r(f)} AS {f}" for f in FEATURES) + " FROM features)",
+        LONG_FEATURES.replace("UNPIVOT features", "UNPIVOT shown"),
+        """
+ranks AS (
+  SELECT CustomerID, feature, value, rank() OVER (PARTITION BY feature ORDER BY value)
+    + (count(*) OVER (PARTITION BY feature, value) - 1) / 2 AS place
+  FROM long
+)""",
+        f"""SELECT x.feature AS a, y.feature AS b,
+        {r('CASE WHEN var_pop(x.value) > 0 AND var_pop(y.value) > 0 THEN corr(x.value, y.value) END')} AS pearson,
+        {r('CASE WHEN var_pop(x.place) > 0 AND var_pop(y.place) > 0 THEN corr(x.place, y.place) END')} AS spearman
+        FROM ranks x JOIN ranks y USING (CustomerID) GROUP BY ALL""",
+    ),
+    "rand_index_given": query(
+        """
+labels AS (
+  SELECT c_nationkey % 3 AS part, c_mktsegment AS a,
+    CASE WHEN c_acctbal < 0 THEN 'low' WHEN c_custkey % 4 = 0 THEN c_mktsegment END AS b
+  FROM customer
+), cells AS (SELECT part, a, b, count(*) AS n FROM labels GROUP BY ALL
+), whole AS (SELECT part, sum(n) AS n, sum(n * (n - 1) / 2) AS s FROM cells GROUP BY part
+), of_a AS (
+  SELECT part, sum(n * (n - 1) / 2) AS s FROM (SELECT part, a, sum(n) AS n FROM cells GROUP BY ALL) GROUP BY part
+), of_b AS (
+  SELECT part, sum(n * (n - 1) / 2) AS s FROM (SELECT part, b, sum(n) AS n FROM cells GROUP BY ALL) GROUP BY part
+)""",
+        f"""SELECT w.part, CAST(w.n AS BIGINT) AS rows,
+        {r('(w.s - x.s * y.s / (w.n * (w.n - 1) / 2)) / ((x.s + y.s) / 2 - x.s * y.s / (w.n * (w.n - 1) / 2))', 6)} AS ari
+        FROM whole w JOIN of_a x USING (part) JOIN of_b y USING (part)""",
+    ),
+    "state_features": ORACLES["customer_features"],
+    "stream_labels_given": query(
+        RAW,
+        LINES,
+        FEATURE_TABLE,
+        MOVED,
+        "\nscaled AS (SELECT CustomerID, "
+        + ", ".join(f"({f} - avg({f}) OVER ()) / stddev_pop({f}) OVER () AS {f}" for f in FEATURES)
+        + " FROM moved)",
+        "\ncenters AS (SELECT c_mktsegment, "
+        + ", ".join(f"avg({f}) AS {f}" for f in FEATURES)
+        + " FROM scaled JOIN customer ON CustomerID = CAST(c_custkey AS VARCHAR) GROUP BY c_mktsegment)",
+        """
+numbered AS (SELECT *, row_number() OVER (ORDER BY c_mktsegment) - 1 AS Cluster FROM centers)""",
+        "\ngaps AS (SELECT s.CustomerID, c.Cluster, "
+        + " + ".join(f"(s.{f} - c.{f}) * (s.{f} - c.{f})" for f in FEATURES)
+        + " AS distance_sq FROM scaled s CROSS JOIN numbered c)",
+        f"""SELECT CustomerID, CAST(arg_min(Cluster, distance_sq) AS INTEGER) AS Cluster,
+        {r('min(distance_sq)')} AS distance_sq FROM gaps GROUP BY CustomerID""",
+    ),
+}
+
 _HISTOGRAMS = {
     "spend_histogram": (SPEND, LONG_TRIMMED_SPEND),
     "invoice_histogram": (INVOICES, LONG_INVOICES),

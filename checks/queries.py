@@ -12,12 +12,16 @@ from pyspark.sql import functions as F
 
 from checks.adaptor import table, transactions
 from tillroll.functions.columns import normalize_customer_id
-from tillroll.operators import cleaning, clustering, distributions, features, profiles, quantiles
+from tillroll.operators import cleaning, clustering, concentration, correlation, distributions
+from tillroll.operators import features, profiles, quantiles
 from tillroll.operators import reduction, sales, shapley, silhouette, surrogate, transforms
 from tillroll.operators import rfm as rfm_ops
 from tillroll.schema import FEATURES, RADAR_AXES_6, RADAR_AXES_8
 from tillroll.session import stage, staging_path
 from tillroll.sources import transactions as sources
+from tillroll.streaming import scoring
+from tillroll.streaming.feature_state import FeatureState
+from tillroll.streaming.scoring import SegmentModel
 
 HOME = "NATION_2"
 ROUND_SHIFT = 1.2345e-8
@@ -620,6 +624,95 @@ def pca_check(spark, sf):
     )
 
 
+# ---- concentration, correlation, stability ---------------------------------------------------
+
+
+def spend_curve(spark, sf):
+    found = concentration.spend_curve(totals_table(spark, sf).select("CustomerID", "spend"))
+    return rounded(found, ["spend", "customer_share", "running", "spend_share"])
+
+
+def spend_concentration(spark, sf):
+    found = concentration.concentration(totals_table(spark, sf).select("CustomerID", "spend"))
+    return rounded(found, ["spend", "gini", "top_share", "customers_for"])
+
+
+def feature_correlation(spark, sf):
+    # Rounded first: whether two values tie must not hang on the last digit of a mean.
+    found = correlation.correlation(rounded(customer_table(spark, sf), FEATURES))
+    return rounded(found, ["pearson", "spearman"])
+
+
+def kmeans_starts(spark, sf):
+    return clustering.start_costs(spark, kmeans_fits(spark, sf))
+
+
+def kmeans_stability(spark, sf):
+    return clustering.stability(scaled_table(spark, sf), kmeans_fits(spark, sf))
+
+
+def rand_index_given(spark, sf):
+    """Agreement of two given labels of the customers, per region number."""
+    labels = table(spark, sf, "customer").select(
+        (F.col("c_nationkey") % 3).alias("part"),
+        F.col("c_mktsegment").alias("a"),
+        F.when(F.col("c_acctbal") < 0, "low").when(F.col("c_custkey") % 4 == 0, F.col("c_mktsegment")).alias("b"),
+    )
+    return rounded(clustering.adjusted_rand(labels, "a", "b", ["part"]), ["ari"], 6)
+
+
+# ---- batches and streams ---------------------------------------------------------------------
+
+
+def _batches(spark, sf):
+    """All cleaned lines in three batches; the lines of an invoice fall into several of them."""
+    dealt = F.pmod(F.xxhash64("InvoiceNo", "StockCode", "Quantity"), F.lit(3))
+    return [lines(spark, sf).where(dealt == i) for i in range(3)]
+
+
+@once
+def merged_state(spark, sf):
+    state = FeatureState(spark, staging_path(spark, "feature-state"), buckets=8)
+    for number, batch in enumerate(_batches(spark, sf)):
+        state.merge(batch, number)
+    state.merge(_batches(spark, sf)[1], 1)  # a replay, which changes nothing
+    return state
+
+
+def state_features(spark, sf):
+    """The features from a state that three batches and a replayed one were merged into."""
+    return rounded(merged_state(spark, sf).features(), FEATURES)
+
+
+@once
+def given_model(spark, sf):
+    """Fixed parameters, the scale of the table, and the mean of each market segment as a center."""
+    moved = transforms.apply_box_cox(customer_table(spark, sf), FIXED_LAMBDAS)
+    scale = transforms.fit_scale(moved)
+    segment = table(spark, sf, "customer").select(
+        F.col("c_custkey").cast("string").alias("CustomerID"), "c_mktsegment"
+    )
+    z = moved.withColumns({c: (F.col(c) - m) / s for c, (m, s) in scale.items()})
+    means = z.join(segment, "CustomerID").groupBy("c_mktsegment").agg(*[F.avg(c).alias(c) for c in FEATURES])
+    centers = [[float(r[c]) for c in FEATURES] for r in means.orderBy("c_mktsegment").collect()]
+    return SegmentModel(FEATURES, FIXED_LAMBDAS, {}, scale, centers)
+
+
+def stream_labels_given(spark, sf):
+    """Segments kept by a stream over files of lines, under a given model."""
+    folder = staging_path(spark, "stream")
+    for number, batch in enumerate(_batches(spark, sf)):
+        batch.coalesce(1).write.parquet(f"{folder}/in-{number}")
+    given_model(spark, sf).save(spark, f"{folder}/model")
+    state = FeatureState(spark, f"{folder}/state", buckets=8)
+    schema = spark.read.parquet(f"{folder}/in-0").schema
+    scoring.follow(
+        spark, f"{folder}/in-*", state, f"{folder}/model", f"{folder}/labels",
+        f"{folder}/checkpoint", schema=schema, files_per_batch=1,
+    ).awaitTermination()
+    return rounded(scoring.current_labels(spark, f"{folder}/labels"), ["distance_sq"])
+
+
 def confusion_total(spark, sf):
     cells = surrogate_confusion(spark, sf)
     return cells.groupBy("k").agg(
@@ -635,6 +728,14 @@ def shap_total(spark, sf):
 
 
 QUERIES = {
+    "spend_curve": spend_curve,
+    "spend_concentration": spend_concentration,
+    "feature_correlation": feature_correlation,
+    "kmeans_starts": kmeans_starts,
+    "kmeans_stability": kmeans_stability,
+    "rand_index_given": rand_index_given,
+    "state_features": state_features,
+    "stream_labels_given": stream_labels_given,
     "cluster_sizes_total": cluster_sizes_total,
     "kmeans_check": kmeans_check,
     "pca_check": pca_check,

@@ -218,6 +218,65 @@ def elbow(spark, fits: dict[int, KMeansFit]) -> DataFrame:
     return spark.createDataFrame(rows, "k int, inertia double")
 
 
+def adjusted_rand(labels: DataFrame, a: str, b: str, groups: list[str]) -> DataFrame:
+    """``groups``, rows and ``ari``: agreement of two labels of the same rows, corrected for chance.
+
+    From the counts of label pairs, which are as many as there are clusters times clusters. Two
+    labelings that both have one cluster, or one per row, agree wholly.
+    """
+    cells = labels.groupBy(*groups, a, b).agg(F.count(F.lit(1)).cast("double").alias("n"))
+    by_a = cells.groupBy(*groups, a).agg(F.sum("n").alias("n"))
+    by_b = cells.groupBy(*groups, b).agg(F.sum("n").alias("n"))
+
+    def pairs(name: str) -> Column:
+        return F.sum(F.col("n") * (F.col("n") - 1) / 2).alias(name)
+
+    together = cells.groupBy(*groups).agg(pairs("both"), F.sum("n").alias("rows"))
+    found = together.join(by_a.groupBy(*groups).agg(pairs("in_a")), groups)
+    found = found.join(by_b.groupBy(*groups).agg(pairs("in_b")), groups)
+    chance = F.try_divide(
+        F.col("in_a") * F.col("in_b"), F.col("rows") * (F.col("rows") - 1) / 2
+    )
+    most = (F.col("in_a") + F.col("in_b")) / 2
+    ari = F.coalesce(F.try_divide(F.col("both") - chance, most - chance), F.lit(1.0))
+    return found.select(*groups, F.col("rows").cast("bigint").alias("rows"), ari.alias("ari"))
+
+
+def start_costs(spark, fits: dict[int, KMeansFit]) -> DataFrame:
+    """k, start, inertia, is_chosen of every start of a scan."""
+    rows = [
+        (k, start, float(cost), model is fit.model)
+        for k, fit in fits.items()
+        for start, (cost, model) in enumerate(fit.starts)
+    ]
+    return spark.createDataFrame(rows, "k int, start int, inertia double, is_chosen boolean")
+
+
+def stability(scaled: DataFrame, fits: dict[int, KMeansFit]) -> DataFrame:
+    """k, start_a, start_b, ari: agreement between the starts of each k, start_a < start_b.
+
+    One pass labels every row by all models; only counts of label pairs are shuffled.
+    """
+    columns = next(iter(fits.values())).columns
+    labelled, pairs = with_vector(scaled, columns).select("vector"), []
+    for k, fit in fits.items():
+        for start, (_, model) in enumerate(fit.starts):
+            name = f"_{k}_{start}"
+            labelled = model.copy({model.predictionCol: name}).transform(labelled)
+            pairs += [(k, other, start) for other in range(start)]
+    cells = F.array(
+        *[
+            F.struct(
+                F.lit(k).alias("k"), F.lit(i).alias("start_a"), F.lit(j).alias("start_b"),
+                F.col(f"_{k}_{i}").alias("a"), F.col(f"_{k}_{j}").alias("b"),
+            )
+            for k, i, j in pairs
+        ]
+    )
+    found = labelled.select(F.inline(cells))
+    return adjusted_rand(found, "a", "b", ["k", "start_a", "start_b"]).drop("rows")
+
+
 def k_selection(
     scaled: DataFrame, fits: dict[int, KMeansFit], metric: str = "euclidean"
 ) -> DataFrame:

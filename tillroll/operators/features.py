@@ -19,7 +19,20 @@ def customer_features(clean: DataFrame) -> DataFrame:
     Averages "per invoice" and "per stock" run over the customer's distinct invoices or
     stock codes. The two counts among them are lines per stock and lines per invoice.
     """
-    pairs = (
+    return features_of_sums(partial_sums(clean))
+
+
+# The sums that lines of one (customer, invoice) or (customer, stock) pair collapse to.
+SUMS = ["lines", "quantity", "price", "prices", "total", "totals"]
+PAIR = ["CustomerID", "is_invoice", "InvoiceNo", "StockCode"]
+
+
+def partial_sums(clean: DataFrame) -> DataFrame:
+    """PAIR and SUMS: one row per (customer, invoice) and one per (customer, stock) pair.
+
+    Sums of different lines may be added up pair by pair.
+    """
+    return (
         clean.filter(F.col("CustomerID").isNotNull())
         .groupingSets(
             [["CustomerID", "InvoiceNo"], ["CustomerID", "StockCode"]],
@@ -36,7 +49,12 @@ def customer_features(clean: DataFrame) -> DataFrame:
             F.sum("TotalPrice").alias("total"),
             F.count("TotalPrice").alias("totals"),
         )
+        .select(*PAIR, *SUMS)
     )
+
+
+def features_of_sums(pairs: DataFrame) -> DataFrame:
+    """CustomerID and the sixteen features from whole ``partial_sums``."""
     every_invoice = F.col("is_invoice") == 1
     invoice = every_invoice & F.col("InvoiceNo").isNotNull()
     stock = ~every_invoice & F.col("StockCode").isNotNull()

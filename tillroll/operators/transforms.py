@@ -204,17 +204,7 @@ def standardize(features: DataFrame, columns: list[str] = FEATURES) -> DataFrame
     A variance within rounding error of a constant column's counts as constant. The
     statistics are one row, taken as a scalar subquery.
     """
-
-    def scale(c: str) -> Column:
-        n, var = F.count(c).cast("double"), F.var_pop(c)
-        noise = n * EPSILON * var + F.pow(n * EPSILON * F.avg(c), F.lit(2.0))
-        return F.when(var <= noise, 1.0).otherwise(F.sqrt(var))
-
-    stats = features.agg(
-        F.struct(
-            *[F.struct(F.avg(c).alias("mean"), scale(c).alias("std")).alias(c) for c in columns]
-        )
-    ).scalar()
+    stats = features.agg(_scale(columns)).scalar()
     others = [c for c in features.columns if c not in columns]
     with_stats = features.select(*features.columns, stats.alias("_stats"))
     z = {
@@ -225,3 +215,22 @@ def standardize(features: DataFrame, columns: list[str] = FEATURES) -> DataFrame
         for c in columns
     }
     return with_stats.select(*others, *[z[c].alias(c) for c in columns])
+
+
+def fit_scale(features: DataFrame, columns: list[str] = FEATURES) -> dict[str, tuple[float, float]]:
+    """Mean and standard deviation of each column, as ``standardize`` uses them."""
+    row = features.agg(_scale(columns).alias("stats")).first().stats
+    return {c: (row[c].mean, row[c].std) for c in columns}
+
+
+def _scale(columns: list[str]) -> Column:
+    """One struct with mean and std of each column."""
+
+    def scale(c: str) -> Column:
+        n, var = F.count(c).cast("double"), F.var_pop(c)
+        noise = n * EPSILON * var + F.pow(n * EPSILON * F.avg(c), F.lit(2.0))
+        return F.when(var <= noise, 1.0).otherwise(F.sqrt(var))
+
+    return F.struct(
+        *[F.struct(F.avg(c).alias("mean"), scale(c).alias("std")).alias(c) for c in columns]
+    )

@@ -239,7 +239,8 @@ class _Memo:
     def lay(self, tokens: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids of ``tokens`` and how many each has."""
         numbers = np.fromiter(map(self.number.__getitem__, tokens), np.int64, len(tokens))
-        bounds, ids = np.array(self.bounds), np.array(self.ids)
+        # Views; they end with this call, before the pool grows again.
+        bounds, ids = np.frombuffer(self.bounds, np.int64), np.frombuffer(self.ids, np.int32)
         sizes = bounds[numbers + 1] - bounds[numbers]
         return ids[_laid(bounds[numbers], sizes)], sizes
 

@@ -174,13 +174,18 @@ def repeated_shingles(df: DataFrame, text: str) -> np.ndarray:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler, seen, held, size = Shingler(), set(), [], 0
+        give_back()  # what an earlier stage left in this worker
+        shingler, seen, size = Shingler(), set(), 0
+        held = np.empty(COUNTED, _U)  # filled and sorted in place
 
         def count() -> pa.RecordBatch:
-            found, n = np.unique(np.concatenate([np.zeros(0, _U), *held]), return_counts=True)
+            own = held[:size]
+            own.sort()
+            firsts = np.flatnonzero(np.append(size > 0, own[1:] != own[:-1])[:size])
+            n = np.diff(np.append(firsts, size))
             often = n >= REPEATED
             return pa.RecordBatch.from_arrays(
-                [pa.array(found[often].view(np.int64)), pa.array(n[often].astype(np.int64))],
+                [pa.array(own[firsts[often]].view(np.int64)), pa.array(n[often].astype(np.int64))],
                 names=["shingle", "n"],
             )
 
@@ -189,11 +194,14 @@ def repeated_shingles(df: DataFrame, text: str) -> np.ndarray:
                 of, shingle = shingler.sets(texts)
                 marks = list(zip(*(x.tolist() for x in _set_digests(of, shingle, len(texts)))))
                 new = np.array([not (m in seen or seen.add(m)) for m in marks], bool)
-                held.append(shingle[new[of]])
-                size += len(held[-1])
-                if size > COUNTED:
+                fresh = shingle[new[of]]
+                if size + len(fresh) > len(held):
                     yield count()
-                    seen, held, size = set(), [], 0
+                    seen, size = set(), 0
+                    if len(fresh) > len(held):
+                        held = np.empty(len(fresh), _U)
+                held[size : size + len(fresh)] = fresh
+                size += len(fresh)
         yield count()
         del seen, held
         give_back()

@@ -114,6 +114,7 @@ def _features(rows: DataFrame) -> DataFrame:
     """Grade and feature list of each row (grade, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()  # what an earlier stage left in this worker
         hasher = FeatureHasher()
         for batch in batches:
             lists = [np.sort(hasher(t.as_py())).astype(np.int32) for t in batch.column(1)]
@@ -338,6 +339,7 @@ def score(df: DataFrame, model: QualityModel, text: str = "text", tail: int = 1)
     shared = df.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()
         own, hasher = shared.value, FeatureHasher()
         weights = own.dense()
         for batch in batches:

@@ -25,6 +25,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from tillroll.llm.common import give_back
+
 MAX_VOCABULARY = 1_000_000
 _ID_BITS = 20
 #: Texts are handed on after so many characters.
@@ -245,10 +247,7 @@ class _Memo:
         return ids[_laid(bounds[numbers], sizes)], sizes
 
 
-def encode(df: DataFrame, vocabulary: Vocabulary, text: str = "text", out: str = "ids"):
-    """``df`` with the list of token ids of each whole text."""
-    shared = df.sparkSession.sparkContext.broadcast(vocabulary)
-
+def _encoder(shared, text: str, out: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
         for batch in batches:
@@ -268,13 +267,10 @@ def encode(df: DataFrame, vocabulary: Vocabulary, text: str = "text", out: str =
                 ids = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values))
                 yield _with_column(part, out, ids)
 
-    return df.mapInArrow(run, _schema(df, out, T.ArrayType(T.IntegerType())))
+    return run
 
 
-def decode(df: DataFrame, vocabulary: Vocabulary, ids: str = "ids", out: str = "decoded"):
-    """``df`` with the bytes that each list of ids stands for."""
-    shared = df.sparkSession.sparkContext.broadcast(vocabulary)
-
+def _decoder(shared, ids: str, out: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ranks = shared.value.ranks
         size_of = np.zeros(max(ranks.values()) + 1, np.int64)
@@ -300,4 +296,38 @@ def decode(df: DataFrame, vocabulary: Vocabulary, ids: str = "ids", out: str = "
                 )
                 yield _with_column(part, out, texts)
 
-    return df.mapInArrow(run, _schema(df, out, T.BinaryType()))
+    return run
+
+
+def encode(df: DataFrame, vocabulary: Vocabulary, text: str = "text", out: str = "ids"):
+    """``df`` with the list of token ids of each whole text."""
+    shared = df.sparkSession.sparkContext.broadcast(vocabulary)
+    return df.mapInArrow(
+        _encoder(shared, text, out), _schema(df, out, T.ArrayType(T.IntegerType()))
+    )
+
+
+def decode(df: DataFrame, vocabulary: Vocabulary, ids: str = "ids", out: str = "decoded"):
+    """``df`` with the bytes that each list of ids stands for."""
+    shared = df.sparkSession.sparkContext.broadcast(vocabulary)
+    return df.mapInArrow(_decoder(shared, ids, out), _schema(df, out, T.BinaryType()))
+
+
+def round_trip(
+    df: DataFrame,
+    vocabulary: Vocabulary,
+    text: str = "text",
+    ids: str = "ids",
+    out: str = "decoded",
+):
+    """``decode(encode(df))`` in one Python call, so that a task needs one worker and not two."""
+    shared = df.sparkSession.sparkContext.broadcast(vocabulary)
+    there, back = _encoder(shared, text, ids), _decoder(shared, ids, out)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()
+        yield from back(there(batches))
+
+    coded = _schema(df, ids, T.ArrayType(T.IntegerType()))
+    kept = [f for f in coded.fields if f.name != out]
+    return df.mapInArrow(run, T.StructType([*kept, T.StructField(out, T.BinaryType())]))

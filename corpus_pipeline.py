@@ -89,7 +89,7 @@ def encoded_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     vocabulary = bpe.Vocabulary.read(
         public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
     )
-    coded = bpe.decode(bpe.encode(docs, vocabulary), vocabulary)
+    coded = bpe.round_trip(docs, vocabulary)
     same = F.col("decoded") == F.coalesce("text", F.lit("")).cast("binary")
     fault = F.concat(F.lit("ids do not give back document "), F.coalesce("doc_id", F.lit(-1)))
     ids = F.when(same, F.col("ids")).otherwise(F.raise_error(fault).cast("array<int>"))

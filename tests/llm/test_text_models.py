@@ -359,7 +359,7 @@ def test_most_frequent_rows(spark):
 # ---- language-model scores -------------------------------------------------------------------
 
 
-SMALL = lm.Settings(listed=7, class_words=4, tail_classes=3, known=12, hidden=4, rounds=2,
+SMALL = lm.Settings(listed=7, classes=4, tail_classes=3, known=12, hidden=4, rounds=2,
                     train_lanes=4, train_steps=20, lanes=3, window=5)
 
 
@@ -395,8 +395,7 @@ def test_probabilities_sum_to_one(spark):
     every = np.arange(len(lexicon.place) + SMALL.tail_classes, dtype=np.int32)
     state = np.random.default_rng(1).normal(size=(1, 4)).astype(np.float32)
     found, _ = network.log_probability(np.repeat(state, len(every), axis=0), every)
-    padding = network.word_classes * network.size - len(lexicon.place)
-    assert padding >= 0 and np.exp(found).sum() == pytest.approx(1, abs=1e-4)
+    assert network.words[-1] == len(lexicon.place) and np.exp(found).sum() == pytest.approx(1, abs=1e-4)
     sums = collections.Counter()
     for row in counts.collect():
         if row.word not in lexicon.place:
@@ -409,7 +408,10 @@ def test_every_known_word_is_in_the_softmax(spark):
     df = spark.createDataFrame([(t,) for t in texts], "text string")
     chosen = lm.Settings()
     lexicon = lm.read_lexicon(lm.count_words(df, chosen), chosen)
-    assert chosen.listed == chosen.known - 1 and chosen.class_words**2 == chosen.known
+    assert chosen.listed == chosen.known - 1
+    network = lm.Network(lexicon)
+    assert network.words[-1] == 3001 and network.classes[-1] == len(network.words) - 1
+    assert (np.diff(network.words) > 0).all() and (np.diff(network.classes) > 0).all()
     assert set(lexicon.place) == set(lexicon.counts) and len(lexicon.place) == 3001
     reader = lm.Reader(lexicon)
     assert len(set(reader.tokens(reader.codes(lm.words_of(texts[0]))).tolist())) == 3001

@@ -2,19 +2,21 @@
 
 Tokens are the words of the text between ASCII white space, A-Z lower-cased, and one end token.
 Word counts are taken over all training texts. The commonest ``listed`` words and the end token are
-listed words, dealt by frequency into classes of ``class_words``; every other word, seen or not,
-belongs to one of ``tail_classes`` tail classes by its first letters. The network reads the token before
-(or its tail class) and gives the class of the next token by one softmax and a listed word by a
-second softmax inside its class; inside a tail class a word has the probability
-(count + 1) / (counts + words + 1) of that class, so one unseen word is provided for.
+listed words; in the order of their counts they are cut into ``classes`` of equal sums of the square
+root of the count, so common words are in small classes and rare ones in large, and the classes are
+cut into groups in the same way. Every other word, seen or not, belongs to one of ``tail_classes``
+tail classes by its first letters. The network reads the token before (or its tail class) and gives
+the group or tail class of the next token by one softmax, the class of a listed word by a second
+inside its group and the word by a third inside its class; inside a tail class a word has the
+probability (count + 1) / (counts + words + 1) of that class, so one unseen word is provided for.
 
-All known words are listed by default, in classes of about the square root of their number.
+All known words are listed by default.
 
 Training is truncated backpropagation in numpy. A step changes the rows that its window read and the
 classes that it gave. Every training document is read once, in ``rounds`` parts; in each part at
-most one task per core starts from the same weights, and the weights are averaged over tasks by
-their tokens, in blocks. Documents go through lanes with the state carried over all windows of
-a document, in training as in scoring, so a text of any length is scored whole.
+most one task per core starts from the same weights, and the changes, in half precision, are averaged
+over tasks by their tokens, in blocks. Documents go through lanes with the state carried over all
+windows of a document, in training as in scoring, so a text of any length is scored whole.
 
 Counts of the ``known`` commonest words are broadcast (a fixed number of rows); the counts of
 all other words are joined. Words are compared by their 64-bit digests.
@@ -49,10 +51,10 @@ _LOGIT = 60.0
 #: Tokens that a task holds at once.
 HELD_TOKENS = 5_000_000
 #: Tokens whose output probabilities are taken together in scoring.
-OUTPUT_TOKENS = 8192
-#: Tokens whose outputs are worked on at once, and classes whose weights are, to stay in the cache.
+OUTPUT_TOKENS = 1 << 16
+#: Tokens whose outputs are worked on at once, and words whose weights are, to stay in the cache.
 CACHED_TOKENS = 512
-CACHED_CLASSES = 8
+CACHED_WORDS = 4096
 #: Weights are averaged in blocks of so many.
 BLOCK_WEIGHTS = 1 << 15
 
@@ -60,16 +62,16 @@ BLOCK_WEIGHTS = 1 << 15
 @dataclass(frozen=True)
 class Settings:
     listed: int = 65_535
-    class_words: int = 256
+    classes: int = 192
     tail_classes: int = 16
     known: int = 65_536
     hidden: int = 16
     rounds: int = 3
     rate: float = 0.01
-    train_lanes: int = 512
+    train_lanes: int = 2048
     train_window: int = 16
     train_steps: int = 150
-    lanes: int = 256
+    lanes: int = 512
     window: int = 32
     seed: int = 5
 
@@ -141,9 +143,19 @@ class Lexicon:
     def base_total(self) -> int:
         return self.tokens + self.types + 1
 
-    @property
-    def classes(self) -> int:
-        return -(-len(self.place) // self.settings.class_words)
+    def mass(self) -> np.ndarray:
+        """count + 1 of the listed words, in their order."""
+        found = np.empty(len(self.place))
+        for word, at in self.place.items():
+            found[at] = self.counts.get(word, 0) + 1
+        return found
+
+
+def cut(mass: np.ndarray, parts: int) -> np.ndarray:
+    """Bounds of at most ``parts`` runs with nearly equal sums of the square root of ``mass``."""
+    marks = np.cumsum(np.sqrt(mass))
+    inner = np.searchsorted(marks, marks[-1] * np.arange(1, parts) / parts)
+    return np.unique(np.concatenate([[0], inner, [len(mass)]]))
 
 
 def read_lexicon(counts: DataFrame, settings: Settings) -> Lexicon:
@@ -177,51 +189,62 @@ class Network:
     """Weights in one flat vector with views; tokens are listed words, then tail classes."""
 
     def __init__(self, lexicon: Lexicon, flat: np.ndarray | None = None):
-        s = lexicon.settings
-        self.hidden, self.size = s.hidden, s.class_words
-        self.word_classes, self.listed = lexicon.classes, len(lexicon.place)
-        outputs = self.word_classes + s.tail_classes
-        shapes = {
-            "read": (self.listed + s.tail_classes, 3 * s.hidden),
+        s, mass = lexicon.settings, lexicon.mass()
+        self.hidden, self.listed = s.hidden, len(mass)
+        #: Words of each class, classes of each group.
+        self.words = cut(mass, s.classes)
+        class_mass = np.add.reduceat(mass, self.words[:-1])
+        self.classes = cut(class_mass, max(1, round(len(class_mass) ** 0.5)))
+        self.class_of = np.repeat(np.arange(len(class_mass)), np.diff(self.words))
+        self.group_of = np.repeat(np.arange(len(self.classes) - 1), np.diff(self.classes))
+        outputs = len(self.classes) - 1 + s.tail_classes
+        self.shapes = {
+            "read": (self.listed + s.tail_classes, s.hidden),
+            "into": (s.hidden, 3 * s.hidden),
             "carry": (s.hidden, 3 * s.hidden),
-            "class_w": (s.hidden, outputs),
-            "class_b": (outputs,),
-            "word_w": (self.word_classes, s.hidden, s.class_words),
-            "word_b": (self.word_classes, s.class_words),
+            "group_w": (outputs, s.hidden),
+            "group_b": (outputs,),
+            "class_w": (len(class_mass), s.hidden),
+            "class_b": (len(class_mass),),
+            "word_w": (self.listed, s.hidden),
+            "word_b": (self.listed,),
         }
-        sizes = {k: int(np.prod(v)) for k, v in shapes.items()}
-        self.flat = np.zeros(sum(sizes.values()), np.float32) if flat is None else flat
-        start = 0
-        for name, shape in shapes.items():
-            setattr(self, name, self.flat[start : start + sizes[name]].reshape(shape))
-            start += sizes[name]
+        size = sum(int(np.prod(v)) for v in self.shapes.values())
+        self._lay(np.zeros(size, np.float32) if flat is None else flat)
         if flat is None:
-            self._start(lexicon)
+            self._start(lexicon, mass, class_mass)
 
-    def _start(self, lexicon: Lexicon) -> None:
+    def _lay(self, flat: np.ndarray) -> None:
+        self.flat, start = flat, 0
+        for name, shape in self.shapes.items():
+            size = int(np.prod(shape))
+            setattr(self, name, flat[start : start + size].reshape(shape))
+            start += size
+
+    def _start(self, lexicon: Lexicon, mass: np.ndarray, class_mass: np.ndarray) -> None:
         """Small random weights; the biases give the counted frequencies."""
         rng = np.random.default_rng(lexicon.settings.seed)
-        for view, scale in ((self.read, 0.3), (self.carry, 0.3), (self.class_w, 0.05), (self.word_w, 0.05)):
+        scales = {"read": 0.3, "into": self.hidden**-0.5, "carry": 0.3, "group_w": 0.05, "class_w": 0.05, "word_w": 0.05}
+        for name, scale in scales.items():
+            view = getattr(self, name)
             view[:] = rng.standard_normal(view.shape) * scale
-        counts = np.zeros(self.word_classes * self.size)
         tails = np.zeros(self.listed, np.int64)
         for word, at in lexicon.place.items():
-            counts[at] = lexicon.counts.get(word, 0) + 1
             tails[at] = lexicon.tail_of.get(word, -1)
         # A rare word is read nearly as its tail class is; training takes it from there.
-        seldom = np.where(tails < 0, 0, 100 / (99 + counts[: self.listed])).astype(np.float32)[:, None]
+        seldom = np.where(tails < 0, 0, 100 / (99 + mass)).astype(np.float32)[:, None]
         words = self.read[: self.listed]
         words += seldom * (self.read[self.listed + tails] - words)
-        counts = counts.reshape(self.word_classes, self.size)
-        mass = np.concatenate([counts.sum(axis=1), lexicon.tail_sums])
-        self.class_b[:] = np.log(mass / mass.sum())
-        with np.errstate(divide="ignore"):
-            logs = np.log(counts / counts.sum(axis=1, keepdims=True))
-        self.word_b[:] = np.where(counts > 0, logs, -_LOGIT)
+        group_mass = np.add.reduceat(class_mass, self.classes[:-1])
+        outputs = np.concatenate([group_mass, lexicon.tail_sums])
+        self.group_b[:] = np.log(outputs / outputs.sum())
+        self.class_b[:] = np.log(class_mass / group_mass[self.group_of])
+        self.word_b[:] = np.log(mass / class_mass[self.class_of])
 
     def steps(self, read: np.ndarray, fresh: np.ndarray, state: np.ndarray):
-        """States after each token. read: (steps, lanes, 3 hidden); fresh: first token of a text."""
-        h = self.hidden
+        """States after each token. read: (steps, lanes, hidden); fresh: first token of a text."""
+        h, rows = self.hidden, read
+        read = rows @ self.into
         states, kept = np.empty((*read.shape[:2], h), np.float32), []
         going = (~fresh).astype(np.float32)[:, :, None]
         for t in range(len(read)):
@@ -232,47 +255,57 @@ class Network:
             new = np.tanh(read[t, :, 2 * h :] + reset * carried[:, 2 * h :])
             kept.append((state, carried[:, 2 * h :], hold, reset, new))
             state = states[t] = new + hold * (state - new)
-        return states, state, kept
+        return states, state, (rows, kept)
 
     def log_probability(self, states: np.ndarray, tokens: np.ndarray, grad: Network | None = None):
-        """Natural log of the class and, for a listed word, the word in its class.
+        """Natural log of the group and, for a listed word, its class and the word in its class.
 
         With ``grad`` also adds the output weights' gradients of the summed loss there and
         returns the gradient of the states.
         """
-        outputs = np.where(
-            tokens < self.listed, tokens // self.size, tokens - self.listed + self.word_classes
-        )
-        found = np.empty(len(tokens), np.float32)
-        d_states = None if grad is None else np.empty_like(states)
-        for first in range(0, len(tokens), CACHED_TOKENS):
-            here = slice(first, first + CACHED_TOKENS)
-            own = None if grad is None else (grad.class_w, grad.class_b)
-            found[here], back = _softmax(states[here], self.class_w, self.class_b, outputs[here], own)
+        groups = len(self.classes) - 1
+        classes = np.append(self.class_of, len(self.group_of))[np.minimum(tokens, self.listed)]
+        order = np.argsort(classes.astype(np.uint16), kind="stable")
+        states, tokens, classes = states[order], tokens[order], classes[order]
+        top = np.append(self.group_of, 0)[classes]
+        ends = np.searchsorted(classes, np.arange(len(self.words)))
+        top[ends[-1] :] = tokens[ends[-1] :] - self.listed + groups
+        found = np.zeros(len(tokens), np.float32)
+        back = None if grad is None else np.zeros_like(states)
+        whole = np.array([0, len(self.group_b)])
+        for name, picked, parts, at in (
+            ("group", top, whole, np.array([0, len(tokens)])),
+            ("class", classes, self.classes, ends[self.classes]),
+            ("word", tokens, self.words, ends),
+        ):
+            self._inside(name, states, picked, parts, at, found, grad, back)
+        given = np.empty_like(found)
+        given[order] = found
+        if grad is None:
+            return given, None
+        d_states = np.empty_like(states)
+        d_states[order] = back
+        return given, d_states
+
+    def _inside(self, name, states, picked, parts, at, found, grad, back) -> None:
+        """Adds what the picked outputs have among those of their part; rows at[i] to at[i + 1] are in part i."""
+        w, b = getattr(self, f"{name}_w"), getattr(self, f"{name}_b")
+        for part in np.flatnonzero(np.diff(at)).tolist():
+            of, own = slice(parts[part], parts[part + 1]), None
+            if of.stop - of.start == 1:
+                continue
             if grad is not None:
-                d_states[here] = back
-        order = np.argsort(outputs, kind="stable")
-        ends = np.searchsorted(outputs[order], np.arange(self.word_classes + 1)).tolist()
-        sorted_states, words = states[order], (tokens - outputs * self.size)[order]
-        added = np.zeros(len(tokens), np.float32)
-        d_sorted = None if grad is None else np.zeros_like(states)
-        for c in range(self.word_classes):
-            own = None if grad is None else (grad.word_w[c], grad.word_b[c])
-            for first in range(ends[c], ends[c + 1], CACHED_TOKENS):
-                here = slice(first, min(first + CACHED_TOKENS, ends[c + 1]))
-                added[here], back = _softmax(
-                    sorted_states[here], self.word_w[c], self.word_b[c], words[here], own
-                )
-                if grad is not None:
-                    d_sorted[here] = back
-        found[order] += added
-        if grad is not None:
-            d_states[order] += d_sorted
-        return found, d_states
+                own = getattr(grad, f"{name}_w")[of], getattr(grad, f"{name}_b")[of]
+            for first in range(at[part], at[part + 1], CACHED_TOKENS):
+                here = slice(first, min(first + CACHED_TOKENS, at[part + 1]))
+                logs, slope = _softmax(states[here], w[of], b[of], picked[here] - of.start, own)
+                found[here] += logs
+                if back is not None:
+                    back[here] += slope
 
     def backward(self, kept, d_states: np.ndarray, fresh: np.ndarray, grad: Network) -> np.ndarray:
-        """Gradient of what was read, through all steps of a window; adds to grad.carry."""
-        h = self.hidden
+        """Gradient of what was read, through all steps of a window; adds to grad.carry and grad.into."""
+        h, (rows, kept) = self.hidden, kept
         d_read = np.empty((*d_states.shape[:2], 3 * h), np.float32)
         back = np.zeros_like(d_states[0])
         going = (~fresh).astype(np.float32)[:, :, None]
@@ -288,15 +321,17 @@ class Network:
             through[:, 2 * h :] *= reset
             grad.carry += state.T @ through
             back = (back * hold + through @ self.carry.T) * going[t]
-        return d_read
+        grad.into += rows.reshape(-1, h).T @ d_read.reshape(-1, 3 * h)
+        return d_read @ self.into.T
 
 
 def _softmax(states: np.ndarray, w: np.ndarray, b: np.ndarray, picked: np.ndarray, grad=None):
     """Log-probability of the picked output of each row, and with ``grad`` the slope of the states."""
     rows = np.arange(len(picked))
-    p = states @ w
+    p = states @ w.T
     p += b
-    np.clip(p, -_LOGIT, _LOGIT, out=p)  # cheaper than a maximum per row
+    np.minimum(p, _LOGIT, out=p)  # cheaper than a maximum per row
+    np.maximum(p, -_LOGIT, out=p)
     found = p[rows, picked]
     np.exp(p, out=p)
     total = p @ np.ones(p.shape[1], np.float32)
@@ -305,9 +340,9 @@ def _softmax(states: np.ndarray, w: np.ndarray, b: np.ndarray, picked: np.ndarra
         return found, None
     p *= (1 / total)[:, None]
     p[rows, picked] -= 1
-    grad[0][:] += states.T @ p
+    grad[0][:] += p.T @ states
     grad[1][:] += np.ones(len(p), np.float32) @ p
-    return found, p @ w.T
+    return found, p @ w
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -377,29 +412,42 @@ class Adam:
         self.m, self.v = (_view(network, np.zeros_like(network.flat)) for _ in range(2))
         self.rate, self.t = rate, 0
 
-    def step(self, network: Network, grad: Network, count: int, weight: float, read, classes) -> None:
-        """A step of ``weight`` times the rate, less where the window is not full.
+    def step(self, network: Network, grad: Network, count: int, weight: float, read, slope, classes) -> None:
+        """A step of ``weight`` times the rate, less where the window is not full; empties ``grad``.
 
-        The larger floor under the output weights, a share of the slope of one token, keeps the
-        steps of outputs that a window does not hold in proportion to their small slopes.
+        ``slope`` is that of the rows ``read``, of which the window took each; ``classes`` are those
+        of its words. The larger floor under the output weights, a share of the slope of one token,
+        keeps the steps of outputs that a window does not hold in proportion to their small slopes.
         """
         self.t += 1
         floor = 0.3 / count
-        parts = [("carry", ..., 1e-6), ("class_w", ..., floor), ("class_b", ..., floor), ("read", read, 1e-6)]
-        for first in range(0, len(classes), CACHED_CLASSES):
-            own = classes[first : first + CACHED_CLASSES]
-            parts += [("word_w", own, floor), ("word_b", own, floor)]
+        parts = [("into", ..., 1e-6), ("carry", ..., 1e-6)]
+        parts += [(name, ..., floor) for name in ("group_w", "group_b", "class_w", "class_b")]
+        bounds = network.words
+        for run in np.split(classes, np.flatnonzero(np.diff(classes) > 1) + 1) if len(classes) else []:
+            last = bounds[run[-1] + 1]
+            for first in range(bounds[run[0]], last, CACHED_WORDS):
+                own = slice(first, min(first + CACHED_WORDS, last))
+                parts += [("word_w", own, floor), ("word_b", own, floor)]
         for name, at, least in parts:
-            g, m, v = (getattr(x, name)[at] for x in (grad, self.m, self.v))
-            m = m + 0.1 * (g - m)
-            v = v + 0.01 * (g * g - v)
-            getattr(self.m, name)[at], getattr(self.v, name)[at] = m, v
-            m *= weight * self.rate / (1 - 0.9**self.t)
-            v /= 1 - 0.99**self.t
-            np.sqrt(v, out=v)
-            v += least
-            m /= v
-            getattr(network, name)[at] -= m
+            w, g, m, v = (getattr(x, name)[at] for x in (network, grad, self.m, self.v))
+            g *= 1 / count
+            w -= self._move(g, m, v, least, weight)
+            g[...] = 0
+        m, v = self.m.read[read], self.v.read[read]
+        network.read[read] -= self._move(slope / count, m, v, 1e-6, weight)
+        self.m.read[read], self.v.read[read] = m, v
+
+    def _move(self, g, m, v, least: float, weight: float) -> np.ndarray:
+        """Takes ``g`` into the moments, in place, and gives the step."""
+        m += np.float32(0.1) * (g - m)
+        v += np.float32(0.01) * (g * g - v)
+        size = v * np.float32(1 / (1 - 0.99**self.t))
+        np.sqrt(size, out=size)
+        size += np.float32(least)
+        np.divide(m, size, out=size)
+        size *= np.float32(weight * self.rate / (1 - 0.9**self.t))
+        return size
 
 
 def train_texts(network: Network, adam: Adam, texts: list[np.ndarray], settings: Settings, end: int):
@@ -424,8 +472,7 @@ def train_texts(network: Network, adam: Adam, texts: list[np.ndarray], settings:
     before = lay(np.where(starts, end, np.roll(stream, 1)), end)
     state = np.zeros((lanes, settings.hidden), np.float32)
     fresh[0] = True
-    grad_flat = np.zeros_like(network.flat)
-    grad = _view(network, grad_flat)
+    grad = _view(network, np.zeros_like(network.flat))
     for start in range(0, steps, window):
         here = slice(start, start + window)
         states, state, kept = network.steps(network.read[before[here]], fresh[here], state)
@@ -437,45 +484,45 @@ def train_texts(network: Network, adam: Adam, texts: list[np.ndarray], settings:
         at = before[here].ravel()
         order = np.argsort(at, kind="stable")
         firsts = np.flatnonzero(np.diff(at[order], prepend=-1))
-        grad.read[at[order][firsts]] += np.add.reduceat(d_read.reshape(len(at), -1)[order], firsts)
-        count = max(1, int(ok.sum()))
-        given = tokens[here][ok]
-        rows, classes = at[order][firsts], np.unique(given[given < network.listed] // network.size)
-        touched = [(grad.carry, ...), (grad.class_w, ...), (grad.class_b, ...),
-                   (grad.read, rows), (grad.word_w, classes), (grad.word_b, classes)]
-        for part, own in touched:
-            part[own] /= count
-        adam.step(network, grad, count, count / ok.size, rows, classes)
-        for part, own in touched:
-            part[own] = 0
+        slope = np.add.reduceat(d_read.reshape(len(at), -1)[order], firsts)
+        count, given = max(1, int(ok.sum())), tokens[here][ok]
+        classes = np.unique(network.class_of[given[given < network.listed]])
+        adam.step(network, grad, count, count / ok.size, at[order][firsts], slope, classes)
 
 
 def _view(network: Network, flat: np.ndarray) -> Network:
     """A network with the same shapes over another vector."""
     other = object.__new__(Network)
-    other.__dict__.update({k: v for k, v in network.__dict__.items() if k != "flat"})
-    other.flat, start = flat, 0
-    for name in ("read", "carry", "class_w", "class_b", "word_w", "word_b"):
-        own = getattr(network, name)
-        setattr(other, name, flat[start : start + own.size].reshape(own.shape))
-        start += own.size
+    other.__dict__.update(network.__dict__)
+    other._lay(flat)
     return other
 
 
 # ---- on Spark --------------------------------------------------------------------------------
 
 
-class Reader:
-    """Codes of words: the rank of a known word, -1 - (tail class) of any other.
+class _Codes(dict):
+    """Codes of words, found once; emptied when it holds MEMO_ENTRIES words."""
+
+    def __init__(self, rank: dict[int, int], tails: int):
+        super().__init__()
+        self.rank, self.tails = rank, tails
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) > MEMO_ENTRIES:
+            self.clear()
+        code = self.rank.get(digest(word))
+        self[word] = code = -1 - tail_class(word, self.tails) if code is None else code
+        return code
 
-    Codes are remembered; the memory is emptied when it holds MEMO_ENTRIES words.
-    """
+
+class Reader:
+    """Codes of words: the rank of a known word, -1 - (tail class) of any other."""
 
     def __init__(self, lexicon: Lexicon):
         self.tails = lexicon.settings.tail_classes
         known = list(lexicon.counts)
-        self.rank = {w: i for i, w in enumerate(known)}
-        self.memo: dict[bytes, int] = {}
+        self.memo = _Codes({w: i for i, w in enumerate(known)}, self.tails)
         listed = len(lexicon.place)
         #: Token of each known word, then of the tail classes from the back.
         self.token = np.array(
@@ -490,17 +537,7 @@ class Reader:
         )
 
     def codes(self, words: list[bytes]) -> np.ndarray:
-        found = list(map(self.memo.get, words))
-        if None in found:
-            if len(self.memo) > MEMO_ENTRIES:
-                self.memo.clear()
-            for i, code in enumerate(found):
-                if code is None:
-                    word = words[i]
-                    rank = self.rank.get(digest(word))
-                    found[i] = -1 - tail_class(word, self.tails) if rank is None else rank
-                    self.memo[word] = found[i]
-        return np.array(found, np.int32)
+        return np.fromiter(map(self.memo.__getitem__, words), np.int32, len(words))
 
     def tokens(self, codes: np.ndarray) -> np.ndarray:
         """Tokens of the network, the end token last."""
@@ -508,14 +545,14 @@ class Reader:
 
 
 def _average(table: pa.Table) -> pa.Table:
-    """One block of weights: the mean over tasks by their tokens."""
+    """One block of changes: the mean over tasks by their tokens."""
     totals = table.column("total").to_pylist()
-    parts = [np.frombuffer(w, np.float32) for w in table.column("weights").to_pylist()]
+    parts = [np.frombuffer(w, np.float16) for w in table.column("change").to_pylist()]
     mean = sum(p.astype(float) * n for p, n in zip(parts, totals)) / sum(totals)
     return pa.table(
         {
             "block": table.column("block").slice(0, 1),
-            "weights": pa.array([mean.astype(np.float32).tobytes()], pa.binary()),
+            "change": pa.array([mean.astype(np.float32).tobytes()], pa.binary()),
         }
     )
 
@@ -547,28 +584,29 @@ def train(df: DataFrame, lexicon: Lexicon, part_of: str, text: str = "text") ->
                 total += held
             if total:
                 for block, at in enumerate(range(0, len(start), BLOCK_WEIGHTS)):
-                    part = network.flat[at : at + BLOCK_WEIGHTS]
+                    own = slice(at, at + BLOCK_WEIGHTS)
+                    part = (network.flat[own] - start[own]).astype(np.float16)
                     yield pa.RecordBatch.from_arrays(
                         [
                             pa.array([block], pa.int32()),
                             pa.array([total], pa.int64()),
                             pa.array([part.tobytes()], pa.binary()),
                         ],
-                        names=["block", "total", "weights"],
+                        names=["block", "total", "change"],
                     )
 
         rows = df.where(F.pmod(F.xxhash64(part_of), F.lit(settings.rounds)) == number).select(text)
         rows = rows.coalesce(session.sparkContext.defaultParallelism)
         parts = (
-            rows.mapInArrow(run, "block int, total bigint, weights binary")
+            rows.mapInArrow(run, "block int, total bigint, change binary")
             .groupBy("block")
-            .applyInArrow(_average, "block int, weights binary")
+            .applyInArrow(_average, "block int, change binary")
             .collect()
         )
-        if parts:
-            flat = np.concatenate(
-                [np.frombuffer(p.weights, np.float32) for p in sorted(parts, key=lambda p: p.block)]
-            )
+        shared.destroy()
+        for part in parts:
+            at = part.block * BLOCK_WEIGHTS
+            flat[at : at + BLOCK_WEIGHTS] += np.frombuffer(part.change, np.float32)
     return flat
 
 
@@ -651,6 +689,7 @@ def score(
         ),
         "lm-scores",
     )
+    shared.destroy()
     logged = F.col("n") * F.log10(F.col("c") + 1)
     rare = (
         passed.select("_row", F.explode(F.arrays_zip("_rare", "_times")).alias("r"))

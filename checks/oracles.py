@@ -638,6 +638,39 @@ points AS (
 }
 
 ORACLES |= {
+    "gap_given": query(
+        """
+given AS (
+  SELECT CAST(l_linenumber AS INTEGER) AS k, nullif(l_suppkey % 5, 0) AS draw, ln(sum(CAST(l_quantity AS DOUBLE))) AS d
+  FROM lineitem GROUP BY ALL
+), gaps AS (
+  SELECT k, avg(d) FILTER (draw IS NOT NULL) - max(d) FILTER (draw IS NULL) AS gap,
+    stddev_pop(d) FILTER (draw IS NOT NULL) * sqrt(1 + 1.0 / count(draw)) AS error
+  FROM given GROUP BY k
+), ruled AS (
+  SELECT *, gap >= lead(gap) OVER (ORDER BY k) - lead(error) OVER (ORDER BY k) AS enough FROM gaps
+)""",
+        f"""SELECT k, {r('gap', 6)} AS gap, {r('error', 6)} AS error,
+        k = coalesce(min(k) FILTER (enough) OVER (), max(k) OVER ()) AS is_chosen FROM ruled""",
+    ),
+    "bic_given": query(
+        """
+given AS (
+  SELECT CAST(l_linenumber AS INTEGER) AS k, count(*) AS rows, 3 AS columns,
+    -sum(CAST(l_quantity AS DOUBLE)) AS log_likelihood
+  FROM lineitem GROUP BY ALL
+), measured AS (
+  SELECT *, CAST(k - 1 + 3 * k + 6 * k AS BIGINT) AS parameters,
+    (k - 1 + 9 * k) * ln(rows) - 2 * log_likelihood AS bic FROM given
+)""",
+        f"""SELECT k, rows, columns, {r('log_likelihood')} AS log_likelihood, parameters, {r('bic')} AS bic,
+        row_number() OVER (ORDER BY bic, k) = 1 AS is_best FROM measured""",
+    ),
+    "mixture_check": query(
+        RAW,
+        LINES,
+        """SELECT count(DISTINCT CustomerID) AS customers, 0 AS wrong FROM lines""",
+    ),
     "spend_curve": query(
         RAW,
         LINES,

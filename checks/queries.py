@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from checks.adaptor import table, transactions
 from tillroll.functions.columns import normalize_customer_id
 from tillroll.operators import cleaning, clustering, concentration, correlation, distributions
-from tillroll.operators import features, profiles, quantiles
+from tillroll.operators import features, gap, mixture, profiles, quantiles
 from tillroll.operators import reduction, sales, shapley, silhouette, surrogate, transforms
 from tillroll.operators import rfm as rfm_ops
 from tillroll.schema import FEATURES, RADAR_AXES_6, RADAR_AXES_8
@@ -661,6 +661,63 @@ def rand_index_given(spark, sf):
     return rounded(clustering.adjusted_rand(labels, "a", "b", ["part"]), ["ari"], 6)
 
 
+# ---- number of groups ------------------------------------------------------------------------
+
+
+def gap_statistic(spark, sf):
+    """Gap, error and choice for one to five groups of the customers."""
+    scaled = scaled_table(spark, sf)
+    return gap.gap_table(gap.dispersions(scaled, range(1, 6), draws=5, n_init=1, parallelism=8))
+
+
+def gap_given(spark, sf):
+    """The gap and its rule on given dispersions: quantities by line number, a draw per supplier group."""
+    given = table(spark, sf, "lineitem").select(
+        F.col("l_linenumber").cast("int").alias("k"),
+        F.nullif(F.col("l_suppkey") % 5, F.lit(0)).cast("int").alias("draw"),
+        F.col("l_quantity").cast("double").alias("q"),
+    )
+    found = gap.gap_table(given.groupBy("k", "draw").agg(F.sum("q").alias("dispersion")))
+    return rounded(found, ["gap", "error"], 6)
+
+
+@once
+def mixture_fits(spark, sf):
+    scores = stage(pca_scores(spark, sf), "mixture-scores")
+    names = [c for c in scores.columns if c != "CustomerID"][:3]
+    return scores, mixture.fit_mixtures(scores, range(2, 6), names, parallelism=8)
+
+
+def mixture_selection(spark, sf):
+    """Likelihood and criterion of two to five components over three principal components."""
+    return mixture.mixture_selection(*mixture_fits(spark, sf))
+
+
+def mixture_memberships(spark, sf):
+    """How much of each customer belongs to each of four components."""
+    scores, fits = mixture_fits(spark, sf)
+    return fits[4].memberships(scores)
+
+
+def mixture_check(spark, sf):
+    """Customers whose memberships do not sum to 1 or leave 0 to 1."""
+    whole = mixture_memberships(spark, sf).groupBy("CustomerID").agg(
+        F.sum("probability").alias("whole"), F.min("probability").alias("least")
+    )
+    wrong = (F.abs(F.col("whole") - 1) > 1e-9) | (F.col("least") < 0)
+    return whole.agg(F.count(F.lit(1)).alias("customers"), F.count_if(wrong).alias("wrong"))
+
+
+def bic_given(spark, sf):
+    """The criterion on given likelihoods: a sum of quantities per line number."""
+    given = table(spark, sf, "lineitem").groupBy(F.col("l_linenumber").cast("int").alias("k")).agg(
+        F.count(F.lit(1)).alias("rows"),
+        F.lit(3).alias("columns"),
+        (-F.sum(F.col("l_quantity").cast("double"))).alias("log_likelihood"),
+    )
+    return rounded(mixture.bayesian_criterion(given), ["log_likelihood", "bic"])
+
+
 # ---- batches and streams ---------------------------------------------------------------------
 
 
@@ -728,6 +785,12 @@ def shap_total(spark, sf):
 
 
 QUERIES = {
+    "gap_statistic": gap_statistic,
+    "gap_given": gap_given,
+    "mixture_selection": mixture_selection,
+    "mixture_memberships": mixture_memberships,
+    "mixture_check": mixture_check,
+    "bic_given": bic_given,
     "spend_curve": spend_curve,
     "spend_concentration": spend_concentration,
     "feature_correlation": feature_correlation,

@@ -128,9 +128,10 @@ def test_round_trip_of_odd_rows(spark, odd, vocabulary, reference_coder, monkeyp
     monkeypatch.setattr(bpe, "CHUNK_CHARS", 50)
     clash = odd.withColumn("ids", F.lit("x")).withColumn("decoded", F.lit(1))
     rows = bpe.decode(bpe.encode(clash, vocabulary), vocabulary).collect()
-    at_once = bpe.round_trip(clash.withColumn("decoded", F.lit(0)), vocabulary)
-    assert sorted(map(str, at_once.collect())) == sorted(map(str, rows))
-    assert at_once.dtypes == bpe.decode(bpe.encode(clash, vocabulary), vocabulary).dtypes
+    at_once = bpe.round_trip(clash, vocabulary)
+    apart = bpe.decode(bpe.encode(clash, vocabulary), vocabulary).drop("text")
+    assert sorted(map(str, at_once.collect())) == sorted(map(str, apart.collect()))
+    assert at_once.dtypes == apart.dtypes
     assert len(rows) == len(ODD)
     for r in rows:
         assert list(r.ids) == reference_coder.encode_ordinary(r.text or "")

@@ -33,6 +33,9 @@ _ID_BITS = 20
 CHUNK_CHARS = 2_000_000
 #: Pre-tokens remembered by one worker process.
 MEMO_ENTRIES = 400_000
+#: The same for encoding and decoding in one worker, which holds the state of both.
+ROUND_TRIP_CHARS = 250_000
+ROUND_TRIP_ENTRIES = 150_000
 
 
 class PerfectHash:
@@ -247,17 +250,17 @@ class _Memo:
         return ids[_laid(bounds[numbers], sizes)], sizes
 
 
-def _encoder(shared, text: str, out: str):
+def _encoder(shared, text: str, out: str, chars: int, entries: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
         for batch in batches:
             if not batch.num_rows:
                 continue
             lengths = pa.compute.utf8_length(batch.column(text)).fill_null(0)
-            for part in _chunks(batch, lengths.to_numpy(), CHUNK_CHARS):
+            for part in _chunks(batch, lengths.to_numpy(), chars):
                 texts = [own.pre_tokens(t) if t else [] for t in part.column(text).to_pylist()]
                 tokens = list(chain.from_iterable(texts))
-                if own.memo is None or len(own.memo.number) > MEMO_ENTRIES:
+                if own.memo is None or len(own.memo.number) > entries:
                     own.memo = _Memo()
                 new = list(set(tokens).difference(own.memo.number))
                 own.memo.add(new, own.ids(new))
@@ -270,7 +273,7 @@ def _encoder(shared, text: str, out: str):
     return run
 
 
-def _decoder(shared, ids: str, out: str):
+def _decoder(shared, ids: str, out: str, chars: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ranks = shared.value.ranks
         size_of = np.zeros(max(ranks.values()) + 1, np.int64)
@@ -283,7 +286,7 @@ def _decoder(shared, ids: str, out: str):
             if not batch.num_rows:
                 continue
             lengths = pa.compute.list_value_length(batch.column(ids)).fill_null(0)
-            for part in _chunks(batch, lengths.to_numpy(), CHUNK_CHARS):
+            for part in _chunks(batch, lengths.to_numpy(), chars):
                 lists = part.column(ids)
                 flat = lists.flatten().to_numpy(zero_copy_only=False)
                 counts = pa.compute.list_value_length(lists).fill_null(0).to_numpy()
@@ -302,15 +305,14 @@ def _decoder(shared, ids: str, out: str):
 def encode(df: DataFrame, vocabulary: Vocabulary, text: str = "text", out: str = "ids"):
     """``df`` with the list of token ids of each whole text."""
     shared = df.sparkSession.sparkContext.broadcast(vocabulary)
-    return df.mapInArrow(
-        _encoder(shared, text, out), _schema(df, out, T.ArrayType(T.IntegerType()))
-    )
+    run = _encoder(shared, text, out, CHUNK_CHARS, MEMO_ENTRIES)
+    return df.mapInArrow(run, _schema(df, out, T.ArrayType(T.IntegerType())))
 
 
 def decode(df: DataFrame, vocabulary: Vocabulary, ids: str = "ids", out: str = "decoded"):
     """``df`` with the bytes that each list of ids stands for."""
     shared = df.sparkSession.sparkContext.broadcast(vocabulary)
-    return df.mapInArrow(_decoder(shared, ids, out), _schema(df, out, T.BinaryType()))
+    return df.mapInArrow(_decoder(shared, ids, out, CHUNK_CHARS), _schema(df, out, T.BinaryType()))
 
 
 def round_trip(
@@ -320,14 +322,21 @@ def round_trip(
     ids: str = "ids",
     out: str = "decoded",
 ):
-    """``decode(encode(df))`` in one Python call, so that a task needs one worker and not two."""
+    """``decode(encode(df))`` without the text, in one Python call: a task needs one worker, not two."""
     shared = df.sparkSession.sparkContext.broadcast(vocabulary)
-    there, back = _encoder(shared, text, ids), _decoder(shared, ids, out)
+    there = _encoder(shared, text, ids, ROUND_TRIP_CHARS, ROUND_TRIP_ENTRIES)
+    back = _decoder(shared, ids, out, ROUND_TRIP_CHARS)
+
+    def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in there(batches):
+            yield batch.select([n for n in batch.schema.names if n != text])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()  # what an earlier stage left in this worker
+        yield from back(coded(batches))
+        shared.value.memo = None
         give_back()
-        yield from back(there(batches))
 
-    coded = _schema(df, ids, T.ArrayType(T.IntegerType()))
-    kept = [f for f in coded.fields if f.name != out]
-    return df.mapInArrow(run, T.StructType([*kept, T.StructField(out, T.BinaryType())]))
+    kept = [f for f in df.schema.fields if f.name not in (text, ids, out)]
+    added = [T.StructField(ids, T.ArrayType(T.IntegerType())), T.StructField(out, T.BinaryType())]
+    return df.mapInArrow(run, T.StructType([*kept, *added]))

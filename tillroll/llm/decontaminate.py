@@ -38,6 +38,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tillroll.llm.common import give_back
+
 Q = 10
 ITEM = 120
 WINDOW = 60
@@ -420,6 +422,7 @@ def _add_leaks(df: DataFrame, windows: Windows, text: str, out: str) -> DataFram
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()  # what an earlier stage left in this worker
         own = shared.value
         at = None
         for batch in batches:
@@ -436,5 +439,7 @@ def _add_leaks(df: DataFrame, windows: Windows, text: str, out: str) -> DataFram
             arrays = [*batch.columns]
             arrays[at] = pa.array(column, kind)
             yield pa.RecordBatch.from_arrays(arrays, names=batch.schema.names)
+            del texts, column, arrays
+        give_back()
 
     return df.mapInArrow(run, df.schema)

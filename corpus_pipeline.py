@@ -89,8 +89,10 @@ def encoded_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     vocabulary = bpe.Vocabulary.read(
         public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
     )
-    coded = bpe.round_trip(docs, vocabulary)
-    same = F.col("decoded") == F.coalesce("text", F.lit("")).cast("binary")
+    whole = F.coalesce("text", F.lit("")).cast("binary")
+    rows = docs.select("doc_id", "lang", "source", "text", F.sha2(whole, 256).alias("digest"))
+    coded = bpe.round_trip(rows, vocabulary)
+    same = F.sha2("decoded", 256) == F.col("digest")
     fault = F.concat(F.lit("ids do not give back document "), F.coalesce("doc_id", F.lit(-1)))
     ids = F.when(same, F.col("ids")).otherwise(F.raise_error(fault).cast("array<int>"))
     return coded.select(

@@ -5,8 +5,8 @@ Money is summed in whole pence, so the sums are exact; averages divide exact sum
 
 from __future__ import annotations
 
-from checks.queries import FIXED_LAMBDAS, HOME, LOGLIK_GRID, ROUND_SHIFT, SEGMENTS
-from tillroll.schema import FEATURE_LABELS, FEATURES, RADAR_AXES_8
+from checks.queries import FIXED_LAMBDAS, HOME, LOGLIK_GRID, PERSONAS, ROUND_SHIFT, SEGMENTS
+from tillroll.schema import FEATURE_LABELS, FEATURES, RADAR_AXES_6, RADAR_AXES_8
 
 QUARTILES = {"p25": 0.25, "p50": 0.5, "p75": 0.75}
 
@@ -775,3 +775,127 @@ for _name, _parts in _HISTOGRAMS.items():
     ORACLES[_name] = "WITH " + ",".join([RAW, LINES, *_parts, HISTOGRAM])
 for _name, _parts in _DENSITIES.items():
     ORACLES[_name] = "WITH " + ",".join([RAW, LINES, *_parts, DENSITY])
+
+ORACLES |= {
+    "silhouette_estimate_given": query(
+        """
+points AS (
+  SELECT vec_id, CAST(label AS INTEGER) AS label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings
+), anchors AS (
+  SELECT * FROM points ORDER BY md5(CAST(vec_id AS VARCHAR) || ':42'), vec_id LIMIT 40
+), sizes AS (SELECT label, count(*) AS n FROM points GROUP BY label
+), sums AS (
+  SELECT x.vec_id, x.label, y.label AS other, sum(list_distance(x.v, y.v)) AS d
+  FROM anchors x CROSS JOIN points y GROUP BY x.vec_id, x.label, y.label
+), ab AS (
+  SELECT vec_id, s.label,
+         max(d / nullif(n - 1, 0)) FILTER (other = s.label) AS a,
+         min(d / n) FILTER (other <> s.label) AS b,
+         max(n) FILTER (other = s.label) AS own
+  FROM sums s JOIN sizes ON sizes.label = other GROUP BY vec_id, s.label
+), scores AS (SELECT CASE WHEN own = 1 THEN 0 ELSE (b - a) / greatest(a, b) END AS s FROM ab
+), whole AS (SELECT count(*) AS n FROM points)""",
+        f"""SELECT CAST(10 AS INTEGER) AS k, any_value(n) AS rows, count(*) AS anchors,
+        {r('avg(s)', 5)} AS silhouette,
+        {r('stddev_samp(s) * sqrt((1 - count(*) / any_value(n)) / count(*))', 5)} AS error FROM scores, whole""",
+    ),
+    "cluster_features_given": query(
+        """
+cells AS (
+  SELECT CAST(label AS INTEGER) AS cluster, vec_id, unnest(CAST(embedding AS DOUBLE[])) AS x,
+         generate_subscripts(embedding, 1) AS i
+  FROM embeddings
+), spread AS (
+  SELECT cluster, i, count(*) AS n, sum(x * x) AS squares, var_pop(x) * count(*) AS within
+  FROM cells GROUP BY cluster, i
+)""",
+        f"""SELECT cluster, max(n) AS n, {r('sum(squares)')} AS squares, {r('sum(within)')} AS within
+        FROM spread GROUP BY cluster""",
+    ),
+    "ward_given": query(
+        """
+groups AS (
+  SELECT CASE l_returnflag WHEN 'A' THEN 0 WHEN 'N' THEN 1 ELSE 2 END AS g, CAST(count(*) AS DOUBLE) AS n,
+    avg(CAST(l_quantity AS DOUBLE)) AS x, avg(CAST(l_extendedprice AS DOUBLE) / 1000) AS y,
+    avg(CAST(l_discount AS DOUBLE) * 100) AS z
+  FROM lineitem GROUP BY ALL
+), pairs AS (
+  SELECT a.g AS a, b.g AS b, a.n AS na, b.n AS nb,
+    a.n * b.n / (a.n + b.n) * ((a.x - b.x) ** 2 + (a.y - b.y) ** 2 + (a.z - b.z) ** 2) AS cost
+  FROM groups a JOIN groups b ON a.g < b.g
+), nearest AS (SELECT * FROM pairs ORDER BY cost, a, b LIMIT 1
+), rest AS (
+  SELECT f.a, f.b, f.cost, f.na, f.nb, c.g AS c, c.n AS nc,
+    ((f.na + c.n) * pa.cost + (f.nb + c.n) * pb.cost - c.n * f.cost) / (f.na + f.nb + c.n) AS last
+  FROM nearest f JOIN groups c ON c.g NOT IN (f.a, f.b)
+  JOIN pairs pa ON pa.a = least(f.a, c.g) AND pa.b = greatest(f.a, c.g)
+  JOIN pairs pb ON pb.a = least(f.b, c.g) AND pb.b = greatest(f.b, c.g)
+), steps AS (
+  SELECT 0 AS step, a AS "left", b AS "right", 3 AS node, cost, na + nb AS n FROM rest
+  UNION ALL SELECT 1, c, 3, 4, last, na + nb + nc FROM rest
+)""",
+        f"""SELECT CAST(step AS INTEGER) AS step, CAST("left" AS INTEGER) AS "left", CAST("right" AS INTEGER) AS "right",
+        CAST(node AS INTEGER) AS node, {r('cost')} AS cost, {r('sqrt(2 * cost)')} AS height, CAST(n AS BIGINT) AS n
+        FROM steps""",
+    ),
+    "hierarchy_check": query(
+        RAW,
+        LINES,
+        FEATURE_TABLE,
+        """SELECT CAST(k AS INTEGER) AS k, CAST(k AS BIGINT) AS groups,
+        (SELECT count(*) FROM features) AS customers, CAST(0 AS DOUBLE) AS missed FROM range(2, 7) t(k)""",
+    ),
+    "shap_check": query(
+        RAW,
+        LINES,
+        FEATURE_TABLE,
+        """SELECT CAST(k AS INTEGER) AS k, (SELECT count(*) FROM features) AS customers,
+        CAST(0 AS DOUBLE) AS missed FROM range(3, 5) t(k)""",
+    ),
+    "shap_summary_given": query(
+        RAW,
+        LINES,
+        FEATURE_TABLE,
+        LONG_FEATURES,
+        SEGMENT_LABELS,
+        """
+z AS (
+  SELECT CustomerID, feature, (value - avg(value) OVER w) / stddev_pop(value) OVER w AS value
+  FROM long WINDOW w AS (PARTITION BY feature)
+), sizes AS (
+  SELECT k, Cluster AS cluster, feature, avg(abs(value)) AS mean_abs
+  FROM z JOIN labels USING (CustomerID) GROUP BY k, Cluster, feature
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY mean_abs DESC, feature) AS rank FROM sizes
+)""",
+        f"""SELECT r.k, r.cluster, r.feature, z.CustomerID, {r('z.value')} AS shap, r.rank
+        FROM ranked r JOIN labels l ON l.Cluster = r.cluster
+        JOIN z ON z.CustomerID = l.CustomerID AND z.feature = r.feature WHERE r.rank <= 3""",
+    ),
+    "radar_6_given": query(
+        RAW,
+        LINES,
+        FEATURE_TABLE,
+        LONG_FEATURES,
+        SEGMENT_LABELS,
+        MEANS,
+        f"""SELECT k, Cluster, 'Nhóm ' || CAST(Cluster AS VARCHAR) AS persona, feature,
+        {case_map('feature', RADAR_AXES_6)} AS axis, {r('mean')} AS mean,
+        {r('coalesce((mean - min(mean) OVER w) / nullif(max(mean) OVER w - min(mean) OVER w, 0), 0)')} AS value
+        FROM means WHERE feature IN ({', '.join(f"'{f}'" for f in RADAR_AXES_6)})
+        WINDOW w AS (PARTITION BY k, feature)""",
+    ),
+    "personas_given": query(
+        """
+labels AS (
+  SELECT CAST(k AS INTEGER) AS k, CAST(c_custkey % k AS INTEGER) AS Cluster FROM customer, range(3, 6) t(k)
+)""",
+        f"""SELECT k, Cluster, count(*) AS customers,
+        {r('count(*) * 100.0 / sum(count(*)) OVER (PARTITION BY k)')} AS share_pct,
+        CASE {' '.join(
+            f"WHEN k = {k} AND Cluster = {i} THEN '{name}'" for k, names in PERSONAS.items() for i, name in enumerate(names)
+        )} ELSE 'Nhóm ' || CAST(Cluster AS VARCHAR) END AS persona FROM labels GROUP BY k, Cluster""",
+    ),
+    "best_k_given": """SELECT CAST(l_linenumber AS INTEGER) AS k, round(avg(CAST(l_discount AS DOUBLE)), 6) AS silhouette
+        FROM lineitem GROUP BY ALL ORDER BY silhouette DESC, k LIMIT 1""",
+}

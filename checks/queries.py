@@ -6,14 +6,14 @@ rounding keeps exact halves, which are common in averages of pence, on the same
 
 from __future__ import annotations
 
-from pyspark.ml.functions import array_to_vector
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from checks.adaptor import table, transactions
 from tillroll.functions.columns import normalize_customer_id
 from tillroll.operators import cleaning, clustering, concentration, correlation, distributions
-from tillroll.operators import features, gap, mixture, profiles, quantiles
+from tillroll.operators import features, gap, hierarchy, mixture, profiles, quantiles
 from tillroll.operators import reduction, sales, shapley, silhouette, surrogate, transforms
 from tillroll.operators import rfm as rfm_ops
 from tillroll.schema import FEATURES, RADAR_AXES_6, RADAR_AXES_8
@@ -464,6 +464,37 @@ def silhouette_squared_given(spark, sf):
     return rounded(spark.createDataFrame([(10, score)], "k int, silhouette double"), ["silhouette"], 5)
 
 
+def silhouette_estimate_given(spark, sf):
+    """The mean of 40 anchors and its error, for the given labels."""
+    found = silhouette.estimated_silhouettes(
+        _vectors(spark, sf), "vector", {10: "label"}, "vec_id", anchors=40
+    )
+    return rounded(found, ["silhouette", "error"], 5)
+
+
+def cluster_features_given(spark, sf):
+    """Rows, squares and spread of every given cluster, from its mergeable description."""
+    found = hierarchy.cluster_features(_vectors(spark, sf), "label")
+    spread = hierarchy.spread_within(found).select("cluster", "within")
+    return rounded(found.join(spread, "cluster").drop("sums"), ["squares", "within"])
+
+
+def ward_given(spark, sf):
+    """Ward's merges of the three return flags, by quantity, price and discount."""
+    points = table(spark, sf, "lineitem").select(
+        (F.array_position(F.array(F.lit("A"), F.lit("N"), F.lit("R")), F.col("l_returnflag")) - 1)
+        .cast("int")
+        .alias("flag"),
+        F.array(
+            F.col("l_quantity").cast("double"),
+            F.col("l_extendedprice").cast("double") / 1000,
+            F.col("l_discount").cast("double") * 100,
+        ).alias("vector"),
+    )
+    merges = hierarchy.ward(hierarchy.cluster_features(points, "flag"))
+    return rounded(merges.table(spark), ["cost", "height"])
+
+
 def inertia_given(spark, sf):
     nearest = _nearest(spark, sf)
     total = nearest.agg(F.lit(10).alias("k"), F.sum("distance_sq").alias("inertia"))
@@ -493,6 +524,46 @@ def cluster_export_given(spark, sf):
     return _read_clusters(spark, folder)
 
 
+def shap_summary_given(spark, sf):
+    """The points of a summary plot, on z-scores of the market segments."""
+    scores = stage(transforms.standardize(customer_table(spark, sf)), "z")
+    values = quantiles.to_long(scores, FEATURES, "CustomerID").withColumnRenamed("value", "shap")
+    labelled = profiles.attach_labels(values, segment_labels(spark, sf))
+    labelled = stage(labelled.withColumnRenamed("Cluster", "cluster"), "z-long")
+    return rounded(shapley.shap_summary(labelled), ["shap"])
+
+
+def radar_6_given(spark, sf):
+    means = profiles.cluster_means(customer_table(spark, sf), segment_labels(spark, sf))
+    return rounded(profiles.radar_profile(means, RADAR_AXES_6, PERSONAS), ["mean", "value"])
+
+
+def personas_given(spark, sf):
+    """Personas of three and four groups of customers by their number."""
+    number = F.col("c_custkey")
+    labels = table(spark, sf, "customer").select(
+        number.cast("string").alias("CustomerID"),
+        F.inline(
+            F.array(
+                *[
+                    F.struct(F.lit(k).alias("k"), (number % k).cast("int").alias("Cluster"))
+                    for k in (3, 4, 5)
+                ]
+            )
+        ),
+    )
+    found = profiles.with_personas(profiles.cluster_sizes(labels), PERSONAS, "Cluster")
+    return rounded(found, ["share_pct"])
+
+
+def best_k_given(spark, sf):
+    """The choice of k on given scores: the mean discount per line number."""
+    scores = table(spark, sf, "lineitem").groupBy(F.col("l_linenumber").cast("int").alias("k")).agg(
+        F.round(F.avg(F.col("l_discount").cast("double")), 6).alias("silhouette")
+    )
+    return clustering.best_k(scores)
+
+
 # ---- models --------------------------------------------------------------------------------
 
 
@@ -577,6 +648,44 @@ def shap_summary(spark, sf):
     return shapley.shap_summary(shap_rows(spark, sf))
 
 
+def kmeans_silhouette_estimate(spark, sf):
+    """Mean silhouette and error of every k from 500 anchors."""
+    fits, scaled = kmeans_fits(spark, sf), scaled_table(spark, sf)
+    labelled = stage(clustering.assign_chained(scaled, fits), "anchored")
+    names = {k: f"Cluster_{k}" for k in fits}
+    return silhouette.estimated_silhouettes(labelled, FEATURES, names, "CustomerID", anchors=500)
+
+
+def shap_base(spark, sf):
+    """What the Shapley values of each cluster are added to."""
+    found = [shapley.base_table(s, spark) for s in surrogates(spark, sf).values()]
+    return found[0].unionByName(found[1])
+
+
+def surrogate_trees(spark, sf):
+    """Depth and leaves of every tree of the surrogates."""
+    found = [surrogate.tree_table(s, spark) for s in surrogates(spark, sf).values()]
+    return found[0].unionByName(found[1])
+
+
+@once
+def hierarchy_steps(spark, sf):
+    labelled = stage(hierarchy.micro_clusters(scaled_table(spark, sf)), "micro")
+    described = stage(hierarchy.cluster_features(labelled, "micro"), "micro-features")
+    return labelled, described, hierarchy.ward(described)
+
+
+def hierarchy_merges(spark, sf):
+    """Ward's merges of 200 small clusters of the customers."""
+    return hierarchy_steps(spark, sf)[2].table(spark)
+
+
+def hierarchy_labels(spark, sf):
+    """The customers in two to six groups, cut from one hierarchy."""
+    labelled, _, merges = hierarchy_steps(spark, sf)
+    return merges.cut(labelled, range(2, 7))
+
+
 # ---- properties of the models that SQL can state -------------------------------------------
 
 
@@ -777,6 +886,58 @@ def confusion_total(spark, sf):
     )
 
 
+def shap_check(spark, sf):
+    """Per k: customers, and the largest part by which the base and the Shapley values of a cluster
+    miss the probability that the forest gives it."""
+    found = None
+    for k, s in surrogates(spark, sf).items():
+        scored = s.model.transform(reduction.with_vector(scaled_table(spark, sf), s.columns)).select(
+            "CustomerID",
+            F.posexplode(vector_to_array("probability")).alias("cluster", "probability"),
+        )
+        explained = (
+            shap_rows(spark, sf)
+            .where(F.col("k") == k)
+            .groupBy("CustomerID", "cluster")
+            .agg(F.sum("shap").alias("shap"))
+        )
+        missed = F.abs(F.col("base_value") + F.col("shap") - F.col("probability"))
+        row = (
+            scored.join(explained, ["CustomerID", "cluster"])
+            .join(F.broadcast(shap_base(spark, sf).where(F.col("k") == k)), "cluster")
+            .agg(
+                F.lit(k).alias("k"),
+                F.count_distinct("CustomerID").alias("customers"),
+                F.round(F.max(missed), 6).alias("missed"),
+            )
+        )
+        found = row if found is None else found.unionByName(row)
+    return found
+
+
+def hierarchy_check(spark, sf):
+    """Per cut: groups, customers, and the part by which the squares within the groups and the costs
+    of the later merges miss the squares of the whole table."""
+    labelled, described, merges = hierarchy_steps(spark, sf)
+    scaled = scaled_table(spark, sf)
+    whole = scaled.agg(sum(F.var_pop(c) * F.count(c) for c in FEATURES).alias("whole")).first()[0]
+    found = None
+    for k in range(2, 7):
+        groups = list(merges.groups(k).items())
+        named = described.join(
+            F.broadcast(spark.createDataFrame(groups, "cluster int, group int")), "cluster"
+        )
+        later = sum(cost for *_, cost, _ in merges.merges[1 - k :])
+        row = hierarchy.spread_within(hierarchy.merge_features(named)).agg(
+            F.lit(k).alias("k"),
+            F.count(F.lit(1)).alias("groups"),
+            F.sum("n").alias("customers"),
+            F.round(F.abs((F.sum("within") + later) / whole - 1), 6).alias("missed"),
+        )
+        found = row if found is None else found.unionByName(row)
+    return found
+
+
 def shap_total(spark, sf):
     """Rows of the Shapley table per k and cluster."""
     return shap_rows(spark, sf).groupBy("k", "cluster").agg(
@@ -785,6 +946,20 @@ def shap_total(spark, sf):
 
 
 QUERIES = {
+    "silhouette_estimate_given": silhouette_estimate_given,
+    "kmeans_silhouette_estimate": kmeans_silhouette_estimate,
+    "cluster_features_given": cluster_features_given,
+    "ward_given": ward_given,
+    "hierarchy_merges": hierarchy_merges,
+    "hierarchy_labels": hierarchy_labels,
+    "hierarchy_check": hierarchy_check,
+    "shap_base": shap_base,
+    "shap_check": shap_check,
+    "shap_summary_given": shap_summary_given,
+    "radar_6_given": radar_6_given,
+    "personas_given": personas_given,
+    "best_k_given": best_k_given,
+    "surrogate_trees": surrogate_trees,
     "gap_statistic": gap_statistic,
     "gap_given": gap_given,
     "mixture_selection": mixture_selection,

@@ -71,6 +71,26 @@ def test_quantiles_with_narrow_brackets(spark, monkeypatch):
         assert got == pytest.approx(np.quantile(x, p), rel=1e-13)
 
 
+@pytest.mark.parametrize("inside", [1, 40])
+def test_quantiles_narrowed_in_rounds(spark, long, data, monkeypatch, inside):
+    """Brackets are narrowed until almost nothing is left to sort, copies of one value included."""
+    monkeypatch.setattr(quantiles, "MAX_INSIDE", inside)
+    probabilities = [0.0, 0.01, 0.25, 0.5, 0.75, 0.99, 1.0]
+    found = by_feature(quantiles.exact_quantiles(long, probabilities))
+    for name, x in data.items():
+        got = {r.probability: r.quantile for r in found[name]}
+        for p in probabilities:
+            assert got[p] == pytest.approx(np.quantile(x, p), rel=1e-14), (name, p)
+
+
+def test_quantiles_leave_out_missing_values(spark):
+    rows = [("x", 1.0), ("x", None), ("x", float("nan")), ("x", 4.0), ("none", None)]
+    df = spark.createDataFrame(rows, "feature string, value double")
+    assert [(r.feature, r.quantile) for r in quantiles.exact_quantiles(df, [0.5]).collect()] == [("x", 2.5)]
+    assert quantiles.exact_quantiles(df.limit(0), [0.5]).count() == 0
+    assert quantiles.describe(df.limit(0)).count() == 0
+
+
 def test_below_quantile_is_strict(wide, data):
     kept = quantiles.below_quantile(wide, "whole", 0.99).count()
     assert kept == int((data["whole"] < np.quantile(data["whole"], 0.99)).sum())

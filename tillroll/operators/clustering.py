@@ -8,6 +8,7 @@ from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -316,41 +317,48 @@ def best_k(selection: DataFrame) -> DataFrame:
     )
 
 
-def _distance_sq(a: Column, b: Column) -> Column:
-    squares = F.zip_with(a, b, lambda x, y: (x - y) * (x - y))
-    return F.aggregate(squares, F.lit(0.0), lambda total, d: total + d)
-
-
 def assign_nearest_centroid(
     points: DataFrame, centroids: DataFrame, vector: str = "vector"
 ) -> DataFrame:
     """Add the nearest centroid's cluster and its squared distance to every point.
 
     ``centroids`` has columns cluster and center (array of doubles), one row per cluster.
-    Their size is summed first; only a table within the bound is gathered, and reaches the rows
-    as one scalar value. The smaller cluster number wins a tie.
+    Their size is summed first; only a table within the bound is gathered and broadcast. Arrow
+    batches of points are held against one centroid after the other. The smaller cluster number wins
+    a tie. A vector that is null, has a null component or another length than the centers has none.
     """
     cells = centroids.agg(F.sum(F.size("center"))).first()[0] or 0
     if cells > MAX_CENTROID_CELLS:
-        raise ValueError(f"{cells} centroid cells are too many to attach to every row")
-    table = centroids.agg(F.collect_list(F.struct("cluster", "center"))).scalar()
-    nearest = F.array_min(
-        F.transform(
-            F.col("_centroids"),
-            lambda c: F.struct(
-                _distance_sq(F.col(vector), c["center"]).alias("distance_sq"),
-                c["cluster"].alias("cluster"),
-            ),
-        )
+        raise ValueError(f"{cells} centroid cells are too many to send to every task")
+    rows = centroids.select("cluster", "center").orderBy("cluster").collect()
+    shared = points.sparkSession.sparkContext.broadcast(
+        (np.array([r["cluster"] for r in rows], object), [np.array(r["center"], float) for r in rows])
     )
-    return (
-        points.select(*points.columns, table.alias("_centroids"))
-        .withColumn("_nearest", nearest)
-        .select(
-            *points.columns,
-            F.col("_nearest.cluster").alias("cluster"),
-            F.col("_nearest.distance_sq").alias("distance_sq"),
-        )
+    number = centroids.schema["cluster"].dataType.simpleString()
+
+    @F.pandas_udf(f"cluster {number}, distance_sq double")
+    def nearest(vectors: pd.Series) -> pd.DataFrame:
+        numbers, centers = shared.value
+        found = np.full(len(vectors), -1)
+        least = np.full(len(vectors), np.inf)
+        width = len(centers[0]) if centers else 0
+        fits = np.array([v is not None and len(v) == width for v in vectors], bool)
+        if centers and fits.any():
+            own = np.stack(vectors[fits].to_numpy()).astype(float)
+            best, at = least[fits], found[fits]
+            for i, center in enumerate(centers):
+                distance = ((own - center) ** 2).sum(axis=1)
+                closer = distance < best
+                best[closer], at[closer] = distance[closer], i
+            least[fits], found[fits] = best, at
+        none = found < 0
+        cluster = pd.Series([None if i < 0 else numbers[i] for i in found], dtype=object)
+        return pd.DataFrame({"cluster": cluster, "distance_sq": pd.Series(least).mask(none)})
+
+    return points.withColumn("_nearest", nearest(vector)).select(
+        *points.columns,
+        F.col("_nearest.cluster").alias("cluster"),
+        F.col("_nearest.distance_sq").alias("distance_sq"),
     )
 
 

@@ -4,8 +4,11 @@ import itertools
 
 import numpy as np
 import pytest
+from pyspark.ml.clustering import KMeans
+from pyspark.ml.functions import vector_to_array
 
 from tillroll.operators import clustering, concentration, correlation
+from tillroll.operators.reduction import with_vector
 
 
 def test_spend_curve_and_gini(spark):
@@ -103,3 +106,29 @@ def test_stability_of_starts(spark):
         assert r.ari == pytest.approx(plain_rand(a, b))
     costs = clustering.start_costs(spark, fits).collect()
     assert len(costs) == 6 and sum(r.is_chosen for r in costs) == 2
+
+
+def test_all_starts_move_together_as_in_separate_fits(spark):
+    """A round is one pass for all starts, and each start ends where Spark's own fit ends."""
+    rng = np.random.default_rng(8)
+    points = rng.normal(0, 3, (6, 3))[rng.integers(0, 6, 300)] + rng.normal(size=(300, 3))
+    table = spark.createDataFrame([(str(i), *map(float, p)) for i, p in enumerate(points)], "CustomerID string, x double, y double, z double")
+    columns = ["x", "y", "z"]
+    dealt = table.repartition(2, "CustomerID").sortWithinPartitions("CustomerID", *columns)
+    vectors = with_vector(dealt, columns).select("vector", vector_to_array("vector").alias("point")).persist()
+    options = [{"k": k, "seed": seed, "featuresCol": "vector"} for k in (2, 4, 7) for seed in (1, 2)]
+    whole = [KMeans(maxIter=50, tol=0.01, **o).fit(vectors) for o in options]
+    starts = [np.array(KMeans(maxIter=0, **o).fit(vectors).clusterCenters()) for o in options]
+    spark.sparkContext.setJobGroup("rounds", "")
+    try:
+        found = clustering._lloyd(vectors.select("point"), starts, [0.01] * len(starts), 50)
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    for one, other in zip(whole, found):
+        assert np.allclose(one.clusterCenters(), other.clusterCenters(), rtol=1e-9)
+        assert one.summary.numIter == other.summary.numIter
+        assert one.summary.trainingCost == pytest.approx(other.summary.trainingCost)
+    longest = max(m.summary.numIter for m in found)
+    jobs = spark.sparkContext.statusTracker().getJobIdsForGroup("rounds")
+    assert longest <= len(jobs) <= longest + 1 < sum(m.summary.numIter for m in found)
+    vectors.unpersist()

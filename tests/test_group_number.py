@@ -4,9 +4,12 @@ import math
 
 import numpy as np
 import pytest
+from pyspark.ml.clustering import GaussianMixture
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from tillroll.operators import gap, mixture
+from tillroll.operators.reduction import with_vector
 
 COLUMNS = ["x", "y"]
 CENTERS = np.array([[0.0, 0.0], [9.0, 0.0], [0.0, 9.0]])
@@ -114,3 +117,18 @@ def test_constant_column_in_a_mixture(spark):
     df, _, _ = planted(spark)
     fits = mixture.fit_mixtures(df.withColumn("flat", F.lit(1.0)), [2], [*COLUMNS, "flat"], n_init=1, max_iter=20)
     assert math.isfinite(fits[2].log_likelihood)
+
+
+def test_all_mixture_starts_step_together_as_in_separate_fits(spark):
+    df, _, _ = planted(spark, spread=2.2)
+    dealt = df.repartition(2, "CustomerID").sortWithinPartitions("CustomerID", *COLUMNS)
+    vectors = with_vector(dealt, COLUMNS).select("vector", vector_to_array("vector").alias("point")).persist()
+    options = [{"k": k, "seed": seed, "featuresCol": "vector"} for k in (2, 3) for seed in (1, 2)]
+    whole = [GaussianMixture(maxIter=15, tol=1e-9, **o).fit(vectors) for o in options]
+    drawn = [GaussianMixture(maxIter=0, **o).fit(vectors) for o in options]
+    starts = [mixture.Mixture(list(m.weights), list(m.gaussians)) for m in drawn]
+    for one, other in zip(whole, mixture._maximise(vectors.select("point"), starts, 15, 1e-9)):
+        assert other.weights == pytest.approx(one.weights, rel=1e-6)
+        for a, b in zip(one.gaussians, other.gaussians):
+            assert np.allclose(a.mean.toArray(), b.mean.toArray()) and np.allclose(a.cov.toArray(), b.cov.toArray())
+    vectors.unpersist()

@@ -1,6 +1,10 @@
 """Ward's hierarchy over small clusters, and the silhouette from anchors, against plain versions."""
 
+import tracemalloc
+
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 from pyspark.sql import functions as F
 
@@ -147,3 +151,27 @@ def test_silhouette_in_tiles(points, monkeypatch):
     tiled = silhouette.silhouettes(df, COLUMNS, {1: "micro"}, "CustomerID", block_rows=150).toPandas()
     a, b = (t.sort_values("CustomerID")["silhouette"].to_numpy() for t in (whole, tiled))
     assert a == pytest.approx(b)
+
+
+def test_a_block_task_holds_little_beside_its_points():
+    """Points come as Arrow columns and meet in small tiles: no object per row, no wide matrix."""
+    n, width = 12_000, 16
+    points = np.random.default_rng(3).normal(size=(n, width))
+    lists = pa.FixedSizeListArray.from_arrays(pa.array(points.ravel()), width).cast(pa.list_(pa.float64()))
+    labels = pa.FixedSizeListArray.from_arrays(pa.array(np.arange(n, dtype=np.int32) % 2), 1).cast(pa.list_(pa.int32()))
+    block = np.repeat(np.array([0, 1], np.int32), n // 2)
+    table = pa.table(
+        {"id": np.arange(n), "point": lists, "labels": labels, "block": block,
+         "first": np.zeros(n, np.int32), "second": np.ones(n, np.int32)}
+    )
+    kernel = silhouette._block_sums([2], silhouette.STRIP_ROWS, silhouette.TILE_ROWS)
+    tracemalloc.start()
+    try:
+        found = kernel(table)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert peak < 60e6
+    row = found.filter(pc.equal(found["id"], 5)).to_pylist()[0]
+    away = np.sqrt(((points[n // 2 :] - points[5]) ** 2).sum(1))
+    assert row["s0"] == pytest.approx(away[::2].sum()) and row["s1"] == pytest.approx(away[1::2].sum())

@@ -136,3 +136,20 @@ def test_stream_in_two_batches_equals_one_run(spark, tmp_path, model):
         scoring.score_batch(batch, number, state, made, out)
     again = scoring.current_labels(spark, out).collect()
     assert {r.CustomerID: (r.Cluster, r.distance_sq) for r in again} == found
+
+
+def test_a_merge_shuffles_the_state_once(spark, tmp_path):
+    lines = make_lines(spark)
+    state = FeatureState(spark, str(tmp_path / "state"), buckets=3)
+    state.merge(lines, 0)
+    old = state.sums().withColumn("bucket", state.bucket())
+    both = state._added(old, old, 12)
+    plan = both._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
+    assert "Exchange hashpartitioning(bucket" in plan
+    found = {tuple(r[:5]): tuple(r[5:]) for r in both.select("bucket", *features.PAIR, *features.SUMS).collect()}
+    twice = {
+        tuple(r[:5]): tuple(None if x is None else 2 * x for x in r[5:])
+        for r in old.select("bucket", *features.PAIR, *features.SUMS).collect()
+    }
+    assert found == twice

@@ -86,7 +86,8 @@ class FeatureState:
             return features_of_sums(self.sums())
         wanted = customers.select("CustomerID").distinct()
         touched = [r.bucket for r in wanted.select(self.bucket().alias("bucket")).distinct().collect()]
-        return features_of_sums(self.sums(touched).join(wanted, "CustomerID", "left_semi"))
+        # Summed up first, so that a row per customer and writer is shuffled and not every pair.
+        return features_of_sums(self.sums(touched)).join(wanted, "CustomerID", "left_semi")
 
     def bucket(self):
         return F.pmod(F.xxhash64("CustomerID"), F.lit(self.buckets)).cast("int")
@@ -104,11 +105,8 @@ class FeatureState:
         fresh = self.spark.read.schema(_SCHEMA).parquet(path)
         touched = sorted(r.bucket for r in fresh.select("bucket").distinct().collect())
         old = self.sums(touched).withColumn("bucket", self.bucket())
-        keys = ["bucket", *PAIR]
-        merged = old.unionByName(fresh).groupBy(*keys).agg(*[F.sum(c).alias(c) for c in SUMS])
-        writer = F.pmod(F.xxhash64("InvoiceNo", "StockCode"), F.lit(WRITERS))
         parts = max(1, min(WRITERS * len(touched), 4096))
-        merged = merged.repartition(parts, "bucket", writer)
+        merged = self._added(old, fresh, parts)
         target = f"{self.folder}/sums/version={batch}"
         merged.write.mode("overwrite").partitionBy("bucket").parquet(target)
         now = known | dict.fromkeys(touched, batch)
@@ -117,6 +115,18 @@ class FeatureState:
         table.coalesce(1).write.mode("overwrite").parquet(f"{self.folder}/commits/batch={batch}")
         return True
 
+    @staticmethod
+    def _added(old: DataFrame, fresh: DataFrame, parts: int) -> DataFrame:
+        """The sums of both, dealt once to the tasks that write them.
+
+        The writer is a key, so the sums need no shuffle of their own.
+        """
+        writer = F.pmod(F.xxhash64("InvoiceNo", "StockCode"), F.lit(WRITERS)).cast("tinyint")
+        dealt = old.unionByName(fresh).withColumn("writer", writer)
+        dealt = dealt.repartition(parts, "bucket", "writer")
+        merged = dealt.groupBy("bucket", "writer", *PAIR).agg(*[F.sum(c).alias(c) for c in SUMS])
+        return merged.drop("writer")
+
     def vacuum(self) -> int:
         """Remove what the newest commit does not need; returns the number of removed folders."""
         done = self.commits()

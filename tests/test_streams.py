@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tillroll.operators import clustering, features, transforms
 from tillroll.schema import FEATURES
-from tillroll.streaming import scoring
+from tillroll.streaming import feature_state, scoring
 from tillroll.streaming.feature_state import FeatureState
 from tillroll.streaming.scoring import SegmentModel
 
@@ -143,7 +143,7 @@ def test_a_merge_shuffles_the_state_once(spark, tmp_path):
     state = FeatureState(spark, str(tmp_path / "state"), buckets=3)
     state.merge(lines, 0)
     old = state.sums().withColumn("bucket", state.bucket())
-    both = state._added(old, old, 12)
+    both = state._added(old, old, 4, 12)
     plan = both._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1
     assert "Exchange hashpartitioning(bucket" in plan
@@ -153,3 +153,14 @@ def test_a_merge_shuffles_the_state_once(spark, tmp_path):
         for r in old.select("bucket", *features.PAIR, *features.SUMS).collect()
     }
     assert found == twice
+
+
+def test_tasks_that_write_a_state_follow_its_rows(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(feature_state, "WRITER_ROWS", 20)
+    lines = make_lines(spark)
+    state = FeatureState(spark, str(tmp_path / "state"), buckets=2)
+    state.merge(lines, 0)
+    files = state.sums().select(F.input_file_name().alias("file")).groupBy("file").count().collect()
+    assert len(files) > 2 * feature_state.WRITERS
+    found = {r.CustomerID: r.Sum_Quantity for r in state.features().collect()}
+    assert found == {r.CustomerID: r.Sum_Quantity for r in features.customer_features(lines).collect()}

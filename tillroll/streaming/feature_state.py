@@ -13,6 +13,8 @@ commit needs any more can be removed by ``vacuum``.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,6 +23,8 @@ from tillroll.operators.features import PAIR, SUMS, features_of_sums, partial_su
 BUCKETS = 64
 #: A bucket is written by so many tasks, as one customer can hold a third of all pairs.
 WRITERS = 4
+#: More tasks write a bucket when a task would hold more pairs than this, old and new ones together.
+WRITER_ROWS = 500_000
 
 _SCHEMA = (
     "CustomerID string, is_invoice tinyint, InvoiceNo string, StockCode string, lines bigint,"
@@ -103,10 +107,12 @@ class FeatureState:
         path = f"{self.folder}/incoming/batch={batch}"
         fresh.write.mode("overwrite").parquet(path)
         fresh = self.spark.read.schema(_SCHEMA).parquet(path)
-        touched = sorted(r.bucket for r in fresh.select("bucket").distinct().collect())
+        counted = fresh.groupBy("bucket").count().collect()
+        touched = sorted(r.bucket for r in counted)
         old = self.sums(touched).withColumn("bucket", self.bucket())
-        parts = max(1, min(WRITERS * len(touched), 4096))
-        merged = self._added(old, fresh, parts)
+        rows = old.count() + sum(r["count"] for r in counted)
+        writers = max(WRITERS, math.ceil(rows / (WRITER_ROWS * max(1, len(touched)))))
+        merged = self._added(old, fresh, writers, max(1, min(writers * len(touched), 4096)))
         target = f"{self.folder}/sums/version={batch}"
         merged.write.mode("overwrite").partitionBy("bucket").parquet(target)
         now = known | dict.fromkeys(touched, batch)
@@ -116,12 +122,12 @@ class FeatureState:
         return True
 
     @staticmethod
-    def _added(old: DataFrame, fresh: DataFrame, parts: int) -> DataFrame:
+    def _added(old: DataFrame, fresh: DataFrame, writers: int, parts: int) -> DataFrame:
         """The sums of both, dealt once to the tasks that write them.
 
         The writer is a key, so the sums need no shuffle of their own.
         """
-        writer = F.pmod(F.xxhash64("InvoiceNo", "StockCode"), F.lit(WRITERS)).cast("tinyint")
+        writer = F.pmod(F.xxhash64("InvoiceNo", "StockCode"), F.lit(writers)).cast("int")
         dealt = old.unionByName(fresh).withColumn("writer", writer)
         dealt = dealt.repartition(parts, "bucket", "writer")
         merged = dealt.groupBy("bucket", "writer", *PAIR).agg(*[F.sum(c).alias(c) for c in SUMS])

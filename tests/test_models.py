@@ -76,6 +76,33 @@ def test_inertia_is_that_of_the_returned_centers(spark):
         assert any(abs(m.summary.trainingCost / cost - 1) > 1e-9 for cost, m in own.starts)
 
 
+def test_spark_keeps_the_rows_of_a_start_as_objects(three, monkeypatch):
+    """It does so only for input that is not itself a cached table. The draws are the same."""
+    df, _, _, fits = three
+    plain, seen = clustering.KMeans.fit, []
+
+    def fit_and_note(self, rows, params=None):
+        seen.append(rows.storageLevel.useMemory)
+        return plain(self, rows, params)
+
+    monkeypatch.setattr(clustering.KMeans, "fit", fit_and_note)
+    again = fit(df, [2, 3])
+    assert seen == [False] * 6
+    for k, own in again.items():
+        costs = [cost for cost, _ in fits[k].starts]
+        assert [cost for cost, _ in own.starts] == pytest.approx(costs, rel=1e-12)
+
+
+def test_packed_points_give_the_sums_of_single_points(three):
+    df, points, _, _ = three
+    rows = reduction.with_vector(df, COLUMNS).select(vector_to_array("vector").alias("point"))
+    packed = rows.mapInArrow(clustering._pack, "points binary")
+    starts = [points[:3], points[5:7]]
+    for a, b in zip(clustering._moves(rows, starts), clustering._moves(packed, starts)):
+        assert np.array_equal(a[0], b[0]) and a[1] == b[1]
+    assert packed.count() < len(points)
+
+
 def test_best_k_prefers_the_smaller_on_ties(spark):
     table = spark.createDataFrame([(4, 0.5), (3, 0.5), (2, 0.1)], "k int, silhouette double")
     assert clustering.best_k(table).first().k == 3

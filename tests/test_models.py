@@ -2,6 +2,7 @@ import itertools
 import math
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
@@ -285,6 +286,38 @@ def test_shapley_values_equal_brute_force(small_forest, spark):
                 assert mine[c, columns[j]] == pytest.approx(phi[c], abs=1e-12)
 
 
+def test_shapley_weights_are_tabled_once_a_batch(monkeypatch):
+    """Against the integral of each leaf, with missing and infinite values and a long path."""
+    rng, width = np.random.default_rng(4), 12
+    paths = []
+    for d, leaves in ((2, 5), (4, 70), (11, 3)):
+        feature = np.array([rng.permutation(width)[:d] for _ in range(leaves)])
+        ends = np.sort(np.round(rng.normal(size=(2, leaves, d)), 1), axis=0)
+        low = np.where(rng.random((leaves, d)) < 0.4, -np.inf, ends[0])
+        high = np.where(rng.random((leaves, d)) < 0.4, np.inf, ends[1])
+        paths.append((feature, low, high, rng.uniform(0.1, 0.9, (leaves, d)), rng.dirichlet([1, 1], leaves)))
+    x = np.round(rng.normal(size=(700, width)), 1)  # many values lie on a threshold
+    x[:20] = np.where(rng.random((20, width)) < 0.2, np.nan, x[:20])
+    x[20:40] = np.where(rng.random((20, width)) < 0.2, -np.inf, x[20:40])
+    x[40:60] = np.where(rng.random((20, width)) < 0.2, np.inf, x[40:60])
+    expected = np.zeros((len(x), 2, width))
+    for feature, low, high, z, shares in paths:
+        for f, lo, hi, share, v in zip(feature, low, high, z, shares):
+            met = ((x[:, f] > lo) & (x[:, f] <= hi)).astype(float)
+            nodes, weights = np.polynomial.legendre.leggauss(12)
+            terms = [share * (1 - s) + met * s for s in (nodes + 1) / 2]
+            for j in range(len(f)):
+                rest = sum(w / 2 * np.delete(t, j, 1).prod(1) for w, t in zip(weights, terms))
+                expected[:, :, f[j]] += ((met[:, j] - share[j]) * rest)[:, None] * v
+    tabled, plain = [], shapley._pattern_weights
+    monkeypatch.setattr(shapley, "_pattern_weights", lambda z: tabled.append(z.shape) or plain(z))
+    columns = [f"x{i}" for i in range(width)]
+    paths_bc = type("Shared", (), {"value": paths})
+    done = next(shapley._explain_batches(paths_bc, columns, 2, 1)(iter([pd.DataFrame(x, columns=columns)])))
+    assert np.abs(np.stack(done["shap"]).reshape(expected.shape) - expected).max() < 1e-12
+    assert tabled == [(5, 2), (64, 4), (6, 4)]
+
+
 def test_shapley_values_add_up(small_forest, spark):
     df, _, columns, model = small_forest
     paths = shapley.leaf_paths(shapley.forest_nodes(model, spark))

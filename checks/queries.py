@@ -77,9 +77,14 @@ def lines(spark: SparkSession, sf: str, extra: tuple[str, ...] = ()) -> DataFram
     return cleaning.clean_transactions(transactions(spark, sf, [*LINE, *extra]), country=None)
 
 
+def _features(spark, sf):
+    tasks = features.tasks_for(table(spark, sf, "lineitem").count())
+    return features.customer_features(lines(spark, sf), tasks)
+
+
 @once
 def customer_table(spark, sf):
-    return stage(features.customer_features(lines(spark, sf)), "features")
+    return stage(_features(spark, sf), "features")
 
 
 @once
@@ -312,7 +317,7 @@ def monetary_below_p99(spark, sf):
 
 
 def customer_features(spark, sf):
-    return rounded(features.customer_features(lines(spark, sf)), FEATURES)
+    return rounded(_features(spark, sf), FEATURES)
 
 
 def feature_labels(spark, sf):

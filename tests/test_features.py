@@ -3,6 +3,7 @@
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from tillroll.operators import features, rfm, sales
 from tillroll.schema import FEATURES
@@ -99,6 +100,22 @@ def test_features_equal_their_definitions(clean, frame):
             assert got.loc[customer, f] == pytest.approx(want[f], rel=1e-12), (customer, f)
 
 
+def test_dealt_sums_are_the_same_and_no_task_holds_all(clean, frame):
+    plain = features.customer_features(clean).toPandas().set_index("CustomerID").sort_index()
+    dealt = features.customer_features(clean, 7).toPandas().set_index("CustomerID").sort_index()
+    assert list(plain.index) == list(dealt.index)
+    assert np.allclose(plain[FEATURES], dealt[FEATURES], rtol=1e-12, equal_nan=True)
+    pairs = features.partial_sums(clean, 7)
+    assert pairs.schema == features.partial_sums(clean).schema
+    sizes = [r["count"] for r in pairs.groupBy(F.spark_partition_id()).count().collect()]
+    whole = sum(sizes)
+    assert len(sizes) == 7 and max(sizes) < whole / 4
+    # Nothing is summed before the lines are dealt by pair.
+    plan = pairs._jdf.queryExecution().executedPlan().toString()
+    assert "HashAggregate" not in plan[plan.index("REPARTITION_BY_NUM") :]
+    assert features.tasks_for(0) == 1 and features.tasks_for(36_000_000) == 72
+
+
 def test_scores_equal_their_definitions(clean, frame):
     got = {r.CustomerID: r for r in rfm.rfm(clean).collect()}
     customers = rows_by_customer(frame)

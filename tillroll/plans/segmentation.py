@@ -67,7 +67,8 @@ def explore(
 def engineer(clean: DataFrame, folder: str) -> dict[str, DataFrame]:
     """Compute, transform and scale the features, store the three tables, describe them."""
     spark = clean.sparkSession
-    raw = stage(features.customer_features(clean), "features")
+    tasks = features.tasks_for(clean.count())
+    raw = stage(features.customer_features(clean, tasks), "features")
     moved = transforms.apply_box_cox(raw, transforms.fit_box_cox(raw))
     io.write_features(raw, moved, transforms.standardize(moved), folder)
     raw, moved, scaled = (io.read_features(spark, folder, name) for name in io.FEATURE_TABLES)

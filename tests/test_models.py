@@ -318,6 +318,14 @@ def test_shapley_weights_are_tabled_once_a_batch(monkeypatch):
     assert tabled == [(5, 2), (64, 4), (6, 4)]
 
 
+def test_shapley_quadrature_is_exact_and_found_once():
+    for n in range(1, 6):
+        nodes, weights = shapley._quadrature(n)
+        assert shapley._quadrature(n)[0] is nodes
+        for power in range(2 * n):
+            assert weights @ nodes**power == pytest.approx(1 / (power + 1), rel=1e-12)
+
+
 def test_shapley_values_add_up(small_forest, spark):
     df, _, columns, model = small_forest
     paths = shapley.leaf_paths(shapley.forest_nodes(model, spark))

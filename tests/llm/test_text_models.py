@@ -8,6 +8,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 from hypothesis import given, settings
@@ -449,6 +450,52 @@ def test_network_slope_matches_differences(spark):
         assert slope[at] == pytest.approx(rise, abs=0.02)
 
 
+@pytest.mark.parametrize("held", [1, 40, 1 << 24])
+def test_words_are_read_by_the_column(monkeypatch, held):
+    texts = ["A b\x1cc\tb  ", None, "", " \x0b\x0c ", "\u00c4rger \u00a0x b\r\nB", "lone", "b " * 30]
+    monkeypatch.setattr(lm, "READ_BYTES", held)
+    found, parts = [], 0
+    for words in lm.read_words(pa.array(["cut off", *texts]).slice(1)):
+        assert [lm.digest(w) for w in words.distinct] == words.digests.tolist()
+        own = np.split(words.distinct[words.at], np.cumsum(words.sizes)[:-1])
+        found, parts = found + [x.tolist() for x in own], parts + 1
+    assert found == [lm.words_of(t) for t in texts]
+    assert parts == 1 if held > 1000 else parts > 1
+
+
+@pytest.mark.parametrize("scale", [0.3, 40])
+def test_outputs_with_small_and_large_weights(spark, monkeypatch, scale):
+    """In blocks of any size, and where logits have to be bounded, as in plain double arithmetic."""
+    _, lexicon = lexicon_of(spark, ["a b c d e f g h i j k l m n", "a b a c q r s t"])
+    network, rng = lm.Network(lexicon), np.random.default_rng(3)
+    network.flat[:] = rng.normal(size=len(network.flat)) * scale
+    tokens = rng.integers(0, network.listed + SMALL.tail_classes, 200).astype(np.int32)
+    states = np.tanh(rng.normal(size=(200, 4))).astype(np.float32)
+
+    def plain(state, outputs, at):
+        logits = np.clip(outputs[:, :-1].astype(float) @ state + outputs[:, -1], -60, 60)
+        return logits[at] - np.log(np.exp(logits).sum())
+
+    wanted, groups = [], len(network.classes) - 1
+    for state, token in zip(states, tokens):
+        if token >= network.listed:
+            wanted.append(plain(state, network.group, token - network.listed + groups))
+            continue
+        own = network.class_of[token]
+        group = network.group_of[own]
+        low, high = network.classes[group : group + 2]
+        first, last = network.words[own : own + 2]
+        wanted.append(
+            plain(state, network.group, group)
+            + plain(state, getattr(network, "class")[low:high], own - low)
+            + plain(state, network.word[first:last], token - first)
+        )
+    for size in (1, 64, 1 << 16):
+        monkeypatch.setattr(lm, "CACHED_OUTPUTS", size)
+        found, _ = network.log_probability(states, tokens)
+        assert np.allclose(found, wanted, rtol=1e-4, atol=1e-3)
+
+
 def test_state_goes_over_windows(spark):
     texts = ["a b c d e f g h i j k l m n o p q r s t u v", "a b a c q r s t", ""]
     _, lexicon = lexicon_of(spark, texts)

@@ -28,33 +28,33 @@ scored one by one; without training texts the counts are empty and the network s
 from __future__ import annotations
 
 import heapq
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tillroll.llm.common import most_frequent, stored
+from tillroll.llm.common import give_back, most_frequent, stored
 
 #: Digest of the end token; the empty word does not occur in a text.
 END = xxhash.xxh64_intdigest(b"") - (1 << 63)
-MEMO_ENTRIES = 300_000
-COUNTER_ENTRIES = 400_000
+#: Bytes of text whose words are found together.
+READ_BYTES = 1 << 22
 #: Bound of a logit; its exponential and a sum of them stay finite in single precision.
 _LOGIT = 60.0
 #: Tokens that a task holds at once.
 HELD_TOKENS = 5_000_000
 #: Tokens whose output probabilities are taken together in scoring.
 OUTPUT_TOKENS = 1 << 16
-#: Tokens whose outputs are worked on at once, and words whose weights are, to stay in the cache.
-CACHED_TOKENS = 512
-CACHED_WORDS = 4096
+#: Outputs that are worked on at once, and words whose weights are, to stay in the cache.
+CACHED_OUTPUTS = 1 << 16
+CACHED_WORDS = 1024
 #: Weights are averaged in blocks of so many.
 BLOCK_WEIGHTS = 1 << 15
 
@@ -89,6 +89,41 @@ def words_of(text: str | None) -> list[bytes]:
     return text.encode().lower().split() if text else []
 
 
+@dataclass
+class Words:
+    """Words of several texts one after the other: the distinct ones and, per word, which it is."""
+
+    distinct: np.ndarray  # bytes
+    digests: np.ndarray
+    at: np.ndarray
+    sizes: np.ndarray  # words of each text
+
+
+def _distinct(words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    coded = words.cast(pa.binary()).dictionary_encode()
+    distinct = coded.dictionary.to_numpy(zero_copy_only=False)
+    digests = np.array([xxhash.xxh64_intdigest(w) for w in distinct.tolist()], np.uint64)
+    return distinct, (digests ^ np.uint64(1 << 63)).view(np.int64), coded.indices.to_numpy()
+
+
+def read_words(texts: pa.Array) -> Iterator[Words]:
+    """The words of the texts as in ``words_of``, of about READ_BYTES at a time."""
+    ends = pc.cumulative_sum(pc.fill_null(pc.binary_length(texts).cast(pa.int64()), 0)).to_numpy()
+    first = 0
+    while first < len(texts):
+        done = ends[first - 1] if first else 0
+        last = max(first + 1, int(np.searchsorted(ends, done + READ_BYTES, side="right")))
+        lowered = pc.ascii_lower(pc.fill_null(texts.slice(first, last - first), ""))
+        split = pc.ascii_split_whitespace(lowered)
+        words = split.flatten()
+        # White space at an end of a text leaves an empty word there.
+        full = pc.greater(pc.binary_length(words), 0)
+        of = np.repeat(np.arange(last - first), pc.list_value_length(split).to_numpy())
+        sizes = np.bincount(of[full.to_numpy(zero_copy_only=False)], minlength=last - first)
+        yield Words(*_distinct(words.filter(full)), sizes)
+        first = last
+
+
 # ---- counts ----------------------------------------------------------------------------------
 
 
@@ -97,31 +132,19 @@ def count_words(df: DataFrame, settings: Settings, text: str = "text") -> DataFr
     tails = settings.tail_classes
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: Counter = Counter()
-        ends = 0
-
-        def flush() -> pa.RecordBatch:
-            rows = [(digest(w), tail_class(w, tails), n) for w, n in seen.items()]
-            if ends:
-                rows.append((END, -1, ends))
-            return pa.RecordBatch.from_arrays(
-                [
-                    pa.array([r[0] for r in rows], pa.int64()),
-                    pa.array([r[1] for r in rows], pa.int32()),
-                    pa.array([r[2] for r in rows], pa.int64()),
-                ],
-                names=["word", "tail", "n"],
-            )
-
         for batch in batches:
-            for value in batch.column(0).to_pylist():
-                seen.update(words_of(value))
-                ends += 1
-                if len(seen) > COUNTER_ENTRIES:
-                    yield flush()
-                    seen.clear()
-                    ends = 0
-        yield flush()
+            for words in read_words(batch.column(0)):
+                counts = np.bincount(words.at, minlength=len(words.distinct))
+                own = [tail_class(w, tails) for w in words.distinct.tolist()]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(np.append(words.digests, END), pa.int64()),
+                        pa.array([*own, -1], pa.int32()),
+                        pa.array(np.append(counts, len(words.sizes)), pa.int64()),
+                    ],
+                    names=["word", "tail", "n"],
+                )
+        give_back()
 
     parts = df.select(text).mapInArrow(run, "word bigint, tail int, n bigint")
     return parts.groupBy("word", "tail").agg(F.sum("n").alias("n"))
@@ -190,7 +213,7 @@ class Network:
 
     def __init__(self, lexicon: Lexicon, flat: np.ndarray | None = None):
         s, mass = lexicon.settings, lexicon.mass()
-        self.hidden, self.listed = s.hidden, len(mass)
+        self.hidden, self.listed, self._room = s.hidden, len(mass), None
         #: Words of each class, classes of each group.
         self.words = cut(mass, s.classes)
         class_mass = np.add.reduceat(mass, self.words[:-1])
@@ -202,12 +225,9 @@ class Network:
             "read": (self.listed + s.tail_classes, s.hidden),
             "into": (s.hidden, 3 * s.hidden),
             "carry": (s.hidden, 3 * s.hidden),
-            "group_w": (outputs, s.hidden),
-            "group_b": (outputs,),
-            "class_w": (len(class_mass), s.hidden),
-            "class_b": (len(class_mass),),
-            "word_w": (self.listed, s.hidden),
-            "word_b": (self.listed,),
+            "group": (outputs, s.hidden + 1),
+            "class": (len(class_mass), s.hidden + 1),
+            "word": (self.listed, s.hidden + 1),
         }
         size = sum(int(np.prod(v)) for v in self.shapes.values())
         self._lay(np.zeros(size, np.float32) if flat is None else flat)
@@ -220,6 +240,9 @@ class Network:
             size = int(np.prod(shape))
             setattr(self, name, flat[start : start + size].reshape(shape))
             start += size
+        for name in ("group", "class", "word"):  # weights and, last, the bias
+            setattr(self, f"{name}_w", getattr(self, name)[:, :-1])
+            setattr(self, f"{name}_b", getattr(self, name)[:, -1])
 
     def _start(self, lexicon: Lexicon, mass: np.ndarray, class_mass: np.ndarray) -> None:
         """Small random weights; the biases give the counted frequencies."""
@@ -242,20 +265,30 @@ class Network:
         self.word_b[:] = np.log(mass / class_mass[self.class_of])
 
     def steps(self, read: np.ndarray, fresh: np.ndarray, state: np.ndarray):
-        """States after each token. read: (steps, lanes, hidden); fresh: first token of a text."""
+        """States after each token. read: (steps, lanes, hidden); fresh: first token of a text.
+
+        Inside, lanes are the last axis, so that the gates of a step lie one after the other.
+        """
         h, rows = self.hidden, read
-        read = rows @ self.into
-        states, kept = np.empty((*read.shape[:2], h), np.float32), []
-        going = (~fresh).astype(np.float32)[:, :, None]
+        read = np.matmul(self.into.T, rows.transpose(0, 2, 1))
+        states, kept = np.empty(rows.shape, np.float32), []
+        going = (~fresh).astype(np.float32)
+        state, carry = np.ascontiguousarray(state.T), np.ascontiguousarray(self.carry.T)
         for t in range(len(read)):
             state = state * going[t]
-            carried = state @ self.carry
-            gates = _sigmoid(read[t, :, : 2 * h] + carried[:, : 2 * h])
-            hold, reset = gates[:, :h], gates[:, h:]
-            new = np.tanh(read[t, :, 2 * h :] + reset * carried[:, 2 * h :])
-            kept.append((state, carried[:, 2 * h :], hold, reset, new))
-            state = states[t] = new + hold * (state - new)
-        return states, state, (rows, kept)
+            carried = carry @ state
+            gates = read[t, : 2 * h]
+            gates += carried[: 2 * h]
+            hold, reset = _sigmoid(gates).reshape(2, h, -1)
+            new = reset * carried[2 * h :]
+            new += read[t, 2 * h :]
+            np.tanh(new, out=new)
+            kept.append((state, carried[2 * h :], hold, reset, new))
+            state = state - new
+            state *= hold
+            state += new
+            states[t] = state.T
+        return states, state.T, (rows, kept)
 
     def log_probability(self, states: np.ndarray, tokens: np.ndarray, grad: Network | None = None):
         """Natural log of the group and, for a listed word, its class and the word in its class.
@@ -266,12 +299,13 @@ class Network:
         groups = len(self.classes) - 1
         classes = np.append(self.class_of, len(self.group_of))[np.minimum(tokens, self.listed)]
         order = np.argsort(classes.astype(np.uint16), kind="stable")
-        states, tokens, classes = states[order], tokens[order], classes[order]
+        tokens, classes = tokens[order], classes[order]
+        states = np.hstack([states, np.ones((len(states), 1), np.float32)])[order]
         top = np.append(self.group_of, 0)[classes]
         ends = np.searchsorted(classes, np.arange(len(self.words)))
         top[ends[-1] :] = tokens[ends[-1] :] - self.listed + groups
         found = np.zeros(len(tokens), np.float32)
-        back = None if grad is None else np.zeros_like(states)
+        back = None if grad is None else np.zeros((len(states), self.hidden), np.float32)
         whole = np.array([0, len(self.group_b)])
         for name, picked, parts, at in (
             ("group", top, whole, np.array([0, len(tokens)])),
@@ -283,65 +317,94 @@ class Network:
         given[order] = found
         if grad is None:
             return given, None
-        d_states = np.empty_like(states)
+        d_states = np.empty_like(back)
         d_states[order] = back
         return given, d_states
 
     def _inside(self, name, states, picked, parts, at, found, grad, back) -> None:
-        """Adds what the picked outputs have among those of their part; rows at[i] to at[i + 1] are in part i."""
-        w, b = getattr(self, f"{name}_w"), getattr(self, f"{name}_b")
+        """Adds what the picked outputs have among those of their part; rows at[i] to at[i + 1] are in part i.
+
+        ``states`` end with a one, which meets the bias.
+        """
+        outputs, w = getattr(self, name), getattr(self, f"{name}_w")
+        # A state is within -1 and 1, so few logits can ever be out of bounds.
+        most = np.abs(outputs) @ np.ones(outputs.shape[1], np.float32)
+        wide = np.maximum.reduceat(most, parts[:-1]) > _LOGIT
         for part in np.flatnonzero(np.diff(at)).tolist():
-            of, own = slice(parts[part], parts[part + 1]), None
-            if of.stop - of.start == 1:
+            of = slice(parts[part], parts[part + 1])
+            size = of.stop - of.start
+            if size == 1:
                 continue
-            if grad is not None:
-                own = getattr(grad, f"{name}_w")[of], getattr(grad, f"{name}_b")[of]
-            for first in range(at[part], at[part + 1], CACHED_TOKENS):
-                here = slice(first, min(first + CACHED_TOKENS, at[part + 1]))
-                logs, slope = _softmax(states[here], w[of], b[of], picked[here] - of.start, own)
+            own = None if grad is None else getattr(grad, name)[of]
+            step = max(1, CACHED_OUTPUTS // size)
+            for first in range(at[part], at[part + 1], step):
+                here = slice(first, min(first + step, at[part + 1]))
+                room, chosen = self.room(size, here), picked[here] - of.start
+                logs, slope = _softmax(states[here], outputs[of], w[of], chosen, room, wide[part], own)
                 found[here] += logs
                 if back is not None:
                     back[here] += slope
 
+    def room(self, size: int, rows: slice) -> np.ndarray:
+        """Place for the outputs of ``rows``, used again for the next ones."""
+        need = size * (rows.stop - rows.start)
+        if self._room is None or len(self._room) < need:
+            self._room = np.empty(max(need, CACHED_OUTPUTS), np.float32)
+        return self._room[:need].reshape(-1, size)
+
     def backward(self, kept, d_states: np.ndarray, fresh: np.ndarray, grad: Network) -> np.ndarray:
         """Gradient of what was read, through all steps of a window; adds to grad.carry and grad.into."""
         h, (rows, kept) = self.hidden, kept
-        d_read = np.empty((*d_states.shape[:2], 3 * h), np.float32)
-        back = np.zeros_like(d_states[0])
-        going = (~fresh).astype(np.float32)[:, :, None]
-        for t in range(len(d_states) - 1, -1, -1):
+        steps, lanes = fresh.shape
+        d_read = np.empty((steps, 3 * h, lanes), np.float32)
+        back = np.zeros((h, lanes), np.float32)
+        going = (~fresh).astype(np.float32)
+        through, into = np.empty((3 * h, lanes), np.float32), np.zeros_like(self.into)
+        for t in range(steps - 1, -1, -1):
             state, carried, hold, reset, new = kept[t]
-            back = back + d_states[t]
+            back += d_states[t].T
             own = d_read[t]
-            d_new = back * (1 - hold) * (1 - new * new)
-            own[:, :h] = back * (state - new) * hold * (1 - hold)
-            own[:, h : 2 * h] = d_new * carried * reset * (1 - reset)
-            own[:, 2 * h :] = d_new
-            through = own.copy()
-            through[:, 2 * h :] *= reset
-            grad.carry += state.T @ through
-            back = (back * hold + through @ self.carry.T) * going[t]
-        grad.into += rows.reshape(-1, h).T @ d_read.reshape(-1, 3 * h)
-        return d_read @ self.into.T
-
-
-def _softmax(states: np.ndarray, w: np.ndarray, b: np.ndarray, picked: np.ndarray, grad=None):
-    """Log-probability of the picked output of each row, and with ``grad`` the slope of the states."""
-    rows = np.arange(len(picked))
-    p = states @ w.T
-    p += b
-    np.minimum(p, _LOGIT, out=p)  # cheaper than a maximum per row
-    np.maximum(p, -_LOGIT, out=p)
-    found = p[rows, picked]
+            d_hold, d_reset, d_new = own.reshape(3, h, lanes)
+            free = 1 - hold
+            np.multiply(back, free, out=d_new)
+            d_new *= 1 - new * new
+            np.subtract(state, new, out=d_hold)
+            d_hold *= back
+            d_hold *= hold
+            d_hold *= free
+            np.multiply(d_new, reset, out=through[2 * h :])
+            np.multiply(through[2 * h :], carried, out=d_reset)
+            d_reset *= 1 - reset
+            through[: 2 * h] = own[: 2 * h]
+            grad.carry += state @ through.T
+            into += rows[t].T @ own.T
+            back *= hold
+            back += self.carry @ through
+            back *= going[t]
+        grad.into += into
+        return np.matmul(d_read.transpose(0, 2, 1), self.into.T)
+
+
+def _softmax(states, biased, w, picked, room, bound: bool, grad=None):
+    """Log-probability of the picked output of each row, and with ``grad`` the slope of the states.
+
+    ``biased``: weights ``w`` and bias; ``room`` takes the outputs, as a new array of that size costs
+    more than they do.
+    """
+    p = np.matmul(states, biased.T, out=room)
+    if bound:
+        np.clip(p, -_LOGIT, _LOGIT, out=p)  # cheaper than a maximum per row
+    cells, at = p.reshape(-1), np.arange(0, p.size, p.shape[1]) + picked
+    found = cells.take(at)
     np.exp(p, out=p)
     total = p @ np.ones(p.shape[1], np.float32)
     found -= np.log(total)
     if grad is None:
         return found, None
     p *= (1 / total)[:, None]
-    p[rows, picked] -= 1
-    grad[0][:] += p.T @ states
-    grad[1][:] += np.ones(len(p), np.float32) @ p
+    cells[at] -= 1
+    grad[:, :-1] += p.T @ states[:, :-1]
+    grad[:, -1] += np.ones(len(p), np.float32) @ p
     return found, p @ w
 
 
@@ -395,7 +458,11 @@ def score_texts(network: Network, texts: list[np.ndarray], settings: Settings, e
     for start, stop, n, valid in lanes.windows(settings.window):
         here = np.s_[start:stop, :n]
         states, state, _ = network.steps(network.read[lanes.before[here]], lanes.fresh[here], state[:n])
-        waiting.append((states[valid], lanes.tokens[here][valid], lanes.text[here][valid]))
+        laid = (states, lanes.tokens[here], lanes.text[here])
+        if valid.all():
+            waiting.append([x.reshape(valid.size, *x.shape[2:]) for x in laid])
+        else:
+            waiting.append([x[valid] for x in laid])
         held += len(waiting[-1][1])
         if held >= OUTPUT_TOKENS or stop == len(lanes.tokens):
             given, tokens, text = map(np.concatenate, zip(*waiting))
@@ -422,13 +489,13 @@ class Adam:
         self.t += 1
         floor = 0.3 / count
         parts = [("into", ..., 1e-6), ("carry", ..., 1e-6)]
-        parts += [(name, ..., floor) for name in ("group_w", "group_b", "class_w", "class_b")]
+        parts += [(name, ..., floor) for name in ("group", "class")]
         bounds = network.words
         for run in np.split(classes, np.flatnonzero(np.diff(classes) > 1) + 1) if len(classes) else []:
             last = bounds[run[-1] + 1]
             for first in range(bounds[run[0]], last, CACHED_WORDS):
                 own = slice(first, min(first + CACHED_WORDS, last))
-                parts += [("word_w", own, floor), ("word_b", own, floor)]
+                parts.append(("word", own, floor))
         for name, at, least in parts:
             w, g, m, v = (getattr(x, name)[at] for x in (network, grad, self.m, self.v))
             g *= 1 / count
@@ -440,9 +507,14 @@ class Adam:
 
     def _move(self, g, m, v, least: float, weight: float) -> np.ndarray:
         """Takes ``g`` into the moments, in place, and gives the step."""
-        m += np.float32(0.1) * (g - m)
-        v += np.float32(0.01) * (g * g - v)
-        size = v * np.float32(1 / (1 - 0.99**self.t))
+        change = g - m
+        change *= np.float32(0.1)
+        m += change
+        np.multiply(g, g, out=change)
+        change -= v
+        change *= np.float32(0.01)
+        v += change
+        size = np.multiply(v, np.float32(1 / (1 - 0.99**self.t)), out=change)
         np.sqrt(size, out=size)
         size += np.float32(least)
         np.divide(m, size, out=size)
@@ -476,17 +548,21 @@ def train_texts(network: Network, adam: Adam, texts: list[np.ndarray], settings:
     for start in range(0, steps, window):
         here = slice(start, start + window)
         states, state, kept = network.steps(network.read[before[here]], fresh[here], state)
-        ok = valid[here]
-        _, own = network.log_probability(states[ok], tokens[here][ok], grad)
-        d_states = np.zeros_like(states)
-        d_states[ok] = own
+        ok, d_states = valid[here], np.zeros_like(states)
+        if ok.all():
+            given = tokens[here].ravel()
+            _, own = network.log_probability(states.reshape(len(given), -1), given, grad)
+            d_states = own.reshape(states.shape)
+        else:
+            given = tokens[here][ok]
+            _, d_states[ok] = network.log_probability(states[ok], given, grad)
         d_read = network.backward(kept, d_states, fresh[here], grad)
         at = before[here].ravel()
         order = np.argsort(at, kind="stable")
         firsts = np.flatnonzero(np.diff(at[order], prepend=-1))
         slope = np.add.reduceat(d_read.reshape(len(at), -1)[order], firsts)
-        count, given = max(1, int(ok.sum())), tokens[here][ok]
-        classes = np.unique(network.class_of[given[given < network.listed]])
+        count = max(1, len(given))
+        classes = np.flatnonzero(np.bincount(network.class_of[given[given < network.listed]]))
         adam.step(network, grad, count, count / ok.size, at[order][firsts], slope, classes)
 
 
@@ -501,28 +577,15 @@ def _view(network: Network, flat: np.ndarray) -> Network:
 # ---- on Spark --------------------------------------------------------------------------------
 
 
-class _Codes(dict):
-    """Codes of words, found once; emptied when it holds MEMO_ENTRIES words."""
-
-    def __init__(self, rank: dict[int, int], tails: int):
-        super().__init__()
-        self.rank, self.tails = rank, tails
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > MEMO_ENTRIES:
-            self.clear()
-        code = self.rank.get(digest(word))
-        self[word] = code = -1 - tail_class(word, self.tails) if code is None else code
-        return code
-
-
 class Reader:
     """Codes of words: the rank of a known word, -1 - (tail class) of any other."""
 
     def __init__(self, lexicon: Lexicon):
         self.tails = lexicon.settings.tail_classes
         known = list(lexicon.counts)
-        self.memo = _Codes({w: i for i, w in enumerate(known)}, self.tails)
+        digests = np.array(known, np.int64)
+        self.order = np.argsort(digests)
+        self.sorted = digests[self.order]
         listed = len(lexicon.place)
         #: Token of each known word, then of the tail classes from the back.
         self.token = np.array(
@@ -537,7 +600,23 @@ class Reader:
         )
 
     def codes(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.memo.__getitem__, words), np.int32, len(words))
+        distinct, digests, at = _distinct(pa.array(words, pa.binary()))
+        return self.codes_of(distinct, digests)[at]
+
+    def codes_of(self, distinct: np.ndarray, digests: np.ndarray) -> np.ndarray:
+        found = np.searchsorted(self.sorted, digests)
+        codes = np.append(self.order, -1)[found].astype(np.int32)
+        codes[np.append(self.sorted, 0)[found] != digests] = -1
+        other = np.flatnonzero(codes < 0)
+        codes[other] = [-1 - tail_class(w, self.tails) for w in distinct[other].tolist()]
+        return codes
+
+    def read(self, texts: pa.Array) -> Iterator[np.ndarray]:
+        """Tokens of each text."""
+        for words in read_words(texts):
+            codes = self.codes_of(words.distinct, words.digests)[words.at]
+            for own in np.split(codes, np.cumsum(words.sizes)[:-1]):
+                yield self.tokens(own)
 
     def tokens(self, codes: np.ndarray) -> np.ndarray:
         """Tokens of the network, the end token last."""
@@ -573,8 +652,8 @@ def train(df: DataFrame, lexicon: Lexicon, part_of: str, text: str = "text") ->
             adam, reader = Adam(network, rate), Reader(own)
             waiting, held, total = [], 0, 0
             for batch in batches:
-                for value in batch.column(0).to_pylist():
-                    waiting.append(reader.tokens(reader.codes(words_of(value))))
+                for tokens in reader.read(batch.column(0)):
+                    waiting.append(tokens)
                     held += len(waiting[-1])
                     if held > HELD_TOKENS:
                         train_texts(network, adam, waiting, settings, end)
@@ -594,6 +673,8 @@ def train(df: DataFrame, lexicon: Lexicon, part_of: str, text: str = "text") ->
                         ],
                         names=["block", "total", "change"],
                     )
+            del network, adam, reader, waiting
+            give_back()
 
         rows = df.where(F.pmod(F.xxhash64(part_of), F.lit(settings.rounds)) == number).select(text)
         rows = rows.coalesce(session.sparkContext.defaultParallelism)
@@ -632,19 +713,27 @@ def score(
         end_count = own.counts.get(END, 0)
         row = TaskContext.get().partitionId() << 40
 
-        def finish(batch: pa.RecordBatch, first: int, codes: list, rare: list[Counter]):
+        def rare_of(words: Words, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            """Of the unknown words of each text: how many, their digests, how often each occurs."""
+            unknown, of = codes < 0, np.repeat(np.arange(len(words.sizes)), words.sizes)
+            width = max(1, len(words.distinct))
+            pairs, times = np.unique(of[unknown] * width + words.at[unknown], return_counts=True)
+            texts, rare = np.divmod(pairs, width)
+            return np.bincount(texts, minlength=len(words.sizes)), words.digests[rare], times
+
+        def finish(batch: pa.RecordBatch, first: int, codes: list, rare: list):
             tokens = [reader.tokens(c) for c in codes]
             found = score_texts(network, tokens, settings, reader.end) / np.log(10)
-            sizes = np.array([len(c) for c in codes])
-            of = np.repeat(np.arange(len(codes)), sizes)
+            sizes, n = np.array([len(c) for c in codes]), len(codes)
+            of = np.repeat(np.arange(n), sizes)
             flat_codes = np.concatenate(codes)
-            flat_tokens = reader.token[flat_codes]
-            n, logged = len(codes), reader.logged[flat_codes]
+            flat_tokens, logged = reader.token[flat_codes], reader.logged[flat_codes]
             in_tail = flat_tokens >= listed
             base_sum = np.bincount(of, logged, n) - base * (sizes + 1) + np.log10(end_count + 1)
             found += np.bincount(of, in_tail * (logged - tail_base[flat_tokens]), n)
             known = np.bincount(of, flat_codes >= 0, n).astype(np.int64) + (end_count > 0)
-            offsets = pa.array(np.cumsum([0, *map(len, rare)]), pa.int32())
+            per_text, digests, times = map(np.concatenate, zip(*rare))
+            offsets = pa.array(np.cumsum([0, *per_text]), pa.int32())
             return pa.RecordBatch.from_arrays(
                 [
                     *(batch.column(c).slice(first, n) for c in kept),
@@ -653,23 +742,19 @@ def score(
                     pa.array(known, pa.int64()),
                     pa.array(base_sum, pa.float64()),
                     pa.array(found, pa.float64()),
-                    pa.ListArray.from_arrays(
-                        offsets, pa.array([digest(w) for r in rare for w in r], pa.int64())
-                    ),
-                    pa.ListArray.from_arrays(
-                        offsets, pa.array([c for r in rare for c in r.values()], pa.int64())
-                    ),
+                    pa.ListArray.from_arrays(offsets, pa.array(digests, pa.int64())),
+                    pa.ListArray.from_arrays(offsets, pa.array(times, pa.int64())),
                 ],
                 names=[*kept, "_row", "n_tokens", "_known", "_base", "_score", "_rare", "_times"],
             )
 
         for batch in batches:
             codes, rare, held, first = [], [], 0, 0
-            for value in batch.column(text).to_pylist():
-                words = words_of(value)
-                codes.append(reader.codes(words))
-                rare.append(Counter(words[i] for i in np.flatnonzero(codes[-1] < 0).tolist()))
-                held += len(words)
+            for words in read_words(batch.column(text)):
+                own = reader.codes_of(words.distinct, words.digests)[words.at]
+                codes += np.split(own, np.cumsum(words.sizes)[:-1])
+                rare.append(rare_of(words, own))
+                held += len(own)
                 if held > HELD_TOKENS:
                     yield finish(batch, first, codes, rare)
                     row += len(codes)
@@ -678,6 +763,7 @@ def score(
             if codes:
                 yield finish(batch, first, codes, rare)
                 row += len(codes)
+        give_back()
 
     extra = T._parse_datatype_string(
         "_row bigint, n_tokens bigint, _known bigint, _base double, _score double,"
